@@ -55,17 +55,18 @@ def dbscan_sweep(
         ),
         "core-roots",
     )
-    by_level = core_roots.groupBy(*scope, "rid").agg(
-        F.array(*[F.max(F.when(F.col("e") == e, F.col("root"))) for e in range(len(eps_list))]).alias("roots")
-    )
-    labelled = materialise(core_roots.unionByName(N.border_roots(c, by_level, eps_list)), "labels")
     ranks = cluster_rank(core_roots, [*scope, "e"])
-    numbered = skew_join(labelled, ranks, [*scope, "e", "root"], salt_by=["rid"])
+    core_labels = skew_join(core_roots, ranks, [*scope, "e", "root"], salt_by=["rid"]).drop("root")
+    # clusters are numbered in root order, so the lowest number next to a border point is its cluster
+    by_level = core_labels.groupBy(*scope, "rid").agg(
+        F.array(*[F.max(F.when(F.col("e") == e, F.col("cluster_id"))) for e in range(len(eps_list))]).alias("labels")
+    )
+    labelled = core_labels.unionByName(N.border_labels(c, by_level, eps_list))
 
     keyed = c.reps.select(*scope, "rid", "k1", "k2").withColumn(
         "e", F.explode(F.sequence(F.lit(0), F.lit(len(eps_list) - 1)))
     )
-    rep_labels = keyed.join(numbered.drop("root"), [*scope, "rid", "e"], "left").select(
+    rep_labels = keyed.join(labelled, [*scope, "rid", "e"], "left").select(
         *scope,
         "k1",
         "k2",
@@ -94,7 +95,7 @@ def cluster_size_between(sizes: DataFrame, lo: int = 2, hi: int = 1000) -> DataF
 
 
 def collect_clusters(members: DataFrame, sizes: DataFrame, keys: list[str], order: str = "id", text: str = "paragraph") -> DataFrame:
-    """``keys, cluster_id, size, paragraphs``: the texts of the clusters listed in ``sizes``, in row order.
+    """``keys, cluster_id, size, ids, paragraphs`` of the clusters listed in ``sizes``, members in row order.
 
     Pass sizes that went through ``cluster_size_between``: the array of a cluster is then bounded by ``hi``, and a huge
     cluster or the noise is dropped before its rows are gathered. The full membership is the ``members`` table itself.
@@ -102,7 +103,7 @@ def collect_clusters(members: DataFrame, sizes: DataFrame, keys: list[str], orde
     group = [*keys, "cluster_id"]
     kept = skew_join(members, sizes, group, salt_by=[order])
     gathered = kept.groupBy(*group, "size").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_m"))
-    return gathered.select(*group, "size", F.col(f"_m.{text}").alias("paragraphs"))
+    return gathered.select(*group, "size", F.col(f"_m.{order}").alias("ids"), F.col(f"_m.{text}").alias("paragraphs"))
 
 
 def members_with_repeat(clusters: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ MAX_BLOCK_ROWS = 4096
 MAX_BLOCK_BYTES = 48 << 20
 MIN_BLOCK_ROWS = 256
 TILE_ROWS = 1024
-_NO_ROOT = np.iinfo(np.int64).max
+_NO_LABEL = np.iinfo(np.int32).max
 
 
 class Collapsed(NamedTuple):
@@ -287,41 +287,41 @@ def core_forest(c: Collapsed, cores: DataFrame, eps_list: list[float]) -> DataFr
     return _pair_blocks(rows, c).applyInArrow(run, schema)
 
 
-def border_roots(c: Collapsed, roots: DataFrame, eps_list: list[float]) -> DataFrame:
-    """Scope, ``rid``, ``e``, ``root``: the smallest cluster root among the core neighbours of each non-core vector.
+def border_labels(c: Collapsed, labels: DataFrame, eps_list: list[float]) -> DataFrame:
+    """Scope, ``rid``, ``e``, ``cluster_id``: the smallest cluster number among the core neighbours of each non-core vector.
 
-    ``roots`` has scope, ``rid`` and ``roots``, an array with the root (null when not core) at each eps.
+    ``labels`` has scope, ``rid`` and ``labels``, an array with the cluster number (null when not core) at each eps.
     """
-    schema, arrow = _schemas(c, [("rid", T.LongType()), ("e", T.IntegerType()), ("root", T.LongType())])
+    schema, arrow = _schemas(c, [("rid", T.LongType()), ("e", T.IntegerType()), ("cluster_id", T.IntegerType())])
     n_scope = len(c.scope)
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scope = [k.as_py() for k in key[:n_scope]]
         same = key[-1].as_py() == key[-2].as_py()
-        a, b = _read_sides(batches, "roots")
+        a, b = _read_sides(batches, "labels")
         if same:
             b = a
         if not len(a.rid) or not len(b.rid):
             return
-        best_a = np.full((len(eps_list), len(a.rid)), _NO_ROOT)
-        best_b = np.full((len(eps_list), len(b.rid)), _NO_ROOT)
+        best_a = np.full((len(eps_list), len(a.rid)), _NO_LABEL)
+        best_b = np.full((len(eps_list), len(b.rid)), _NO_LABEL)
         for rows, dist in _tiles(a, b, same):
             for e, eps in enumerate(eps_list):
                 near = dist <= eps
-                best_a[e, rows] = np.where(near, b.extra[:, e][None, :], _NO_ROOT).min(axis=1)
+                best_a[e, rows] = np.where(near, b.extra[:, e][None, :], _NO_LABEL).min(axis=1)
                 if not same:
                     best_b[e] = np.minimum(
-                        best_b[e], np.where(near, a.extra[rows, e][:, None], _NO_ROOT).min(axis=0)
+                        best_b[e], np.where(near, a.extra[rows, e][:, None], _NO_LABEL).min(axis=0)
                     )
         for side, best in ((a, best_a),) if same else ((a, best_a), (b, best_b)):
             for e in range(len(eps_list)):
-                hit = (best[e] != _NO_ROOT) & (side.extra[:, e] == _NO_ROOT)
+                hit = (best[e] != _NO_LABEL) & (side.extra[:, e] == _NO_LABEL)
                 if hit.any():
                     yield _batch(arrow, scope, [side.rid[hit], np.full(hit.sum(), e), best[e][hit]])
 
-    none = F.array(*[F.lit(int(_NO_ROOT)) for _ in eps_list])
-    filled = F.transform("roots", lambda r: F.coalesce(r, F.lit(int(_NO_ROOT))))
-    rows = c.reps.select(*c.scope, "rid", "weight", "vec").join(roots, [*c.scope, "rid"], "left")
-    rows = rows.withColumn("roots", F.coalesce(filled, none))
+    none = F.array(*[F.lit(int(_NO_LABEL)) for _ in eps_list])
+    filled = F.transform("labels", lambda r: F.coalesce(r, F.lit(int(_NO_LABEL))))
+    rows = c.reps.select(*c.scope, "rid", "weight", "vec").join(labels, [*c.scope, "rid"], "left")
+    rows = rows.withColumn("labels", F.coalesce(filled, none))
     partial = _pair_blocks(rows, c).applyInArrow(run, schema)
-    return partial.groupBy(*c.scope, "rid", "e").agg(F.min("root").alias("root"))
+    return partial.groupBy(*c.scope, "rid", "e").agg(F.min("cluster_id").alias("cluster_id"))

@@ -97,5 +97,6 @@ def latest_wins(df: DataFrame, key: list[str], order: list[str], row_id: str) ->
 
     Winners are found on the narrow columns; the wide ones (page text) only meet the winners.
     """
-    last = df.groupBy(*key).agg(F.max(F.struct(*order, row_id)).alias("_last"))
-    return df.join(last.select(F.col(f"_last.{row_id}").alias(row_id)), row_id, "left_semi")
+    ranked = F.struct(*order, F.col(row_id).alias("_id"))
+    last = df.groupBy(*key).agg(F.max(ranked).alias("_last"))
+    return df.join(last.select(F.col("_last._id").alias(row_id)), row_id, "left_semi")
