@@ -247,6 +247,39 @@ ORACLES["sanitise_documents"] = f"WITH {CLEAN} SELECT * FROM clean"
 ORACLES["stream_sanitise"] = ORACLES["sanitise_documents"]
 ORACLES["concat_splits"] = "SELECT doc_id, source, (doc_id % 4)::INT AS split FROM documents"
 
+# An HTML parser for these pages in SQL: tags and texts in order; a paragraph ends where the count of open
+# paragraphs falls below its own level, or at the end of the article.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+UNESCAPED = "t"
+for entity, character in ENTITIES:
+    UNESCAPED = f"replace({UNESCAPED}, '{entity}', '{character}')"
+TOKENS = rf"""marked AS (
+  SELECT page_id, url, regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '<cut>', 'gs'), '<[^>]+>|[^<]+') AS t
+  FROM pages),
+tokens AS (
+  SELECT page_id, url, i, t, CASE WHEN t NOT LIKE '<%' THEN {UNESCAPED} END AS txt,
+         sum(CASE t WHEN '<p>' THEN 1 WHEN '</p>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS open
+  FROM (SELECT page_id, url, generate_subscripts(t, 1) AS i, unnest(t) AS t FROM marked))"""
+PAGE_PARAGRAPHS = rf"""{TOKENS}, spans AS (
+  SELECT s.page_id, s.url, s.i, min(e.i) AS till FROM tokens s
+  LEFT JOIN tokens e ON e.page_id = s.page_id AND e.i > s.i AND (e.open < s.open OR e.t = '</article>')
+  WHERE s.t = '<p>' GROUP BY ALL),
+raw AS (
+  SELECT s.page_id, s.url, s.i, regexp_replace(string_agg(x.txt, '' ORDER BY x.i), '^\s+|\s+$', '', 'g') AS paragraph
+  FROM spans s JOIN tokens x ON x.page_id = s.page_id AND x.i > s.i AND x.i < coalesce(s.till, 1000000000) AND x.txt IS NOT NULL
+  GROUP BY ALL),
+page_paragraphs AS (
+  SELECT page_id, url, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, paragraph FROM raw WHERE paragraph <> '')"""
+CLEAN_PAGES = rf"""{PAGE_PARAGRAPHS}, clean_pages AS (
+  SELECT {HOST} AS url, page_id AS page_key, pos,
+         replace(regexp_replace(replace(p, chr(10), ' '), '\s{{2,}}', ' ', 'g'), '"', '''') AS paragraph
+  FROM (SELECT page_id, url, paragraph AS p, min(pos) AS pos FROM page_paragraphs GROUP BY ALL)
+  WHERE len(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) > 10)"""
+ORACLES["page_paragraphs"] = f"WITH {PAGE_PARAGRAPHS} SELECT page_id, pos, paragraph FROM page_paragraphs"
+ORACLES["visible_text"] = f"WITH {TOKENS} SELECT page_id, string_agg(txt, ' ' ORDER BY i) AS text FROM tokens WHERE txt IS NOT NULL GROUP BY page_id"
+ORACLES["sanitise_pages"] = f"WITH {CLEAN_PAGES} SELECT * FROM clean_pages"
+ORACLES["stream_sanitise_pages"] = ORACLES["sanitise_pages"]
+
 # ---- positions ------------------------------------------------------------------------------
 
 ORACLES["row_position"] = "SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS pos FROM documents"
