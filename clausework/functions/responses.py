@@ -21,8 +21,8 @@ def _parsed(text: Column) -> Column:
     The parser stops after the first value. Inside brackets, text after it is an error.
     """
     value = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    second = F.try_variant_get(value, "$[1]", "variant")
-    return F.when(second.isNull(), value)
+    first, second = (F.try_variant_get(value, f"$[{i}]", "variant") for i in (0, 1))
+    return F.when(first.isNotNull() & second.isNull(), value)
 
 
 def _raw(parsed: Column, key: str, unwrap: bool = False) -> Column:

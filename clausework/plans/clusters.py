@@ -38,7 +38,7 @@ def bounded_clusters(
 
 
 def financial_prompts(clusters: DataFrame, template: str = prompts.FINANCIAL, k: int = 20, seed: int = 0) -> DataFrame:
-    sample = prompts.join_members(L.sample_texts(clusters, k, seed))
+    sample = prompts.join_members(L.sample_texts(k, seed))
     return clusters.withColumn("prompt", prompts.build_prompt(template, sample)).withColumn(
         "prompt_hash", prompts.prompt_hash(F.col("prompt"))
     )
@@ -51,7 +51,7 @@ def topic_prompts(
     k: int = 20,
     seed: int = 0,
 ) -> DataFrame:
-    sample = prompts.join_members(L.sample_texts(clusters, k, seed))
+    sample = prompts.join_members(L.sample_texts(k, seed))
     prompt = prompts.build_prompt(template, taxonomy=taxonomy.outline(categories), document_list=sample)
     return clusters.withColumn("prompt", prompt).withColumn("prompt_hash", prompts.prompt_hash(F.col("prompt")))
 

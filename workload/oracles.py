@@ -460,3 +460,25 @@ UNION ALL SELECT doc_id, (doc_id % 2)::VARCHAR, NULL, NULL, NULL FROM documents
 ORACLES["parse_annotation"] = """
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Warranty' ELSE 'Warranty|Others' END AS topics,
        (doc_id % 3 % 2)::INT AS has_financial_term FROM documents"""
+
+# ---- files and surfaces ---------------------------------------------------------------------
+
+ORACLES["ranked_domains_csv"] = f"SELECT (page_id + 1)::INT AS rank, {HOST} AS domain FROM pages"
+ORACLES["domain_jsonl"] = "SELECT url AS domain FROM pages"
+ORACLES["shop_csv"] = f"SELECT {SCHEMELESS} AS domain FROM pages"
+ORACLES["sites_json"] = f"""WITH {FUNNEL}
+SELECT url, language, is_shopping, chunk, md5(html) AS html_md5 FROM inputs WHERE english AND is_shopping IS NOT NULL"""
+ORACLES["parse_stats_file"] = f"WITH {FUNNEL_COUNTS} SELECT chunk, accessible, english, is_shopping, error_urls FROM counts"
+ORACLES["paragraph_csv"] = f"WITH {CLEAN} SELECT url, paragraph, 0 AS split FROM clean"
+ORACLES["policy_page_files"] = rf"""{CRAWL}
+SELECT seed, link, depth, replace(replace(link, 'https://', ''), '/', '_')[:255] AS slug, md5(html) AS html_md5
+FROM walked JOIN pages ON page_id = regexp_extract(link, '/(\d+)$', 1)::BIGINT WHERE fetched AND english"""
+ORACLES["cluster_files"] = f"""WITH RECURSIVE {POINTS}, {labels([0.62, 0.66], 5)}
+SELECT cluster_id, l.id, string_split(text, chr(10))[1] AS paragraph, eps FROM labels l JOIN documents d ON d.doc_id = l.id"""
+ORACLES["labelled_files"] = f"{BOUNDED} SELECT cluster_id, paragraphs FROM bounded WHERE cluster_id % 4 = 0"
+ORACLES["embedding_cache"] = f"WITH {DOC_POINTS} SELECT id AS doc_id, round(list_max(v), 4) AS top FROM doc_vectors"
+ORACLES["classify_with"] = f"""WITH {TERMS}
+SELECT doc_id, contains(term, 'fee')::INT AS classification, 0.5::DOUBLE AS confidence FROM terms"""
+ORACLES["html_content_only"] = """
+SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'text/html; charset=utf-8' ELSE 'Text/HTML' END AS content_type
+FROM pages WHERE page_id % 4 < 2"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from clausework.plans import clusters as CL
 from clausework.plans import policy_crawl as CR
 from clausework.plans import site_funnel as SF
 from clausework.plans.report import report
+from clausework.sources import readers as R
+from clausework.sources import writers as W
 from clausework.streaming.sanitise import incremental, write_stream
 from workload import derived as D
 
@@ -30,6 +34,7 @@ EPS = 0.66
 SWEEP = [0.62, 0.66, 0.7]
 DOC_EPS = [0.01, 0.05]
 SITES_PER_SPLIT = 7
+SITES_DDL = "url STRING, language STRING, is_shopping INT, html STRING"
 
 
 def query(fn):
@@ -197,11 +202,9 @@ def stream_sanitise_pages(spark, sf):
 
 
 def write_and_read(spark, rows):
-    from uuid import uuid4
-
-    folder = f"{scratch_root(spark)}/clausework/{spark.sparkContext.applicationId}/stream-{uuid4().hex}"
-    write_stream(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+    path = folder(spark, "stream")
+    write_stream(rows, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
 
 
 # ---- positions ------------------------------------------------------------------------------
@@ -673,3 +676,128 @@ def parse_annotation(spark, sf):
     named, financial_term = responses.parse_annotation(F.col("response"))
     rows = docs(spark, sf).select("doc_id", reply.alias("response"))
     return rows.select("doc_id", F.array_join(named, "|").alias("topics"), financial_term.alias("has_financial_term"))
+
+
+# ---- files and surfaces ---------------------------------------------------------------------
+
+
+def folder(spark, label):
+    return f"{scratch_root(spark)}/clausework/{spark.sparkContext.applicationId}/{label}-{uuid4().hex}"
+
+
+@query
+def ranked_domains_csv(spark, sf):
+    path = folder(spark, "ranked")
+    pages(spark, sf).select((F.col("page_id") + 1).alias("rank"), host().alias("domain")).write.csv(path)
+    return R.read_ranked_domains(spark, path)
+
+
+@query
+def domain_jsonl(spark, sf):
+    path = folder(spark, "domains")
+    pages(spark, sf).select(F.col("url").alias("domain"), "page_id").write.json(path)
+    return R.read_domain_jsonl(spark, path)
+
+
+@query
+def shop_csv(spark, sf):
+    path = folder(spark, "shops")
+    pages(spark, sf).select(F.col("url").alias("Online shop URL"), "page_id").write.csv(path, header=True)
+    return R.read_shop_csv(spark, path)
+
+
+@query
+def sites_json(spark, sf):
+    """Site records written per chunk and read back."""
+    path = folder(spark, "sites")
+    domains, captured, replies = D.funnel_inputs(spark, sf)
+    inputs = SF.site_inputs(domains, captured, replies)
+    records = SF.site_records(inputs, captured).join(inputs.select("url", "chunk"), "url")
+    W.write_sites(records, path)
+    back = spark.read.schema(f"{SITES_DDL}, chunk INT").json(path)
+    return back.select("url", "language", "is_shopping", "chunk", F.md5("html").alias("html_md5"))
+
+
+@query
+def parse_stats_file(spark, sf):
+    """Stats texts of the funnel chunks, parsed again."""
+    counts = S.funnel_counts(SF.site_inputs(*D.funnel_inputs(spark, sf)))
+    quoted = F.concat(F.lit("['"), F.array_join("error_urls", "', '"), F.lit("']"))
+    line = F.concat(
+        F.lit("Languages: {}\nOther stats: {'accessible': "), F.col("accessible").cast("string"),
+        F.lit(", 'english': "), F.col("english").cast("string"),
+        F.lit(", 'is_shopping': "), F.col("is_shopping").cast("string"),
+        F.lit(", 'error_urls': "), quoted, F.lit("}\n"),
+    )
+    texts = counts.select("chunk", line.alias("value"))
+    return texts.select("chunk", *R.parse_stats(F.col("value"))).withColumn("error_urls", F.array_join("error_urls", " "))
+
+
+@query
+def paragraph_csv(spark, sf):
+    """Sanitised paragraphs written as quoted CSV and read back."""
+    path = folder(spark, "paragraphs")
+    W.write_paragraphs(clean_docs(spark, sf), path)
+    return R.read_paragraphs(spark, [path], multi_line=False).select("url", "paragraph", "split")
+
+
+@query
+def policy_page_files(spark, sf):
+    """Kept policy pages with the text of the page behind the link, written and read back."""
+    path = folder(spark, "policy")
+    policy = CR.policy_crawl(*D.link_graph(spark, sf))
+    number = F.regexp_extract("link", r"/(\d+)$", 1).cast("long")
+    texts = pages(spark, sf).select("page_id", "html")
+    paths = policy.select("link").distinct().withColumn("page_id", number).join(texts, "page_id")
+    W.write_policy_pages(CR.attach_html(policy, paths, "link"), path)
+    return spark.read.parquet(path).select("seed", "link", "depth", "slug", F.md5("html").alias("html_md5"))
+
+
+@query
+def cluster_files(spark, sf):
+    """Cluster membership of two eps values, a folder each, read back."""
+    path = folder(spark, "clusters")
+    labels = C.dbscan_sweep(D.points(spark, sf), SWEEP[:2])
+    members = labels.join(D.point_texts(spark, sf), "id")
+    W.write_clusters(members, path, ("eps",))
+    return spark.read.schema("cluster_id INT, id LONG, paragraph STRING, eps DOUBLE").json(path)
+
+
+@query
+def labelled_files(spark, sf):
+    """Filtered clusters as JSON lines, read back."""
+    path = folder(spark, "labelled")
+    W.write_labelled(L.financial_filter(financial_labelled(spark, sf)), path)
+    back = R.read_cluster_lines(spark, path)
+    return back.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.array_join("paragraphs", "\n").alias("paragraphs"))
+
+
+@query
+def embedding_cache(spark, sf):
+    """Document vectors when those of the labelled documents are cached already."""
+    path = folder(spark, "vectors")
+    named = docs(spark, sf).select("doc_id", F.col("text").alias("paragraph"))
+    known = named.join(D.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    W.embedding_cache(known, hashing_encoder(), path)
+    vec = W.embedding_cache(named, hashing_encoder(), path)
+    return vec.select("doc_id", F.round(F.array_max("vec").cast("double"), 4).alias("top"))
+
+
+@query
+def classify_with(spark, sf):
+    """A user's classifier over a prompt per document."""
+    prompt = prompts.build_prompt(prompts.FINANCIAL, F.col("term"))
+    replies = L.classify_with(D.terms(spark, sf).withColumn("prompt", prompt), fee_classifier, ["doc_id"])
+    return L.financial_labels(replies).select("doc_id", "classification", "confidence")
+
+
+def fee_classifier():
+    return lambda batch: ['{"classification": %d, "confidence": 0.5}' % ("fee" in text) for text in batch]
+
+
+@query
+def html_content_only(spark, sf):
+    served = pages(spark, sf).select(
+        "page_id", D.by_remainder("page_id", ("text/html; charset=utf-8", "Text/HTML", "application/pdf", None)).alias("content_type")
+    )
+    return S.html_content_only(served)
