@@ -27,16 +27,19 @@ def detect_language(text: Column, stop_words: dict[str, tuple[str, ...]] | None
     A tie goes to the language listed first. This is a rule, not a statistical model.
     """
     lists = stop_words or STOP_WORDS
-    tokens = F.split(F.lower(text), f"{WS}+")
-    scored = F.array(
-        *[
+    tokens = F.array_distinct(F.split(F.lower(text), f"{WS}+"))
+
+    def best(words: Column) -> Column:
+        scored = [
             F.struct(
-                F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words]))).alias("hits"),
+                F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in listed]))).alias("hits"),
                 F.lit(-order).alias("prior"),
                 F.lit(code).alias("code"),
             )
-            for order, (code, words) in enumerate(lists.items())
+            for order, (code, listed) in enumerate(lists.items())
         ]
-    )
-    best = F.array_max(scored)
-    return F.when(best["hits"] > 0, best["code"])
+        return F.array_max(F.array(*scored))
+
+    # lambda variables, so the text is split once and scored once
+    winner = F.transform(F.array(tokens), best)
+    return F.transform(winner, lambda w: F.when(w["hits"] > 0, w["code"]))[0]

@@ -22,6 +22,7 @@ HIDDEN_ELEMENTS = frozenset(("script", "style", "template", "rt", "rp"))
 # Elements that keep blank text as it is.
 PREFORMATTED_ELEMENTS = frozenset(("pre", "textarea"))
 _BLANKS = " \n\t\f\r"
+_NOTED = frozenset(("a", "meta"))
 
 
 class Page(HTMLParser):
@@ -39,6 +40,8 @@ class Page(HTMLParser):
         self._buffer: list[str] = []
         self._stack: list[tuple[str, int]] = []
         self._open: dict[str, int] = {}
+        self._hidden = 0
+        self._preformatted = 0
         self._spans: list[list[int]] = []
         try:
             self.feed(html)
@@ -65,33 +68,41 @@ class Page(HTMLParser):
             if text:
                 yield text
 
-    def _inside(self, names: frozenset) -> bool:
-        return any(self._open.get(name) for name in names)
-
     def _flush(self) -> None:
         if not self._buffer:
             return
         data = "".join(self._buffer)
         self._buffer.clear()
-        if not data.strip(_BLANKS) and not self._inside(PREFORMATTED_ELEMENTS):
+        if self._hidden:
+            return
+        if data[0] in _BLANKS and not self._preformatted and not data.strip(_BLANKS):
             data = "\n" if "\n" in data else " "
-        if not self._inside(HIDDEN_ELEMENTS):
-            self._texts.append(data)
+        self._texts.append(data)
 
     def _note(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         values = {name: "" if value is None else value for name, value in attrs}
-        if tag == "a" and "href" in values:
-            self.links.append((values["href"], values.get("onclick")))
-        elif tag == "html" and not self._seen_html:
-            self._seen_html = True
-            self._html_lang = values.get("lang")
-        elif tag == "meta" and not self._seen_meta and values.get("http-equiv") == "Content-Language":
+        if tag == "a":
+            if "href" in values:
+                self.links.append((values["href"], values.get("onclick")))
+        elif tag == "html":
+            if not self._seen_html:
+                self._seen_html = True
+                self._html_lang = values.get("lang")
+        elif not self._seen_meta and values.get("http-equiv") == "Content-Language":
             self._seen_meta = True
             self._meta_lang = values.get("content")
 
+    def _count(self, tag: str, step: int) -> None:
+        self._open[tag] = self._open.get(tag, 0) + step
+        if tag in HIDDEN_ELEMENTS:
+            self._hidden += step
+        elif tag in PREFORMATTED_ELEMENTS:
+            self._preformatted += step
+
     def handle_starttag(self, tag, attrs):
         self._flush()
-        self._note(tag, attrs)
+        if attrs and tag in _NOTED or tag == "html":
+            self._note(tag, attrs)
         if tag in VOID_ELEMENTS:
             return
         slot = -1
@@ -99,7 +110,7 @@ class Page(HTMLParser):
             slot = len(self._spans)
             self._spans.append([len(self._texts), -1])
         self._stack.append((tag, slot))
-        self._open[tag] = self._open.get(tag, 0) + 1
+        self._count(tag, 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -110,12 +121,15 @@ class Page(HTMLParser):
         # an end tag closes everything opened since its start tag; without one it means nothing
         while self._open.get(tag):
             name, slot = self._stack.pop()
-            self._open[name] -= 1
+            self._count(name, -1)
             if slot >= 0:
                 self._spans[slot][1] = len(self._texts)
             if name == tag:
                 return
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not used
+
     def handle_data(self, data):
         self._buffer.append(data)
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Members of a character class (without the brackets) equal to str.isspace.
-WS_CHARS = (
-    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# Every character that str.isspace accepts, and the same as members of a regex character class. In the class, Latin
+# characters are listed one by one (a bit set in Java) and the others sit behind one range check.
+_CODES = (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+SPACES = "".join(map(chr, _CODES))
+_NARROW = "".join(f"\\x{{{code:02x}}}" for code in _CODES if code < 0x100 and code != 0x20)
+_WIDE = "[\\x{1680}-\\x{3000}&&[" + "".join(f"\\x{{{code:x}}}" for code in _CODES if code > 0x100) + "]]"
+WS_CHARS = rf" {_NARROW}{_WIDE}"
 WS = f"[{WS_CHARS}]"
 NOT_WS = f"[^{WS_CHARS}]"
 
@@ -22,7 +24,7 @@ MIN_WORDS = 10
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(text, f"^{WS}++|(?<!{WS}){WS}++$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def non_blank(text: Column) -> Column:
@@ -32,7 +34,7 @@ def non_blank(text: Column) -> Column:
 
 def normalise_ws(text: Column) -> Column:
     """Newlines become spaces, then every run of two or more white space characters one space."""
-    return F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" ")), f"{WS}{{2,}}", " ")
+    return F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" ")), f"{WS}{{2,}}+", " ")
 
 
 def more_words_than(text: Column, n: int = MIN_WORDS) -> Column:
@@ -51,12 +53,12 @@ def word_count(text: Column) -> Column:
 
 def sanitise_quotes(text: Column) -> Column:
     """Double quotes become single quotes."""
-    return F.translate(text, '"', "'")
+    return F.replace(text, F.lit('"'), F.lit("'"))
 
 
 def collapse(text: Column) -> Column:
-    """Tokens joined by one space."""
-    return strip(F.regexp_replace(text, f"{WS}++", " "))
+    """Tokens joined by one space. Single spaces, nearly all there is, are passed over rather than replaced."""
+    return F.regexp_replace(strip(text), f"{WS}{{2,}}+|[{_NARROW}{_WIDE}]", " ")
 
 
 def split_sentences(text: Column) -> Column:

@@ -16,21 +16,20 @@ Encoder = Callable[[], Callable[[list[str]], np.ndarray]]
 def hashing_encoder(dim: int = 64) -> Encoder:
     """L2-normalised term frequencies: a token's place is the first 32 bits of its md5 modulo ``dim``."""
 
-    def build() -> Callable[[list[str]], np.ndarray]:
-        places: dict[str, int] = {}
+    class Places(dict):
+        def __missing__(self, token: str) -> int:
+            if len(self) > 1_000_000:  # a bound on memory, not on the tokens
+                self.clear()
+            at = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
+            return at
 
-        def place(token: str) -> int:
-            found = places.get(token)
-            if found is None:
-                if len(places) > 1_000_000:
-                    places.clear()
-                found = places[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-            return found
+    def build() -> Callable[[list[str]], np.ndarray]:
+        places = Places()
 
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim))
             for row, text in enumerate(texts):
-                at = [place(t) for t in text.lower().split()]
+                at = list(map(places.__getitem__, text.lower().split()))
                 out[row] = np.bincount(at, minlength=dim) if at else 0.0
             norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return (out / np.where(norm > 0, norm, 1.0)).astype(np.float32)

@@ -65,15 +65,15 @@ def test_foreign_csv(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("a.com", 'x "y", z'), ("b.com", "two\nlines")]
 
 
-STATS = "Languages: defaultdict(<class 'int'>, {})\nOther stats: {'accessible': 59, 'english': 50, 'is_shopping': 14, 'error_urls': ['ozon.ru', 'cisco.com']}\n"
+STATS = "Languages: defaultdict(<class 'int'>, {})\nOther stats: {'accessible': 59, 'english': 50, 'is_shopping': 14, 'error_urls': ['x.ru', 'y.com']}\n"
 
 
 def test_stats(spark, tmp_path):
-    (tmp_path / "tranco_0_100.txt").write_text(STATS)
-    (tmp_path / "tranco_100_200.txt").write_text("Languages: {}\nOther stats: {'accessible': 1, 'english': 0, 'is_shopping': 0, 'error_urls': []}")
+    (tmp_path / "list_0_100.txt").write_text(STATS)
+    (tmp_path / "list_100_200.txt").write_text("Languages: {}\nOther stats: {'accessible': 1, 'english': 0, 'is_shopping': 0, 'error_urls': []}")
     stats = R.read_stats(spark, str(tmp_path))
     first = stats.where("start = 0").first()
-    assert tuple(first) == (0, 100, 59, 50, 14, ["ozon.ru", "cisco.com"])
+    assert tuple(first) == (0, 100, 59, 50, 14, ["x.ru", "y.com"])
     assert tuple(S.funnel_totals(stats).first()) == (60, 50, 14)
     assert tuple(S.range_bounds(stats).first()) == (0, 200)
     bad = spark.createDataFrame([("nothing here",)], "value string").select(*R.parse_stats(F.col("value")))

@@ -252,7 +252,7 @@ ORACLES["concat_splits"] = "SELECT doc_id, source, (doc_id % 4)::INT AS split FR
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 UNESCAPED = "t"
 for entity, character in ENTITIES:
-    UNESCAPED = f"replace({UNESCAPED}, '{entity}', '{character}')"
+    UNESCAPED = f"regexp_replace({UNESCAPED}, '{entity}?', '{character}', 'g')"
 TOKENS = rf"""marked AS (
   SELECT page_id, url, regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '<cut>', 'gs'), '<[^>]+>|[^<]+') AS t
   FROM pages),
