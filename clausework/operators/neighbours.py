@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from clausework.operators.lineage import materialise
+from clausework.operators.skew import skew_join
 
 MAX_BLOCK_ROWS = 4096
 MAX_BLOCK_BYTES = 48 << 20
 MIN_BLOCK_ROWS = 256
-TILE_ROWS = 1024
+TILE_ROWS = 512
 _NO_LABEL = np.iinfo(np.int32).max
 
 
@@ -121,14 +123,16 @@ def _read_sides(batches, extra: str | None) -> tuple[_Side, _Side]:
 
 
 def _tiles(a: _Side, b: _Side, same: bool):
-    """Distances of a slice of ``a`` to all of ``b``; a vector is at distance 0 from itself."""
+    """Distances between slices of ``a`` and of ``b``, small enough for the cache; a vector is at distance 0 from itself."""
     for start in range(0, len(a.rid), TILE_ROWS):
         rows = slice(start, min(start + TILE_ROWS, len(a.rid)))
-        dist = 1.0 - a.unit[rows] @ b.unit.T
-        if same:
-            own = np.arange(rows.start, rows.stop)
-            dist[own - start, own] = np.where(a.nonzero[rows], 0.0, 1.0)
-        yield rows, dist
+        for first in range(0, len(b.rid), TILE_ROWS):
+            cols = slice(first, min(first + TILE_ROWS, len(b.rid)))
+            dist = a.unit[rows] @ b.unit[cols].T
+            np.subtract(1.0, dist, out=dist)
+            if same and first == start:
+                np.fill_diagonal(dist, np.where(a.nonzero[rows], 0.0, 1.0))
+            yield rows, cols, dist
 
 
 def _batch(schema: pa.Schema, scope_values: list, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -139,15 +143,14 @@ def _batch(schema: pa.Schema, scope_values: list, columns: list[np.ndarray]) ->
 
 
 def _schemas(c: Collapsed, fields: list[tuple[str, T.DataType]]) -> tuple[T.StructType, pa.Schema]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     schema = T.StructType([*(c.reps.schema[s] for s in c.scope), *(T.StructField(n, t) for n, t in fields)])
     return schema, to_arrow_schema(schema)
 
 
 def eps_pairs(c: Collapsed, eps: float) -> DataFrame:
-    """Scope, ``id_a < id_b``, ``dist``: pairs of distinct vectors at cosine distance ``<= eps``, tile by tile."""
-    schema, arrow = _schemas(c, [("id_a", T.LongType()), ("id_b", T.LongType()), ("dist", T.DoubleType())])
+    """Pairs of distinct vectors at cosine distance ``<= eps``, tile by tile; see ``eps_neighbours``."""
+    fields = [("id_a", T.LongType()), ("id_b", T.LongType()), ("dist", T.DoubleType())]
+    schema, arrow = _schemas(c, [*fields, ("copies_a", T.LongType()), ("copies_b", T.LongType())])
     n_scope = len(c.scope)
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +159,26 @@ def eps_pairs(c: Collapsed, eps: float) -> DataFrame:
         a, b = _read_sides(batches, None)
         if same:
             b = a
-        for rows, dist in _tiles(a, b, same):
+        for rows, cols, dist in _tiles(a, b, same):
             near = dist <= eps
             if same:
-                near &= a.rid[rows][:, None] < b.rid[None, :]
+                near &= a.rid[rows][:, None] < b.rid[cols][None, :]
             i, j = np.nonzero(near)
             if len(i):
-                left, right = a.rid[rows][i], b.rid[j]
-                yield _batch(arrow, scope, [np.minimum(left, right), np.maximum(left, right), dist[i, j]])
+                left, right = a.rid[rows][i], b.rid[cols][j]
+                n_left, n_right = a.weight[rows][i].astype(np.int64), b.weight[cols][j].astype(np.int64)
+                swap = left > right
+                yield _batch(
+                    arrow,
+                    scope,
+                    [
+                        np.where(swap, right, left),
+                        np.where(swap, left, right),
+                        dist[i, j],
+                        np.where(swap, n_right, n_left),
+                        np.where(swap, n_left, n_right),
+                    ],
+                )
 
     return _pair_blocks(c.reps.select(*c.scope, "rid", "weight", "vec"), c).applyInArrow(run, schema)
 
@@ -174,13 +189,7 @@ def eps_neighbours(points: DataFrame, eps: float, scope: list[str] = (), row_id:
     A vector that occurs ``n`` times is one row here (its smallest id) with ``copies = n``: the product of the copies
     is the number of point pairs a row stands for, and they are not written out.
     """
-    c = collapse_copies(points, list(scope), row_id, vec)
-    weights = c.reps.select(*c.scope, "rid", "weight")
-    pairs = eps_pairs(c, eps)
-    for side in ("a", "b"):
-        named = weights.select(*c.scope, F.col("rid").alias(f"id_{side}"), F.col("weight").alias(f"copies_{side}"))
-        pairs = pairs.join(named, [*c.scope, f"id_{side}"])
-    return pairs.select(*c.scope, "id_a", "id_b", "dist", "copies_a", "copies_b")
+    return eps_pairs(collapse_copies(points, list(scope), row_id, vec), eps)
 
 
 def neighbour_counts(c: Collapsed, eps_list: list[float]) -> DataFrame:
@@ -199,12 +208,12 @@ def neighbour_counts(c: Collapsed, eps_list: list[float]) -> DataFrame:
             b = a
         of_a = np.zeros((len(eps_list), len(a.rid)))
         of_b = np.zeros((len(eps_list), len(b.rid)))
-        for rows, dist in _tiles(a, b, same):
+        for rows, cols, dist in _tiles(a, b, same):
             for e, eps in enumerate(eps_list):
                 near = (dist <= eps).astype(np.float64)
-                of_a[e, rows] += near @ b.weight
+                of_a[e, rows] += near @ b.weight[cols]
                 if not same:
-                    of_b[e] += a.weight[rows] @ near
+                    of_b[e, cols] += a.weight[rows] @ near
         for side, counts in ((a, of_a),) if same else ((a, of_a), (b, of_b)):
             for e in range(len(eps_list)):
                 hit = counts[e] > 0
@@ -219,8 +228,6 @@ def neighbour_counts(c: Collapsed, eps_list: list[float]) -> DataFrame:
 
 def core_flags(points: DataFrame, eps: float, min_samples: int = 5, scope: list[str] = (), row_id: str = "id", vec: str = "vec") -> DataFrame:
     """``id, n_neighbours, is_core`` of each point: neighbours include the point itself."""
-    from clausework.operators.skew import skew_join
-
     c = collapse_copies(points, list(scope), row_id, vec)
     counts = neighbour_counts(c, [eps]).drop("e")
     reps = c.reps.select(*c.scope, "k1", "k2", "rid").join(counts, [*c.scope, "rid"], "left")
@@ -274,9 +281,9 @@ def core_forest(c: Collapsed, cores: DataFrame, eps_list: list[float]) -> DataFr
         if same:
             b = a
         near = [np.zeros((len(a.rid), len(b.rid)), dtype=bool) for _ in eps_list]
-        for rows, dist in _tiles(a, b, same):
+        for rows, cols, dist in _tiles(a, b, same):
             for e, eps in enumerate(eps_list):
-                near[e][rows] = dist <= eps
+                near[e][rows, cols] = dist <= eps
         for e in range(len(eps_list)):
             left, right = a.extra <= e, b.extra <= e
             child, root = _forest(near[e][left][:, right], a.rid[left], b.rid[right], same)
@@ -303,16 +310,17 @@ def border_labels(c: Collapsed, labels: DataFrame, eps_list: list[float]) -> Dat
             b = a
         if not len(a.rid) or not len(b.rid):
             return
-        best_a = np.full((len(eps_list), len(a.rid)), _NO_LABEL)
-        best_b = np.full((len(eps_list), len(b.rid)), _NO_LABEL)
-        for rows, dist in _tiles(a, b, same):
+        best_a = np.full((len(eps_list), len(a.rid)), _NO_LABEL, dtype=np.int32)
+        best_b = np.full((len(eps_list), len(b.rid)), _NO_LABEL, dtype=np.int32)
+        for rows, cols, dist in _tiles(a, b, same):
             for e, eps in enumerate(eps_list):
                 near = dist <= eps
-                best_a[e, rows] = np.where(near, b.extra[:, e][None, :], _NO_LABEL).min(axis=1)
+                if not near.any():
+                    continue
+                left, right = a.extra[rows, e], b.extra[cols, e]
+                best_a[e, rows] = np.minimum(best_a[e, rows], np.where(near, right[None, :], np.int32(_NO_LABEL)).min(axis=1))
                 if not same:
-                    best_b[e] = np.minimum(
-                        best_b[e], np.where(near, a.extra[rows, e][:, None], _NO_LABEL).min(axis=0)
-                    )
+                    best_b[e, cols] = np.minimum(best_b[e, cols], np.where(near, left[:, None], np.int32(_NO_LABEL)).min(axis=0))
         for side, best in ((a, best_a),) if same else ((a, best_a), (b, best_b)):
             for e in range(len(eps_list)):
                 hit = (best[e] != _NO_LABEL) & (side.extra[:, e] == _NO_LABEL)

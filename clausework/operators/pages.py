@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,9 +115,10 @@ def paragraph_rows(pages: DataFrame, keys: list[str], html: str = "html", distin
                 seen = set()
                 for pos, text in enumerate(page.paragraphs()):
                     if distinct:
-                        if text in seen:
+                        digest = hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+                        if digest in seen:
                             continue
-                        seen.add(text)
+                        seen.add(digest)
                     yield from writer.add({**row, "pos": pos, "paragraph": text}, len(text))
         yield from writer.flush()
 

@@ -62,7 +62,7 @@ def first_n(df: DataFrame, n: int = 10) -> DataFrame:
 def assign_splits(df: DataFrame, site: str = "url", sites_per_split: int = 2100) -> DataFrame:
     """Add ``split``: sites in name order, ``sites_per_split`` to a split.
 
-    Positions are given to the distinct sites, not to the rows.
+    Positions are given to the distinct sites, not to the rows. ``df`` is read several times, so it should be a table.
     """
     sites = row_position(df.select(site).distinct(), [site], "_site_pos").select(
         site, F.floor(F.col("_site_pos") / sites_per_split).cast("int").alias("split")
@@ -86,7 +86,8 @@ def sample_members(df: DataFrame, group: list[str], member: str, k: int = 20, se
     """At most ``k`` rows of each group, uniformly by a seeded hash of ``member``; repeatable.
 
     The rank filter is applied inside every map task first (WindowGroupLimit), so at most ``k`` rows of
-    a group leave a task, however large the group.
+    a group leave a task, however large the group. Spark does this for ``k`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000).
     """
     by_hash = Window.partitionBy(*group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(member))), member)
     return df.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= k).drop("_rank")

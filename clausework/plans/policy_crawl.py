@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausework.operators.lineage import materialise
-from clausework.operators.links import candidate_links, fetch_join, not_visited, union_links
+from clausework.operators.links import candidate_links, fetch_join, not_visited
 from clausework.operators.pages import language_of, parse_pages
 from clausework.operators.sites import english_only, html_content_only
 from clausework.operators.skew import skew_join
@@ -36,17 +38,14 @@ def crawl_levels(seeds: DataFrame, facts: DataFrame, max_depth: int = 3) -> Data
     for depth in range(1, max_depth + 1):
         if levels:
             kept = levels[-1]
-            visited = union_links([level.select("seed", "link") for level in levels])
+            visited = reduce(DataFrame.unionByName, levels)  # levels are distinct and do not overlap
             frontier = not_visited(candidate_links(fetch_join(kept, english)), visited)
         level = materialise(frontier, f"crawl-level-{depth}")
         levels.append(level)
         if level.isEmpty():
             break
     walked = [level.withColumn("depth", F.lit(d)) for d, level in enumerate(levels, 1)]
-    everything = walked[0]
-    for level in walked[1:]:
-        everything = everything.unionByName(level)
-    seen = skew_join(everything, flags.withColumn("fetched", F.lit(True)), ["link"], "left")
+    seen = skew_join(reduce(DataFrame.unionByName, walked), flags.withColumn("fetched", F.lit(True)), ["link"], "left")
     return seen.select(
         "seed",
         "link",

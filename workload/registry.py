@@ -445,7 +445,7 @@ def funnel_totals(spark, sf):
 
 
 def split_paragraphs(spark, sf):
-    return O.assign_splits(clean_docs(spark, sf), "url", SITES_PER_SPLIT)
+    return O.assign_splits(materialise(clean_docs(spark, sf), "paragraphs"), "url", SITES_PER_SPLIT)
 
 
 @query
@@ -713,8 +713,8 @@ def sites_json(spark, sf):
     domains, captured, replies = D.funnel_inputs(spark, sf)
     inputs = SF.site_inputs(domains, captured, replies)
     records = SF.site_records(inputs, captured).join(inputs.select("url", "chunk"), "url")
-    W.write_sites(records, path)
-    back = spark.read.schema(f"{SITES_DDL}, chunk INT").json(path)
+    W.write_sites(records, path, chunks_per_folder=10)
+    back = spark.read.schema(f"{SITES_DDL}, chunk INT, folder INT").json(path)
     return back.select("url", "language", "is_shopping", "chunk", F.md5("html").alias("html_md5"))
 
 
