@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from clausework.operators.lineage import materialise
 from clausework.operators.skew import skew_join
 
+# vertices that a task holds before it writes out what it has joined so far
+CONTRACT_VERTICES = 1_000_000
+
 
 def _is_star_forest(edges: DataFrame, keys: list[str]) -> bool:
     """True when every child has one parent and no parent is a child."""
@@ -18,6 +25,40 @@ def _is_star_forest(edges: DataFrame, keys: list[str]) -> bool:
     return roles.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
+def _contract(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace the edges that a task holds by a star forest with the same components.
+
+    No shuffle: it shortens paths and drops redundant edges before each round. A task holds a bounded number of
+    vertices; what it could not see together is left to the rounds.
+    """
+    arrow = to_arrow_schema(edges.select(*keys, "a", "b").schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(v):
+            while (up := parent.setdefault(v, v)) != v:
+                parent[v] = v = parent[up]  # halve the path
+            return v
+
+        def stars() -> pa.RecordBatch:
+            rows = [(*v, find(v)[-1]) for v in list(parent) if parent[v] != v]
+            columns = zip(*rows) if rows else [[]] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for batch in batches:
+            for *key, a, b in zip(*(batch.column(f.name).to_pylist() for f in arrow)):
+                left, right = find((*key, a)), find((*key, b))
+                if left != right:
+                    parent[max(left, right)] = min(left, right)
+            if len(parent) > CONTRACT_VERTICES:
+                yield stars()
+                parent.clear()
+        yield stars()
+
+    return edges.select(*keys, "a", "b").mapInArrow(run, edges.select(*keys, "a", "b").schema)
+
+
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Link every larger neighbour of a vertex to the smallest vertex around it.
 
@@ -43,8 +84,8 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
     ``edges`` has ``a > b`` within ``keys``. Roots have no row of their own. The number of rounds grows with the
     logarithm of the number of vertices; every round is a table, so nothing is recomputed after a loss.
     """
-    stars = materialise(edges.select(*keys, "a", "b").distinct(), "components")
+    stars = materialise(_contract(edges.select(*keys, "a", "b").distinct(), keys), "components")
     while not _is_star_forest(stars, keys):
         large = materialise(_large_star(stars, keys), "components")
-        stars = materialise(_small_star(large, keys), "components")
+        stars = materialise(_contract(_small_star(large, keys), keys), "components")
     return stars.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))

@@ -18,7 +18,7 @@ def skew_join(
     on: list[str],
     how: str = "inner",
     salt_by: list[str] | None = None,
-    small_rows: int = SMALL_ROWS,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``dim`` on ``on`` (inner, left, left_semi or left_anti), splitting hot keys.
 
@@ -27,10 +27,10 @@ def skew_join(
     keys has fewer than ``HOT_SHARE`` rows by construction. ``fact`` is scanned once more, for its
     keys alone, so it should be a table rather than a long lineage.
     """
-    counts = fact.groupBy(*on).count()
     total = fact.count()
-    if total < small_rows:
+    if total < (SMALL_ROWS if small_rows is None else small_rows):
         return fact.join(dim, on, how)
+    counts = fact.groupBy(*on).count()
     hot = counts.where(F.col("count") * HOT_SHARE > total).select(*on).collect()
     if not hot:
         return fact.join(dim, on, how)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clausework.operators import clustering as C
 from clausework.operators import neighbours as N
+from clausework.operators import skew
 from clausework.operators.embedding import embed, hashing_encoder
 from clausework.operators.labels import sample_texts
 from clausework.operators.positions import sample_members
@@ -55,6 +56,8 @@ def test_sweep_equals_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(N, "MIN_BLOCK_ROWS", 20)
     monkeypatch.setattr(N, "TILE_ROWS", 16)
     monkeypatch.setattr(N, "MAX_BLOCK_ROWS", 40)
+    if seed == 2:
+        monkeypatch.setattr(skew, "SMALL_ROWS", 0)
     v = blobs(seed)
     eps_list = [0.02, 0.06, 0.15]
     got = C.dbscan_sweep(frame(spark, v), eps_list, 5, ["g"]).collect()

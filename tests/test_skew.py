@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from clausework.operators import skew
+from clausework.operators import components, skew
 from clausework.operators.components import connected_components
 from clausework.operators.positions import assign_chunks, latest_wins, row_position, sample_members
 
@@ -77,8 +77,12 @@ def union_find(edges):
     return {(x, find(x)) for x in parent if find(x) != x}
 
 
-def test_components(spark, monkeypatch):
-    monkeypatch.setattr(skew, "SMALL_ROWS", 0)
+@pytest.mark.parametrize("vertices", [0, 40, 10**6])
+def test_components(spark, monkeypatch, vertices):
+    """With no room to contract in, the rounds alone must do it."""
+    monkeypatch.setattr(components, "CONTRACT_VERTICES", vertices)
+    monkeypatch.setattr(skew, "SMALL_ROWS", 0 if vertices == 0 else 10**6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     path = [(i + 1, i) for i in range(60)]
     hub = [(1000 + i, 999) for i in range(300)] + [(999, 998), (5000, 1299)]
     ring = [(7001, 7000), (7002, 7001), (7003, 7002), (7003, 7000)]
@@ -89,3 +93,4 @@ def test_components(spark, monkeypatch):
     expected = {(0, *p) for p in union_find(rows)} | {(1, *p) for p in union_find([r for r in rows if r[0] < 2000])}
     assert got == expected
     assert connected_components(edges.limit(0), ["g"]).count() == 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
