@@ -20,10 +20,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from clausework.operators.lineage import materialise
 from clausework.operators.skew import skew_join
 
-MAX_BLOCK_ROWS = 4096
+MAX_BLOCK_ROWS = 8192
 MAX_BLOCK_BYTES = 48 << 20
+TASK_BYTES = 512 << 20
 MIN_BLOCK_ROWS = 256
 TILE_ROWS = 512
+EPS_AT_ONCE = 3  # adjacency matrices that a task holds
 _NO_LABEL = np.iinfo(np.int32).max
 
 
@@ -59,16 +61,27 @@ def collapse_copies(points: DataFrame, scope: list[str], row_id: str = "id", vec
     vectors = stored.select(*scope, F.col("id").alias("rid"), "vec")
     reps = materialise(groups.join(vectors, [*scope, "rid"]), "vectors")
     sizes = reps.groupBy(*scope).agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d"))
-    row = sizes.agg(F.max("n"), F.max("d"), F.count("*")).first()
-    n_max, dim, n_scopes = row[0] or 0, row[1] or 1, max(row[2], 1)
-    per_block = max(1, min(MAX_BLOCK_ROWS, MAX_BLOCK_BYTES // (4 * dim)))
-    n_blocks = max(1, math.ceil(n_max / per_block), min(6, n_max // MIN_BLOCK_ROWS))
-    spark = points.sparkSession
-    slots = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n_tasks = min(slots, n_scopes * n_blocks * (n_blocks + 1) // 2)
+    row = sizes.agg(F.max("n"), F.sum("n"), F.max("d"), F.count("*")).first()
+    slots = points.sparkSession.sparkContext.defaultParallelism
+    n_blocks, n_tasks = _layout(row[0] or 0, row[1] or 0, row[2] or 1, max(row[3], 1), slots)
     return Collapsed(stored.drop("vec"), reps, scope, n_blocks, n_tasks)
 
 
+def _layout(n_max: int, n_rows: int, dim: int, n_scopes: int, slots: int) -> tuple[int, int]:
+    """Blocks per scope and partitions of the block pairs.
+
+    Every row is copied to each block of its scope, so blocks are as large as a task's memory allows; they get smaller
+    only while the scopes have too few pairs to occupy the cores twice. Partitions follow the copied volume.
+    """
+    by_memory = math.ceil(n_max / max(1, min(MAX_BLOCK_ROWS, MAX_BLOCK_BYTES // (4 * dim))))
+    pairs_wanted = math.ceil(2 * slots / n_scopes)
+    for_cores = math.ceil((math.sqrt(8 * pairs_wanted + 1) - 1) / 2)
+    n_blocks = max(1, by_memory, min(for_cores, n_max // MIN_BLOCK_ROWS))
+    volume = n_rows * n_blocks * 4 * dim
+    n_tasks = min(n_scopes * n_blocks * (n_blocks + 1) // 2, max(4 * slots, math.ceil(volume / TASK_BYTES)))
+    return n_blocks, n_tasks
+
+
 def _pair_blocks(rows: DataFrame, c: Collapsed) -> DataFrame:
     """Copy each row to the block pairs ``(bi, bj)``, ``bi <= bj``, that hold its block.
 
@@ -280,15 +293,17 @@ def core_forest(c: Collapsed, cores: DataFrame, eps_list: list[float]) -> DataFr
         a, b = _read_sides(batches, "core_from")
         if same:
             b = a
-        near = [np.zeros((len(a.rid), len(b.rid)), dtype=bool) for _ in eps_list]
-        for rows, cols, dist in _tiles(a, b, same):
-            for e, eps in enumerate(eps_list):
-                near[e][rows, cols] = dist <= eps
-        for e in range(len(eps_list)):
-            left, right = a.extra <= e, b.extra <= e
-            child, root = _forest(near[e][left][:, right], a.rid[left], b.rid[right], same)
-            if len(child):
-                yield _batch(arrow, scope, [np.full(len(child), e), child, root])
+        for first in range(0, len(eps_list), EPS_AT_ONCE):
+            some = range(first, min(first + EPS_AT_ONCE, len(eps_list)))
+            near = {e: np.zeros((len(a.rid), len(b.rid)), dtype=bool) for e in some}
+            for rows, cols, dist in _tiles(a, b, same):
+                for e in some:
+                    near[e][rows, cols] = dist <= eps_list[e]
+            for e in some:
+                left, right = a.extra <= e, b.extra <= e
+                child, root = _forest(near.pop(e)[left][:, right], a.rid[left], b.rid[right], same)
+                if len(child):
+                    yield _batch(arrow, scope, [np.full(len(child), e), child, root])
 
     rows = c.reps.select(*c.scope, "rid", "weight", "vec").join(cores, [*c.scope, "rid"])
     return _pair_blocks(rows, c).applyInArrow(run, schema)

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausework.functions.urls import strip_scheme
 from clausework.operators.lineage import materialise
 from clausework.operators.links import candidate_links, fetch_join, not_visited
 from clausework.operators.pages import language_of, parse_pages
-from clausework.operators.sites import english_only, html_content_only
+from clausework.operators.sites import accessible, english_only, html_content_only, shopping_gate
 from clausework.operators.skew import skew_join
 
 
@@ -24,6 +25,12 @@ def page_facts(pages: DataFrame, link: str = "url") -> DataFrame:
     return materialise(parsed.select("link", language_of().alias("language"), "links"), "page-facts")
 
 
+def site_seeds(sites: DataFrame, mode: str = "strict") -> DataFrame:
+    """``seed, links`` of site records that pass the shopping gate: the URL without scheme and its home page's links."""
+    gated = shopping_gate(accessible(sites), mode).select(strip_scheme(F.col("url")).alias("seed"), "html")
+    return parse_pages(gated, ["seed"], ("links",)).select("seed", "links")
+
+
 def crawl_levels(seeds: DataFrame, facts: DataFrame, max_depth: int = 3) -> DataFrame:
     """Every link looked at: ``seed, link, depth, fetched, english``.
 

@@ -55,6 +55,7 @@ def blobs(seed, n=260, dim=8):
 def test_sweep_equals_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(N, "MIN_BLOCK_ROWS", 20)
     monkeypatch.setattr(N, "TILE_ROWS", 16)
+    monkeypatch.setattr(N, "EPS_AT_ONCE", 2)
     monkeypatch.setattr(N, "MAX_BLOCK_ROWS", 40)
     if seed == 2:
         monkeypatch.setattr(skew, "SMALL_ROWS", 0)
@@ -119,6 +120,15 @@ def test_copies_are_one_row(spark):
     assert {(r["n_neighbours"], r["n"]) for r in flags.groupBy("n_neighbours").agg(F.count("*").alias("n")).collect()} == {(401, 401), (200, 200)}
 
 
+def test_layout():
+    """Large blocks where scopes are many, more of them where one scope must fill the cores, bounded by memory."""
+    assert N._layout(5_000, 5 * 10**9, 1024, 10**6, 4000) == (1, 38147)
+    blocks, tasks = N._layout(100_000, 100_000, 1024, 1, 8)
+    assert 100_000 / blocks <= N.MAX_BLOCK_ROWS and tasks <= blocks * (blocks + 1) // 2
+    assert N._layout(0, 0, 1, 1, 8) == (1, 1) and N._layout(2000, 2000, 64, 1, 8)[0] == 6
+    assert N._layout(10**6, 10**6, 100_000, 1, 8)[0] >= 10**6 * 4 * 100_000 // N.MAX_BLOCK_BYTES
+
+
 def test_no_points(spark):
     assert C.dbscan(frame(spark, [[1.0, 0.0]]).limit(0), 0.1).count() == 0
     assert [r["cluster_id"] for r in C.dbscan(frame(spark, [[1.0, 0.0]]), 0.1).collect()] == [-1]

@@ -342,6 +342,9 @@ ORACLES["incremental_job"] = f"WITH {CLEAN} SELECT * FROM clean WHERE page_key N
 ORACLES["parse_site_class"] = f"WITH {SITE_CLASS} SELECT url, is_shopping, class_error FROM classes"
 ORACLES["site_funnel"] = f"""WITH {FUNNEL}
 SELECT url, language, is_shopping, md5(html) AS html_md5 FROM inputs WHERE english AND is_shopping IS NOT NULL"""
+ORACLES["site_seeds"] = f"""WITH {FUNNEL}
+SELECT {SCHEMELESS} AS seed, array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1), ' ') AS hrefs
+FROM inputs WHERE english AND is_shopping <> 0"""
 ORACLES["shopping_gate_strict"] = f"WITH {FUNNEL} SELECT url, is_shopping FROM inputs WHERE english AND is_shopping = 1"
 ORACLES["shopping_gate_truthy"] = f"WITH {FUNNEL} SELECT url, is_shopping FROM inputs WHERE english AND is_shopping <> 0"
 ORACLES["funnel_counts"] = f"WITH {FUNNEL_COUNTS} SELECT * FROM counts"

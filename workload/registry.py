@@ -367,6 +367,14 @@ def union_links(spark, sf):
     return K.union_links([first, K.candidate_links(K.fetch_join(first, facts))])
 
 
+@query
+def site_seeds(spark, sf):
+    """Sites that pass the open gate, with the links of their home page."""
+    domains, captured, replies = D.funnel_inputs(spark, sf)
+    records = SF.site_records(SF.site_inputs(domains, captured, replies), captured)
+    return CR.site_seeds(records, "truthy").select("seed", F.array_join("links.href", " ").alias("hrefs"))
+
+
 @query
 def policy_crawl(spark, sf):
     return CR.policy_crawl(*D.link_graph(spark, sf))
