@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,14 +17,22 @@ def clean_response(text: Column) -> Column:
     return F.replace(F.replace(stripped, F.lit("'"), F.lit('"')), F.lit("json"), F.lit(""))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _parsed(text: Column) -> Column:
     """The JSON value of ``text`` as a one-element variant array; null when the text is not one JSON value.
 
     The parser stops after the first value. Inside brackets, text after it is an error.
     """
-    value = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    first, second = (F.try_variant_get(value, f"$[{i}]", "variant") for i in (0, 1))
-    return F.when(first.isNotNull() & second.isNull(), value)
+
+    def single(value: Column) -> Column:
+        first, second = (F.try_variant_get(value, f"$[{i}]", "variant") for i in (0, 1))
+        return F.when(first.isNotNull() & second.isNull(), value)
+
+    return _once(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), single)
 
 
 def _raw(parsed: Column, key: str, unwrap: bool = False) -> Column:
@@ -39,14 +49,16 @@ def _class_value(raw: Column) -> Column:
     Numbers and booleans keep their value. Other empty values are 0 and other non-empty ones -1:
     neither counts as class 1, and only the second passes a truth test.
     """
-    number = F.when(raw == "true", F.lit(1.0)).when(raw == "false", F.lit(0.0)).otherwise(raw.try_cast("double"))
-    whole = F.when(number == F.floor(number), number.cast("int")).otherwise(F.lit(-1))
-    return (
-        F.when(raw.isNull(), F.lit(None).cast("int"))
-        .when(raw.isin("null", '""', "[]", "{}"), F.lit(0))
-        .when(number.isNotNull(), whole)
-        .otherwise(F.lit(-1))
-    )
+
+    def of_number(number: Column) -> Column:
+        return F.when(number == F.floor(number), number.cast("int")).when(number.isNotNull(), F.lit(-1))
+
+    def value(text: Column) -> Column:
+        number = F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0)).otherwise(text.try_cast("double"))
+        empty = F.when(text.isin("null", '""', "[]", "{}"), F.lit(0))
+        return F.when(text.isNotNull(), F.coalesce(empty, _once(number, of_number), F.lit(-1)))
+
+    return _once(raw, value)
 
 
 def parse_site_class(text: Column) -> tuple[Column, Column]:
@@ -56,14 +68,17 @@ def parse_site_class(text: Column) -> tuple[Column, Column]:
     A null reply gives null for both.
     """
     parsed = _parsed(clean_response(text))
-    value = _class_value(_raw(parsed, "is_shopping"))
-    class_value = F.when(text.isNull(), F.lit(None).cast("int")).when(parsed.isNull(), F.lit(-1)).otherwise(value)
-    error = F.when(text.isNotNull(), parsed.isNotNull() & value.isNull())
-    return class_value, error
+    value = _once(
+        parsed, lambda p: F.when(p.isNull(), F.lit(-1)).otherwise(_class_value(_raw(p, "is_shopping")))
+    )
+    class_value = F.when(text.isNotNull(), value)
+    return class_value, F.when(text.isNotNull(), class_value.isNull())
 
 
 def _string_value(raw: Column) -> Column:
-    return F.when(raw.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"])
+    return _once(
+        raw, lambda r: F.when(r.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), r, F.lit("}")), "v string")["v"])
+    )
 
 
 def parse_financial(text: Column, unwrap: bool = False) -> tuple[Column, Column]:
@@ -73,22 +88,30 @@ def parse_financial(text: Column, unwrap: bool = False) -> tuple[Column, Column]
     unless ``unwrap`` is set; then its first element is read.
     """
     parsed = _parsed(text)
-    return _class_value(_raw(parsed, "classification", unwrap)), _raw(parsed, "confidence", unwrap).try_cast("double")
+    return (
+        _once(parsed, lambda p: _class_value(_raw(p, "classification", unwrap))),
+        _once(parsed, lambda p: _raw(p, "confidence", unwrap).try_cast("double")),
+    )
 
 
 def parse_category(text: Column, unwrap: bool = False) -> tuple[Column, Column]:
     """``category`` and ``confidence`` of a reply; the category is null unless it is a JSON string."""
     parsed = _parsed(text)
-    return _string_value(_raw(parsed, "category", unwrap)), _raw(parsed, "confidence", unwrap).try_cast("double")
+    return (
+        _once(parsed, lambda p: _string_value(_raw(p, "category", unwrap))),
+        _once(parsed, lambda p: _raw(p, "confidence", unwrap).try_cast("double")),
+    )
 
 
 def parse_annotation(text: Column) -> tuple[Column, Column]:
     """``topic_classification`` as an array and ``has_financial_term``; one topic may come as a plain string."""
+
+    def topics(raw: Column) -> Column:
+        many = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v array<string>")["v"]
+        return F.when(raw.startswith("["), many).when(raw.startswith('"'), F.array(_string_value(raw)))
+
     parsed = _parsed(text)
-    raw = _raw(parsed, "topic_classification")
-    many = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v array<string>")["v"]
-    topics = F.when(raw.startswith("["), many).when(raw.startswith('"'), F.array(_string_value(raw)))
-    return topics, _class_value(_raw(parsed, "has_financial_term"))
+    return _once(_raw(parsed, "topic_classification"), topics), _class_value(_raw(parsed, "has_financial_term"))
 
 
 def parse_products(text: Column) -> Column:
