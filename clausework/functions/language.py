@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clausework.functions.expr import once
 from clausework.functions.text import WS
 
 # Frequent function words per language; a word may serve several languages.
@@ -40,6 +41,4 @@ def detect_language(text: Column, stop_words: dict[str, tuple[str, ...]] | None
         ]
         return F.array_max(F.array(*scored))
 
-    # lambda variables, so the text is split once and scored once
-    winner = F.transform(F.array(tokens), best)
-    return F.transform(winner, lambda w: F.when(w["hits"] > 0, w["code"]))[0]
+    return once(once(tokens, best), lambda winner: F.when(winner["hits"] > 0, winner["code"]))

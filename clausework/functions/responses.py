@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clausework.functions.expr import once
 from clausework.functions.text import strip
 from clausework.schemas import PAYMENT_PAGE
 
@@ -17,11 +16,6 @@ def clean_response(text: Column) -> Column:
     return F.replace(F.replace(stripped, F.lit("'"), F.lit('"')), F.lit("json"), F.lit(""))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _parsed(text: Column) -> Column:
     """The JSON value of ``text`` as a one-element variant array; null when the text is not one JSON value.
 
@@ -32,7 +26,7 @@ def _parsed(text: Column) -> Column:
         first, second = (F.try_variant_get(value, f"$[{i}]", "variant") for i in (0, 1))
         return F.when(first.isNotNull() & second.isNull(), value)
 
-    return _once(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), single)
+    return once(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), single)
 
 
 def _raw(parsed: Column, key: str, unwrap: bool = False) -> Column:
@@ -56,9 +50,9 @@ def _class_value(raw: Column) -> Column:
     def value(text: Column) -> Column:
         number = F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0)).otherwise(text.try_cast("double"))
         empty = F.when(text.isin("null", '""', "[]", "{}"), F.lit(0))
-        return F.when(text.isNotNull(), F.coalesce(empty, _once(number, of_number), F.lit(-1)))
+        return F.when(text.isNotNull(), F.coalesce(empty, once(number, of_number), F.lit(-1)))
 
-    return _once(raw, value)
+    return once(raw, value)
 
 
 def parse_site_class(text: Column) -> tuple[Column, Column]:
@@ -68,7 +62,7 @@ def parse_site_class(text: Column) -> tuple[Column, Column]:
     A null reply gives null for both.
     """
     parsed = _parsed(clean_response(text))
-    value = _once(
+    value = once(
         parsed, lambda p: F.when(p.isNull(), F.lit(-1)).otherwise(_class_value(_raw(p, "is_shopping")))
     )
     class_value = F.when(text.isNotNull(), value)
@@ -76,7 +70,7 @@ def parse_site_class(text: Column) -> tuple[Column, Column]:
 
 
 def _string_value(raw: Column) -> Column:
-    return _once(
+    return once(
         raw, lambda r: F.when(r.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), r, F.lit("}")), "v string")["v"])
     )
 
@@ -89,8 +83,8 @@ def parse_financial(text: Column, unwrap: bool = False) -> tuple[Column, Column]
     """
     parsed = _parsed(text)
     return (
-        _once(parsed, lambda p: _class_value(_raw(p, "classification", unwrap))),
-        _once(parsed, lambda p: _raw(p, "confidence", unwrap).try_cast("double")),
+        once(parsed, lambda p: _class_value(_raw(p, "classification", unwrap))),
+        once(parsed, lambda p: _raw(p, "confidence", unwrap).try_cast("double")),
     )
 
 
@@ -98,8 +92,8 @@ def parse_category(text: Column, unwrap: bool = False) -> tuple[Column, Column]:
     """``category`` and ``confidence`` of a reply; the category is null unless it is a JSON string."""
     parsed = _parsed(text)
     return (
-        _once(parsed, lambda p: _string_value(_raw(p, "category", unwrap))),
-        _once(parsed, lambda p: _raw(p, "confidence", unwrap).try_cast("double")),
+        once(parsed, lambda p: _string_value(_raw(p, "category", unwrap))),
+        once(parsed, lambda p: _raw(p, "confidence", unwrap).try_cast("double")),
     )
 
 
@@ -111,7 +105,7 @@ def parse_annotation(text: Column) -> tuple[Column, Column]:
         return F.when(raw.startswith("["), many).when(raw.startswith('"'), F.array(_string_value(raw)))
 
     parsed = _parsed(text)
-    return _once(_raw(parsed, "topic_classification"), topics), _class_value(_raw(parsed, "has_financial_term"))
+    return once(_raw(parsed, "topic_classification"), topics), _class_value(_raw(parsed, "has_financial_term"))
 
 
 def parse_products(text: Column) -> Column:

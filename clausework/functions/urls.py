@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clausework.functions.expr import once
 from clausework.functions.text import WS_CHARS
 
 # A link is a policy link when a pattern of the first list is found in it
@@ -83,7 +84,7 @@ def with_scheme(url: Column) -> Column:
 def link_match(link: Column, seed: Column) -> Column:
     """Policy link test on what is left of ``link`` once every ``seed`` text is cut out."""
     rest = F.when(seed == "", link).otherwise(F.replace(link, seed, F.lit("")))
-    return ~rest.rlike(_any_of(NEGATIVE_PATTERNS)) & rest.rlike(_any_of(POSITIVE_PATTERNS))
+    return once(rest, lambda r: ~r.rlike(_any_of(NEGATIVE_PATTERNS)) & r.rlike(_any_of(POSITIVE_PATTERNS)))
 
 
 def text_match(text: Column) -> Column:
@@ -98,21 +99,33 @@ def valid_url(link: Column) -> Column:
 
 def onclick_link(script: Column) -> Column:
     """First http(s) URL inside an onclick script, null when there is none."""
-    found = F.regexp_extract(script, f"(https?://[^{WS_CHARS}'\"]+)", 1)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(script, f"(https?://[^{WS_CHARS}'\"]+)", 1), F.lit(""))
 
 
-def resolve_link(href: Column, onclick: Column, seed: Column) -> Column:
-    """Absolute form of a hyperlink, null when it gives no valid URL.
+def target_of(href: Column, onclick: Column, seed: Column) -> Column:
+    """Text of a hyperlink's target, valid or not.
 
     A leading ``/`` is resolved against the seed, whichever page holds the link.
     """
-    link = (
+    return (
         F.when(href.contains(VOID_HREF), onclick_link(onclick))
         .when(href.startswith("/"), F.concat(with_scheme(seed), href))
         .otherwise(href)
     )
-    return F.when(valid_url(link), link)
+
+
+def resolve_link(href: Column, onclick: Column, seed: Column) -> Column:
+    """Absolute form of a hyperlink, null when it gives no valid URL."""
+    return once(target_of(href, onclick, seed), lambda link: F.when(valid_url(link), link))
+
+
+def policy_links(links: Column, seed: Column) -> Column:
+    """Array of the distinct policy links in an array of ``href, onclick``.
+
+    Everything happens inside the array, so a link is resolved once and only matches are exploded.
+    """
+    targets = F.transform(links, lambda link: target_of(link["href"], link["onclick"], seed))
+    return F.array_distinct(F.filter(targets, lambda link: valid_url(link) & link_match(link, seed)))
 
 
 def page_slug(link: Column) -> Column:

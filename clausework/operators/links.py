@@ -14,12 +14,12 @@ from clausework.operators.skew import skew_join
 def candidate_links(pages: DataFrame, seed: str = "seed", links: str = "links") -> DataFrame:
     """Distinct ``(seed, link)`` policy links of pages that carry their seed and hyperlinks.
 
-    Resolving and matching depend on the seed, so they come after the explode; non-matches are
-    dropped before the only shuffle, and repeats are collapsed inside the map tasks.
+    Resolving and matching depend on the seed. They come before the explode, so only matches reach the one shuffle,
+    and repeats are collapsed in the page and in the map tasks first.
     """
-    exploded = pages.select(F.col(seed).alias("seed"), F.explode(links).alias("_l"))
-    resolved = exploded.select("seed", urls.resolve_link(F.col("_l.href"), F.col("_l.onclick"), F.col("seed")).alias("link"))
-    return resolved.where(F.col("link").isNotNull() & urls.link_match(F.col("link"), F.col("seed"))).distinct()
+    named = pages.select(F.col(seed).alias("seed"), F.col(links).alias("links"))
+    found = F.explode(urls.policy_links(F.col("links"), F.col("seed"))).alias("link")
+    return named.select("seed", found).distinct()
 
 
 def fetch_join(links: DataFrame, pages: DataFrame, on: str = "link") -> DataFrame:
