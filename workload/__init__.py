@@ -1 +1,7 @@
 """Registered queries, the tables they derive from the given ones, and their SQL counterparts."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
