@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder for stage tables: the session's checkpoint folder.
+    """The folder for stage tables: the session's checkpoint folder, else one in the warehouse.
 
-    A temporary folder of this machine serves only a local master, and only when none is set.
+    Executors share both; no folder of a single machine is ever chosen.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="clausework-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{warehouse}/stages"
+
+
+def _job_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/clausework/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -29,6 +29,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Unlike a row checkpoint the table keeps column pruning, pushed filters and size statistics.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/clausework/{spark.sparkContext.applicationId}/{label}-{uuid4().hex}"
+    path = f"{_job_folder(spark)}/{label}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all stage tables of this application; results that still read them must have been written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_job_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
