@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausework.llm.common import LOWER, UPPER, WHITE, hash128, payloads, row_key
 from clausework.operators.lineage import materialise
@@ -34,7 +35,7 @@ def _line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     lines = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
         *row_key("doc_id", "text"),
-        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"),
+        F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"),
     )
     key = F.translate(F.btrim("line", F.lit(WHITE)), UPPER, LOWER)
     keyed = lines.select("doc", "k1", "k2", "pos", key.alias("key")).where(F.length("key") >= min_chars)
@@ -161,16 +162,16 @@ def line_keep(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_D
     return grouped.mapInArrow(_bitmaps, "k1 long, k2 long, n_dropped long, keep binary")
 
 
-def _kept(text: bytes, packed: bytes | None) -> bytes:
-    if packed is None:
-        return text
+def _kept(text: bytes, packed: bytes) -> bytes:
     keep = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8))
     return b"\n".join(line for i, line in enumerate(text.split(b"\n")) if i >= len(keep) or keep[i])
 
 
-def _with_bitmaps(docs: DataFrame, columns: list[str], min_chars: int, min_docs: int) -> DataFrame:
-    keyed = docs.select(*columns, *row_key("doc_id", "text"))
-    return keyed.join(line_keep(docs, min_chars, min_docs), ["k1", "k2"], "left")
+def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int, *carried) -> DataFrame:
+    """``text, n_dropped, keep`` of every row, and what is carried along."""
+    keyed = docs.select(*carried, "text", *row_key("doc_id", "text"))
+    joined = keyed.join(line_keep(docs, min_chars, min_docs), ["k1", "k2"], "left")
+    return joined.withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0))).drop("k1", "k2")
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -178,17 +179,17 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts, packed = batch.column(at), batch.column("keep").to_pylist()
+            texts = batch.column("text")
             new = [
-                None if t is None else (t if p is None else _kept(t.encode(), p).decode())
-                for t, p in zip(texts.to_pylist(), packed)
+                t if p is None else _kept(t, p)
+                for t, p in zip(texts.cast(pa.binary()).to_pylist(), batch.column("keep").to_pylist())
             ]
-            columns = [pa.array(new, texts.type) if i == at else batch.column(i) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.binary()).cast(texts.type)], names=["row", "text"])
 
-    joined = _with_bitmaps(docs, docs.columns, min_chars, min_docs)
-    return joined.select(*docs.columns, "keep").mapInArrow(run, docs.schema)
+    rows = _with_bitmaps(docs, min_chars, min_docs, F.struct("*").alias("row")).select("row", "text", "keep")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType())])
+    new = rows.mapInArrow(run, schema)
+    return new.select(*[F.col("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 def line_digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -198,14 +199,14 @@ def line_digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         for batch in batches:
             texts = payloads(batch.column("text"))
             kept = [
-                hashlib.sha256(_kept(t, p)).hexdigest() for t, p in zip(texts, batch.column("keep").to_pylist())
+                hashlib.sha256(t if p is None else _kept(t, p)).hexdigest()
+                for t, p in zip(texts, batch.column("keep").to_pylist())
             ]
             lines = pa.array([t.count(b"\n") + 1 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), lines, batch.column("n_dropped"), pa.array(kept)],
+                [batch.column("doc_id"), lines, batch.column("n_dropped"), pa.array(kept, pa.string())],
                 names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    joined = _with_bitmaps(docs, ["doc_id", "text"], min_chars, min_docs)
-    rows = joined.select(F.col("doc_id").cast("long"), "text", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), "keep")
+    rows = _with_bitmaps(docs, min_chars, min_docs, F.col("doc_id").cast("long").alias("doc_id"))
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
