@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clausework.llm.ann import nearest
 from clausework.llm.decontam import leaks
 from clausework.llm.line_dedup import line_digest
+from clausework.llm.main_text import extract_pages
 from clausework.llm.mixing import mix
 from clausework.llm.near_dedup import near_duplicates
 from clausework.llm.secret_scan import secret_report
+from clausework.llm.span_dedup import span_digest
+from clausework.llm.token_counts import read_vocabulary, token_counts
 from clausework.llm.toxicity import toxicity
 
+# a public tokenizer's vocabulary with scores; only its path is kept here
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,10 +37,27 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("k1", "k2")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), read_vocabulary(VOCABULARY))
+
+
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("text", "n_chars")
 
@@ -46,7 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_token_counts": op7_token_counts,
+    "op8_span_dedup": op8_span_dedup,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
