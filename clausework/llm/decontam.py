@@ -92,8 +92,8 @@ def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
         .drop("shared")
     )
     laid = materialise(laid, "windows")
-    holders = laid.select("k1", "k2").distinct()
-    texts = _with_shingles(keyed.join(holders, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), width)
+    holders = materialise(laid.select("k1", "k2").distinct(), "holders")
+    texts = _with_shingles(keyed.join(_sized(holders), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), width)
     cut = F.slice("grams", F.col("start") + 1, F.col("words") - width + 1)
     return laid.join(texts.select("k1", "k2", "doc_id", "grams"), ["k1", "k2"]).select(
         "k1", "k2", "doc_id", "words", "start", cut.alias("win")
