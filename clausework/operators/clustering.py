@@ -38,7 +38,7 @@ def dbscan_sweep(
 
     Same labels as a single-machine run on the rows in ``id`` order: a point is core when at least ``min_samples`` points
     (itself included) lie within eps; clusters are the connected cores, numbered by their first core row; a border point
-    takes the lowest-numbered cluster next to it.
+    takes the lowest-numbered cluster next to it. A point without a vector to compare is noise.
     """
     scope = list(scope)
     eps_list = sorted(set(eps_list))
@@ -73,8 +73,10 @@ def dbscan_sweep(
         F.element_at(F.array(*[F.lit(float(x)) for x in eps_list]), F.col("e") + 1).alias("eps"),
         F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id"),
     )
-    members = skew_join(c.members, rep_labels, [*scope, "k1", "k2"], salt_by=["id"])
-    return members.select(*scope, "eps", "id", "cluster_id")
+    members = skew_join(c.members.where("sound"), rep_labels, [*scope, "k1", "k2"], salt_by=["id"])
+    every_eps = F.explode(F.array(*[F.lit(float(x)) for x in eps_list])).alias("eps")
+    alone = c.members.where("NOT sound").select(*scope, every_eps, "id", F.lit(NOISE).alias("cluster_id"))
+    return members.select(*scope, "eps", "id", "cluster_id").unionByName(alone)
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 5, scope: list[str] = (), row_id: str = "id", vec: str = "vec") -> DataFrame:

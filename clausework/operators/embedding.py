@@ -36,11 +36,12 @@ def hashing_encoder(dim: int = 64) -> Encoder:
 
         return encode
 
+    build.name = f"hashing-{dim}"
     return build
 
 
 def embed(df: DataFrame, encoder: Encoder, text: str = "paragraph", vec: str = "vec") -> DataFrame:
-    """Add a float vector of ``text``. The encoder is built once per task and called batch by batch."""
+    """Add a float vector of ``text``, null for a null text. The encoder is built once per task, called batch by batch."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -48,7 +49,7 @@ def embed(df: DataFrame, encoder: Encoder, text: str = "paragraph", vec: str = "
         for texts in batches:
             yield pd.Series(list(np.asarray(encode(texts.tolist()), dtype=np.float32)))
 
-    return df.withColumn(vec, run(F.col(text)))
+    return df.withColumn(vec, F.when(F.col(text).isNotNull(), run(F.coalesce(text, F.lit("")))))
 
 
 def cache_key(df: DataFrame, text: str = "paragraph") -> DataFrame:
@@ -57,5 +58,5 @@ def cache_key(df: DataFrame, text: str = "paragraph") -> DataFrame:
 
 def missing_embeddings(df: DataFrame, cache: DataFrame, text: str = "paragraph") -> DataFrame:
     """``text_key, text`` of the distinct texts that the cache does not hold."""
-    wanted = cache_key(df, text).groupBy("text_key").agg(F.first(text).alias(text))
+    wanted = cache_key(df, text).where(F.col(text).isNotNull()).groupBy("text_key").agg(F.first(text).alias(text))
     return wanted.join(cache.select("text_key"), "text_key", "left_anti")

@@ -32,7 +32,7 @@ _NO_LABEL = np.iinfo(np.int32).max
 class Collapsed(NamedTuple):
     """Points with identical vectors as one row.
 
-    ``members``: scope, ``id``, ``k1``, ``k2`` of every point. ``reps``: scope, ``rid`` (smallest id of the copies),
+    ``members``: scope, ``id``, ``k1``, ``k2`` of every point, and ``sound``, whether it has a vector to compare. ``reps``: scope, ``rid`` (smallest id of the copies),
     ``weight`` (their number), ``vec``, ``k1``, ``k2``.
     """
 
@@ -46,22 +46,29 @@ class Collapsed(NamedTuple):
 def collapse_copies(points: DataFrame, scope: list[str], row_id: str = "id", vec: str = "vec") -> Collapsed:
     """Group points by scope and vector; ids are unique within a scope.
 
-    A vector is keyed by two 64-bit hashes, so the shuffle moves no vectors, and copies meet inside the map tasks.
+    A vector is keyed by two 64-bit hashes, so the shuffle moves no vectors, and copies meet inside the map tasks. Points
+    whose vector is null, empty or holds a null are not compared; vectors of different lengths are an error.
     """
     v = F.col(vec)
+    sound = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull()), F.lit(False))
     keyed = points.select(
         *scope,
         F.col(row_id).cast("long").alias("id"),
         v.cast("array<float>").alias("vec"),
         F.xxhash64(v).alias("k1"),
         F.xxhash64(F.lit(1), v).alias("k2"),
+        sound.alias("sound"),
     )
     stored = materialise(keyed, "points")
-    groups = stored.groupBy(*scope, "k1", "k2").agg(F.min("id").alias("rid"), F.count("*").alias("weight"))
-    vectors = stored.select(*scope, F.col("id").alias("rid"), "vec")
+    usable = stored.where("sound")
+    groups = usable.groupBy(*scope, "k1", "k2").agg(F.min("id").alias("rid"), F.count("*").alias("weight"))
+    vectors = usable.select(*scope, F.col("id").alias("rid"), "vec")
     reps = materialise(groups.join(vectors, [*scope, "rid"]), "vectors")
-    sizes = reps.groupBy(*scope).agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d"))
-    row = sizes.agg(F.max("n"), F.sum("n"), F.max("d"), F.count("*")).first()
+    length = F.size("vec")
+    sizes = reps.groupBy(*scope).agg(F.count("*").alias("n"), F.max(length).alias("d"), F.min(length).alias("least"))
+    row = sizes.agg(F.max("n"), F.sum("n"), F.max("d"), F.count("*"), F.count_if(F.col("least") < F.col("d"))).first()
+    if row[4]:
+        raise ValueError(f"vectors of different lengths in {row[4]} scopes")
     slots = points.sparkSession.sparkContext.defaultParallelism
     n_blocks, n_tasks = _layout(row[0] or 0, row[1] or 0, row[2] or 1, max(row[3], 1), slots)
     return Collapsed(stored.drop("vec"), reps, scope, n_blocks, n_tasks)
@@ -197,12 +204,30 @@ def eps_pairs(c: Collapsed, eps: float) -> DataFrame:
 
 
 def eps_neighbours(points: DataFrame, eps: float, scope: list[str] = (), row_id: str = "id", vec: str = "vec") -> DataFrame:
-    """``id_a, id_b, dist, copies_a, copies_b``: all pairs of distinct vectors within ``eps``, without loss.
+    """``id_a, id_b, dist, copies_a, copies_b``: all pairs within ``eps``, without loss, copies of a vector as one row.
 
-    A vector that occurs ``n`` times is one row here (its smallest id) with ``copies = n``: the product of the copies
-    is the number of point pairs a row stands for, and they are not written out.
+    A vector that occurs ``n`` times is named by its smallest id, with ``copies = n``. A row of two vectors stands for
+    ``copies_a * copies_b`` point pairs; a row with ``id_a = id_b``, at distance 0, for the ``n * (n - 1) / 2`` pairs among
+    the copies of one vector. ``copy_members`` gives the points behind an id, so every pair can be rebuilt.
     """
-    return eps_pairs(collapse_copies(points, list(scope), row_id, vec), eps)
+    c = collapse_copies(points, list(scope), row_id, vec)
+    alike = c.reps.where("weight > 1").where(F.exists("vec", lambda x: x != 0))
+    copies = alike.select(
+        *c.scope,
+        F.col("rid").alias("id_a"),
+        F.col("rid").alias("id_b"),
+        F.lit(0.0).alias("dist"),
+        F.col("weight").alias("copies_a"),
+        F.col("weight").alias("copies_b"),
+    )
+    return eps_pairs(c, eps).unionByName(copies)
+
+
+def copy_members(points: DataFrame, scope: list[str] = (), row_id: str = "id", vec: str = "vec") -> DataFrame:
+    """Scope, ``id``, ``rid``: the smallest id with the same vector, for every point that has one."""
+    c = collapse_copies(points, list(scope), row_id, vec)
+    keys = [*c.scope, "k1", "k2"]
+    return skew_join(c.members.where("sound"), c.reps.select(*keys, "rid"), keys, salt_by=["id"]).select(*c.scope, "id", "rid")
 
 
 def neighbour_counts(c: Collapsed, eps_list: list[float]) -> DataFrame:

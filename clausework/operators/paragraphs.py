@@ -10,11 +10,21 @@ from clausework.operators.pages import paragraph_rows
 
 
 def explode_lines(df: DataFrame, keys: list[str], text: str = "text", distinct: bool = False) -> DataFrame:
-    """One row ``(keys, pos, paragraph)`` per line; with ``distinct`` a repeated line counts once per row of ``df``."""
+    """One row ``(keys, pos, paragraph)`` per line; ``pos`` is the line's number in the text.
+
+    With ``distinct`` a repeated line counts once per row of ``df``, where it stands first.
+    """
     lines = F.split(F.col(text), "\n")
-    if distinct:
-        lines = F.array_distinct(F.transform(lines, X.strip))
-    return df.select(*keys, F.posexplode(lines).alias("pos", "paragraph"))
+    if not distinct:
+        return df.select(*keys, F.posexplode(lines).alias("pos", "paragraph"))
+    placed = F.transform(lines, lambda line, i: F.struct(X.strip(line).alias("paragraph"), i.alias("pos")))
+    ordered = df.select(*keys, F.array_sort(placed).alias("_lines"))
+    first = F.filter(
+        "_lines", lambda x, i: (i == 0) | (x["paragraph"] != F.element_at("_lines", F.greatest(i, F.lit(1)))["paragraph"])
+    )
+    # outer, as the planner would otherwise sort the lines once more to see which rows have any
+    rows = ordered.select(*keys, F.explode_outer(first).alias("_line"))
+    return rows.where("_line IS NOT NULL").select(*keys, "_line.pos", "_line.paragraph")
 
 
 def explode_terms(df: DataFrame, keys: list[str], reply: str, name: str = "term") -> DataFrame:

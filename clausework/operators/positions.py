@@ -75,11 +75,20 @@ def chunk_of(df: DataFrame, order: list[str | Column], size: int = 100) -> DataF
     return row_position(df, order).withColumn("chunk", F.floor(F.col("pos") / size).cast("int"))
 
 
-def assign_chunks(df: DataFrame, order: list[str | Column], num_chunks: int = 10) -> DataFrame:
-    """Add ``pos`` and ``chunk``: ``num_chunks`` slices of ``ceil(rows / num_chunks)`` rows, the last one short."""
-    placed = row_position(df, order)
-    size = max(1, math.ceil(placed.count() / num_chunks))
-    return placed.withColumn("chunk", F.floor(F.col("pos") / size).cast("int"))
+def assign_chunks(df: DataFrame, order: list[str | Column], num_chunks: int = 10, within: list[str] = ()) -> DataFrame:
+    """Add ``pos`` and ``chunk``: ``num_chunks`` slices of ``ceil(rows / num_chunks)`` rows, the last one short.
+
+    ``within`` names groups that are each sliced on their own; positions then count from the group's first row. Both come
+    from one global order, so no group is sorted in a single task.
+    """
+    within = list(within)
+    placed = row_position(df, [*within, *order])
+    if not within:
+        size = max(1, math.ceil(placed.count() / num_chunks))
+        return placed.withColumn("chunk", F.floor(F.col("pos") / size).cast("int"))
+    groups = placed.groupBy(*within).agg(F.min("pos").alias("_first"), F.ceil(F.count("*") / num_chunks).alias("_size"))
+    joined = skew_join(placed, groups, within, salt_by=["pos"]).withColumn("pos", F.col("pos") - F.col("_first"))
+    return joined.withColumn("chunk", F.floor(F.col("pos") / F.col("_size")).cast("int")).drop("_first", "_size")
 
 
 def sample_members(df: DataFrame, group: list[str], member: str, k: int = 20, seed: int = 0) -> DataFrame:

@@ -69,7 +69,7 @@ def funnel_counts(df: DataFrame, by: str | None = "chunk") -> DataFrame:
 
 def funnel_totals(counts: DataFrame) -> DataFrame:
     """Sum of the chunk counters, error lists left out."""
-    return counts.agg(*[F.sum(c).alias(c) for c in ("accessible", "english", "is_shopping")])
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("accessible", "english", "is_shopping")])
 
 
 def language_histogram(df: DataFrame, lang: str = "language") -> DataFrame:

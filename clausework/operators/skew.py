@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from math import ceil
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Below this many rows a single task can take every row, so salting is not worth its cost.
-SMALL_ROWS = 200_000
-# A key is hot when it holds more than 1/HOT_SHARE of the rows; so there are fewer than HOT_SHARE hot keys.
-HOT_SHARE = 500
-SALTS = 200
+# A key is looked at when it may hold more than this share of the rows: the sketch has 1 / SHARE counters.
+SHARE = 0.001
+# rows of one key that a task should take; a key with more is split into as many sub-keys as it fills tasks
+ROWS_PER_TASK = 100_000
+
+
+def _hot(fact: DataFrame, key: Column, rows_per_task: int) -> dict[int, int]:
+    """Key hash to number of sub-keys. A frequent-items sketch names the candidates, then those alone are counted."""
+    hashed = fact.select(key.alias("h"))
+    maybe = hashed.stat.freqItems(["h"], SHARE).first()[0]
+    if not maybe:
+        return {}
+    counts = hashed.where(F.col("h").isin(list(maybe))).groupBy("h").count().where(F.col("count") > rows_per_task)
+    return {r["h"]: ceil(r["count"] / rows_per_task) for r in counts.collect()}  # fewer than 1 / SHARE rows
 
 
 def skew_join(
@@ -18,37 +30,21 @@ def skew_join(
     on: list[str],
     how: str = "inner",
     salt_by: list[str] | None = None,
-    small_rows: int | None = None,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``dim`` on ``on`` (inner, left, left_semi or left_anti), splitting hot keys.
 
-    Rows of a hot key are spread over ``SALTS`` sub-keys by a hash of ``salt_by`` and only the
-    hot rows of ``dim`` are copied to each sub-key; all other rows join as they are. The list of hot
-    keys has fewer than ``HOT_SHARE`` rows by construction. ``fact`` is scanned once more, for its
-    keys alone, so it should be a table rather than a long lineage.
+    Rows of a hot key are spread over sub-keys by a hash of ``salt_by``, else of the other columns; the hot rows of ``dim``
+    are copied to each sub-key. A fact of key columns only has nothing to hash, so its rows are spread by their number.
+    ``fact`` is scanned once more for its keys, in a narrow pass, so it should be a table rather than a long lineage.
     """
-    total = fact.count()
-    if total < (SMALL_ROWS if small_rows is None else small_rows):
-        return fact.join(dim, on, how)
-    counts = fact.groupBy(*on).count()
-    hot = counts.where(F.col("count") * HOT_SHARE > total).select(*on).collect()
+    key = F.xxhash64(*on)
+    hot = _hot(fact, key, ROWS_PER_TASK if rows_per_task is None else rows_per_task)
     if not hot:
         return fact.join(dim, on, how)
-    hot_keys = F.broadcast(
-        fact.sparkSession.createDataFrame([tuple(r) for r in hot], fact.select(*on).schema).withColumn(
-            "_hot", F.lit(True)
-        )
-    )
+    salts: Column = reduce(lambda c, h: c.when(key == h, hot[h]), hot, F.when(F.lit(False), 1)).otherwise(1)
     spread = salt_by or [c for c in fact.columns if c not in on]
-    salted_fact = fact.join(hot_keys, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    )
-    salted_dim = (
-        dim.join(hot_keys, on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_hot")
-    )
-    return salted_fact.drop("_hot").join(salted_dim, [*on, "_salt"], how).drop("_salt")
+    place = F.xxhash64(*spread) if spread else F.monotonically_increasing_id()
+    salted_fact = fact.withColumn("_salt", F.pmod(place, salts.cast("long")).cast("int"))
+    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted_fact.join(salted_dim, [*on, "_salt"], how).drop("_salt")

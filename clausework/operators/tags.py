@@ -10,14 +10,11 @@ from clausework.functions.text import collapse
 from clausework.operators.skew import skew_join
 
 Rules = tuple[tuple[str, str], ...]
-MAX_RULES = 1000
 
 
 def rules_from(table: DataFrame) -> Rules:
-    """Rules of a ``(category, pattern)`` table. A table of more than ``MAX_RULES`` rows is refused."""
-    rows = table.select("category", "pattern").orderBy("category", "pattern").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule table holds at most {MAX_RULES} rows")
+    """Rules of a ``(category, pattern)`` table: one row per category and pattern, as a user writes them."""
+    rows = table.select("category", "pattern").distinct().orderBy("category", "pattern").collect()
     return tuple((r["category"], r["pattern"]) for r in rows)
 
 

@@ -9,7 +9,8 @@ from clausework.functions import prompts, taxonomy
 from clausework.operators import clustering as C
 from clausework.operators import labels as L
 from clausework.operators.embedding import Encoder, embed
-from clausework.operators.positions import assign_chunks
+from clausework.operators.lineage import materialise
+from clausework.operators.positions import assign_chunks, assign_splits
 
 
 def cluster_chunks(
@@ -29,6 +30,28 @@ def cluster_chunks(
     return placed, C.dbscan_sweep(points, eps_list, min_samples, ["chunk"])
 
 
+def cluster_splits(
+    paragraphs: DataFrame,
+    encoder: Encoder,
+    eps_list: list[float],
+    num_chunks: int = 10,
+    min_samples: int = 5,
+    sites_per_split: int = 2100,
+) -> tuple[DataFrame, DataFrame]:
+    """Sanitised paragraphs, placed, and their labels ``(split, chunk, eps, id, cluster_id)``.
+
+    ``paragraphs`` has ``url, page_key, pos, paragraph``. Sites are dealt to splits, and the paragraphs of a split, in the
+    order of site, page and place, to chunks; ``id`` is the paragraph's position in its split. Chunks are compared on
+    their own, so the work is rows times chunk size. The placed table keeps ``url, page_key, line``.
+    """
+    lines = materialise(paragraphs.withColumnRenamed("pos", "line"), "paragraphs")
+    split = assign_splits(lines, "url", sites_per_split)
+    placed = assign_chunks(split, ["url", "page_key", "line"], num_chunks, within=["split"]).withColumnRenamed("pos", "id")
+    placed = materialise(placed, "placed")
+    points = embed(placed.select("split", "chunk", "id", "paragraph"), encoder).drop("paragraph")
+    return placed, C.dbscan_sweep(points, eps_list, min_samples, ["split", "chunk"])
+
+
 def bounded_clusters(
     members: DataFrame, keys: list[str], lo: int = 2, hi: int = 1000, include_noise: bool = False, reference_sizes: bool = False
 ) -> DataFrame:

@@ -58,7 +58,7 @@ def test_sweep_equals_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(N, "EPS_AT_ONCE", 2)
     monkeypatch.setattr(N, "MAX_BLOCK_ROWS", 40)
     if seed == 2:
-        monkeypatch.setattr(skew, "SMALL_ROWS", 0)
+        monkeypatch.setattr(skew, "ROWS_PER_TASK", 5)
     v = blobs(seed)
     eps_list = [0.02, 0.06, 0.15]
     got = C.dbscan_sweep(frame(spark, v), eps_list, 5, ["g"]).collect()
@@ -114,8 +114,8 @@ def test_dense_region_sends_no_pairs(spark):
 
 def test_copies_are_one_row(spark):
     v = [[1.0, 0.0]] * 400 + [[0.0, 1.0]] * 200 + [[0.9, 0.1]]
-    rows = N.eps_neighbours(frame(spark, v), 0.05).collect()
-    assert [(r["id_a"], r["id_b"], r["copies_a"], r["copies_b"]) for r in rows] == [(0, 600, 400, 1)]
+    rows = N.eps_neighbours(frame(spark, v), 0.05).orderBy("id_a", "id_b").collect()
+    assert [(r["id_a"], r["id_b"], r["copies_a"], r["copies_b"]) for r in rows] == [(0, 0, 400, 400), (0, 600, 400, 1), (400, 400, 200, 200)]
     flags = N.core_flags(frame(spark, v), 0.05)
     assert {(r["n_neighbours"], r["n"]) for r in flags.groupBy("n_neighbours").agg(F.count("*").alias("n")).collect()} == {(401, 401), (200, 200)}
 
@@ -157,3 +157,16 @@ def test_encoder(spark):
     df = spark.createDataFrame([("a a b",), ("",), ("A A B",)], "paragraph string")
     rows = [np.array(r["vec"]) for r in embed(df, hashing_encoder(32)).collect()]
     assert np.isclose(np.linalg.norm(rows[0]), 1) and not rows[1].any() and np.allclose(rows[0], rows[2])
+
+
+def test_copies_only_nulls_and_lengths(spark):
+    schema = "id long, vec array<float>"
+    copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3)] + [(9, [-1.0, 0.5])], schema)
+    assert [tuple(r) for r in N.eps_neighbours(copies, 0.1).collect()] == [(0, 0, 0.0, 3, 3)]
+    assert {tuple(r) for r in N.copy_members(copies).collect()} == {(0, 0), (1, 0), (2, 0), (9, 9)}
+    odd = copies.unionByName(spark.createDataFrame([(20, None), (21, [1.0, None]), (22, [])], schema))
+    labels = {r["id"]: r["cluster_id"] for r in C.dbscan(odd, 0.1, 3).collect()}
+    assert labels == {0: 0, 1: 0, 2: 0, 9: -1, 20: -1, 21: -1, 22: -1}
+    assert {r["id"]: r["n_neighbours"] for r in N.core_flags(odd, 0.1).collect()}[20] == 0
+    with pytest.raises(ValueError, match="different lengths"):
+        N.eps_neighbours(copies.unionByName(spark.createDataFrame([(30, [1.0])], schema)), 0.1)

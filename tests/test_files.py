@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from clausework.operators import paragraphs as P
 from clausework.operators import positions as O
 from clausework.operators import sites as S
-from clausework.operators.embedding import hashing_encoder
+from clausework.operators.lineage import drop_stages
+from clausework.operators.embedding import embed, hashing_encoder
 from clausework.sources import readers as R
 from clausework.sources import writers as W
 from clausework.streaming import sanitise as T
@@ -61,7 +62,7 @@ def test_paragraph_round_trip(spark, tmp_path):
 def test_foreign_csv(spark, tmp_path):
     """A file with CR LF line ends and newlines inside fields."""
     (tmp_path / "s.csv").write_bytes('"url","paragraph"\r\n"a.com","x ""y"", z"\r\n"b.com","two\nlines"\r\n'.encode())
-    got = R.read_paragraphs(spark, [str(tmp_path / "s.csv")]).select("url", "paragraph")
+    got = R.read_paragraphs(spark, [str(tmp_path / "s.csv")], multi_line=True).select("url", "paragraph")
     assert [tuple(r) for r in got.collect()] == [("a.com", 'x "y", z'), ("b.com", "two\nlines")]
 
 
@@ -79,6 +80,40 @@ def test_stats(spark, tmp_path):
     bad = spark.createDataFrame([("nothing here",)], "value string").select(*R.parse_stats(F.col("value")))
     with pytest.raises(Exception, match="not found"):
         bad.collect()
+    odd = r"""Other stats: {'accessible': 1, 'error_urls': ['a.com', "o'b.com", 'x.com/[1]', 'it\'s', 'last.com'], 'english': 2, 'is_shopping': 3}"""
+    got = spark.createDataFrame([(odd,)], "value string").select(*R.parse_stats(F.col("value"))).first()
+    assert tuple(got) == (1, 2, 3, ["a.com", "o'b.com", "x.com/[1]", "it's", "last.com"])
+    many = spark.createDataFrame([("Other stats: " + str({"accessible": 0, "english": 0, "is_shopping": 0, "error_urls": ["u"] * 20_000}),)], "value string")
+    assert len(many.select(*R.parse_stats(F.col("value"))).first()["error_urls"]) == 20_000
+    short = spark.createDataFrame([("Other stats: {'accessible': 1, 'english': 2, 'error_urls': []}",)], "value string")
+    with pytest.raises(Exception, match="is_shopping"):
+        short.select(*R.parse_stats(F.col("value"))).collect()
+    assert tuple(S.funnel_totals(stats.limit(0)).first()) == (0, 0, 0)
+
+
+def test_names_with_a_plus(spark, tmp_path):
+    (tmp_path / "a.com").mkdir()
+    for name in ("terms+conditions.html", "terms conditions.html", "100%25.html"):
+        (tmp_path / "a.com" / name).write_text("<p>x</p>")
+    assert {r["page_key"] for r in R.read_pages(spark, str(tmp_path)).collect()} == {"terms+conditions.html", "terms conditions.html", "100%25.html"}
+
+
+def test_place_of_a_line_is_its_number(spark):
+    long = [f"{LONG} {i}" for i in range(3)]
+    docs = spark.createDataFrame([("s", 1, "\n".join(["x", long[0], long[0], long[1], "", long[0]]))], "url string, page_key int, text string")
+    assert {(r["pos"], r["paragraph"]) for r in P.sanitise_lines(docs, "url", "page_key").collect()} == {(1, long[0]), (3, long[1])}
+
+
+def test_finished_job_leaves_no_tables(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "own"))
+    try:
+        assert O.row_position(spark.range(10), ["id"]).count() == 10
+        assert list((tmp_path / "own").rglob("*.parquet"))
+        drop_stages(spark)
+        assert not list((tmp_path / "own").rglob("*.parquet"))
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
 
 
 def test_cluster_files(spark, tmp_path):
@@ -115,6 +150,7 @@ def test_embedding_cache(spark, tmp_path):
 
         return encode
 
+    encoder.name = "counted"
     df = spark.createDataFrame([("a b",), ("c",), ("a b",)], "paragraph string")
     path = str(tmp_path / "cache")
     assert W.embedding_cache(df, encoder, path).count() == 3
@@ -122,6 +158,13 @@ def test_embedding_cache(spark, tmp_path):
     more = df.unionByName(spark.createDataFrame([("d",)], "paragraph string"))
     assert W.embedding_cache(more, encoder, path).count() == 4
     assert calls.value == 3
+    other = hashing_encoder(16)
+    assert {len(r["vec"]) for r in W.embedding_cache(more, other, path).collect()} == {16}
+    nulls = spark.createDataFrame([(None,), ("a b",)], "paragraph string")
+    assert W.embedding_cache(nulls, other, path).where("vec IS NULL").count() == 1
+    assert embed(nulls, other).where("vec IS NULL").count() == 1
+    with pytest.raises(ValueError, match="name"):
+        W.embedding_cache(df, lambda: None, path)
 
 
 def test_stream_equals_batch_and_skips_seen_files(spark, tmp_path):

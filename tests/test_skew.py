@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from clausework.operators import components, skew
 from clausework.operators.components import connected_components
-from clausework.operators.positions import assign_chunks, latest_wins, row_position, sample_members
+from clausework.operators.paragraphs import dataset_stats
+from clausework.operators.positions import assign_chunks, assign_splits, latest_wins, row_position, sample_members
 
 
 @pytest.fixture(scope="module")
@@ -20,19 +21,37 @@ def tables(spark):
 def test_hot_keys_change_nothing(tables, how):
     fact, dim = tables
     plain = fact.join(dim, ["k"], how)
-    salted = skew.skew_join(fact, dim, ["k"], how, small_rows=0)
+    salted = skew.skew_join(fact, dim, ["k"], how, rows_per_task=100)
     assert salted.columns == plain.columns
     assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
 
 
 def test_hot_key_is_spread(spark, tables):
     fact, dim = tables
-    plan = skew.skew_join(fact, dim, ["k"], small_rows=0)._jdf.queryExecution().toString()
+    plan = skew.skew_join(fact, dim, ["k"], rows_per_task=100)._jdf.queryExecution().toString()
     assert "_salt" in plan
-    no_hot = skew.skew_join(spark.range(5000).withColumnRenamed("id", "k"), dim, ["k"], small_rows=0)
+    no_hot = skew.skew_join(spark.range(5000).withColumnRenamed("id", "k"), dim, ["k"], rows_per_task=100)
     assert "_salt" not in no_hot._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_key_columns_only_and_null_keys(spark, how):
+    fact = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 5).when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("k"))
+    dim = spark.createDataFrame([(5,), (7,), (None,)], "k long")
+    salted = skew.skew_join(fact, dim, ["k"], how, rows_per_task=100)
+    assert "_salt" in salted._jdf.queryExecution().toString()
+    assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, fact.join(dim, ["k"], how).collect()), key=repr)
+
+
+def test_splits_and_statistics_are_the_same_when_salted(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.col("source").alias("url"))
+    plain = {tuple(r) for r in assign_splits(docs, "url", 7).collect()}
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 10)  # 20 sources of 50 rows each: every one is hot
+    salted = assign_splits(docs, "url", 7)
+    assert "_salt" in salted._jdf.queryExecution().toString() and {tuple(r) for r in salted.collect()} == plain
+    assert sum(r["n_rows"] for r in dataset_stats(salted).collect()) == 1000
+
+
 def test_positions_on_ties_and_many_partitions(spark):
     rows = [(i % 7, i) for i in range(5000)]
     for parts in (1, 13):
@@ -50,6 +69,14 @@ def test_chunks(spark):
     assert len(few) == 3
 
 
+def test_chunks_within_groups(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("split"), "id")
+    placed = assign_chunks(df, ["id"], 4, within=["split"])
+    sizes = {(r["split"], r["chunk"]): r["count"] for r in placed.groupBy("split", "chunk").count().collect()}
+    assert sizes == {(0, 0): 9, (0, 1): 9, (0, 2): 9, (0, 3): 7, **{(s, c): n for s in (1, 2) for c, n in enumerate([9, 9, 9, 6])}}
+    assert placed.where("split = 1 AND id = 4").first()["pos"] == 1
+
+
 def test_sample_ignores_row_order(spark):
     df = spark.range(3000).select((F.col("id") % 3 == 0).cast("int").alias("g"), "id")
     one = {tuple(r) for r in sample_members(df, ["g"], "id", 20, seed=1).collect()}
@@ -81,7 +108,7 @@ def union_find(edges):
 def test_components(spark, monkeypatch, vertices):
     """With no room to contract in, the rounds alone must do it."""
     monkeypatch.setattr(components, "CONTRACT_VERTICES", vertices)
-    monkeypatch.setattr(skew, "SMALL_ROWS", 0 if vertices == 0 else 10**6)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 20 if vertices == 0 else 10**6)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     path = [(i + 1, i) for i in range(60)]
     hub = [(1000 + i, 999) for i in range(300)] + [(999, 998), (5000, 1299)]

@@ -1,4 +1,4 @@
-import pytest
+from pyspark.sql import functions as F
 
 from clausework.functions import taxonomy
 from clausework.operators import labels as L
@@ -7,7 +7,8 @@ from clausework.operators import tags as A
 
 def test_list_sizes():
     assert (len(taxonomy.FINANCIAL), len(taxonomy.UNFAVOURABLE), len(taxonomy.TOPICS)) == (11, 22, 23)
-    assert {c for c, _ in taxonomy.UNFAVOURABLE_RULES} <= set(taxonomy.UNFAVOURABLE)
+    assert {c for c, _ in taxonomy.UNFAVOURABLE_RULES} == set(taxonomy.UNFAVOURABLE)
+    assert {c for c, _ in taxonomy.TOPIC_RULES} == set(taxonomy.TOPICS)
     assert {c for c, _ in taxonomy.FINANCIAL_RULES} == set(taxonomy.FINANCIAL)
 
 
@@ -17,8 +18,10 @@ def test_rules_from_a_table(spark):
     df = spark.createDataFrame([("No REFUND, a fee and a charge",), ("hello",)], "paragraph string")
     got = [r["categories"] for r in A.taxonomy_tag(df, rules).collect()]
     assert got == [["A", "B"], ["Others"]]
-    with pytest.raises(ValueError):
-        A.rules_from(spark.range(A.MAX_RULES + 1).selectExpr("string(id) category", "'x' pattern"))
+    many = A.rules_from(spark.range(1200).selectExpr("string(id) category", "concat('x', id, '$') pattern"))
+    assert len(many) == 1200
+    numbered = spark.createDataFrame([("x7",), ("x1199",), ("y",)], "paragraph string")
+    assert [r["categories"] for r in A.taxonomy_tag(numbered, many).collect()] == [["7"], ["1199"], ["Others"]]
 
 
 def test_undisclosed(spark):
@@ -45,3 +48,7 @@ def test_classifier_surface(spark):
     assert sorted(map(tuple, got.collect())) == [(i, f"P{i}") for i in range(5)]
     joined = L.response_join(df, got.where("k < 2"), ["k"])
     assert joined.where("response IS NULL").count() == 3 and L.unanswered(df, got.where("k < 2"), ["k"]).count() == 3
+    twice = got.where("k < 2").unionByName(got.where("k = 0").withColumn("response", F.lit("P9")))
+    assert L.response_join(df, twice, ["k"]).count() == 5 and L.unanswered(df, twice, ["k"]).count() == 3
+    dated = twice.withColumn("at", F.when(F.col("response") == "P9", 1).otherwise(2))
+    assert L.response_join(df, dated, ["k"], order="at").where("k = 0").first()["response"] == "P0"

@@ -11,25 +11,22 @@ from pyspark.sql import functions as F
 
 from clausework.operators.lineage import materialise
 from clausework.operators.pages import parse_pages
+from clausework.operators.paragraphs import explode_lines, non_blank, strip_paragraphs
 
 HOST = r"^https?://([^/?#]+)"
 TERM_BUCKET = 10_000
-TERMS = (
-    "a restocking fee of 15 percent applies",
-    "no refund for sale items",
-    "you waive the right to join a class action",
-    "shipping delays are not our responsibility",
-    "we value your visit",
-    "cancellation fee and late payment penalty apply",
-)
+# Rules over words that the invented prose holds; the shipped rules need real terms and conditions.
 RULES = (
-    ("Cancellation Fee or Penalty", "cancellation fee"),
-    ("Forced Waiver of Class Action Rights", "class action"),
-    ("Late or Unsuccessful Payment Penalty", "late payment"),
-    ("No Refund for Purchase", "no refund"),
-    ("No Responsibility for Delivery Delays", "delays? (is|are) not"),
-    ("Restocking Fee", "restocking fee"),
+    ("Cancellation Fee or Penalty", " that "),
+    ("Customers Pay Return Shipping", " pour "),
+    ("Forced Waiver of Class Action Rights", " nicht "),
+    ("Late or Unsuccessful Payment Penalty", " with (the|of|in) "),
+    ("No Refund for Purchase", " (than|then) .* this "),
+    ("No Responsibility for Delivery Delays", " dans | sich "),
+    ("Restocking Fee", r"t(ion|ment)\."),
+    ("Restocking Fee", " from a "),
 )
+CATEGORIES = tuple(dict.fromkeys(category for category, _ in RULES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,8 +149,11 @@ def funnel_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return domains, pages.select("url", html.alias("html")), replies
 
 
-def replies_for(clusters: DataFrame, replies: tuple) -> DataFrame:
-    return clusters.select("cluster_id", by_remainder("cluster_id", replies).alias("response"))
+def replies_for(asked: DataFrame, replies: tuple, keys: list[str]) -> DataFrame:
+    """A reply per prompt; every third was asked twice, with the same answer."""
+    answer = by_remainder("cluster_id", replies).alias("response")
+    again = asked.where("cluster_id % 3 = 0").select(*keys, answer)
+    return asked.select(*keys, answer).unionByName(again)
 
 
 # ---- points, paragraphs, terms --------------------------------------------------------------
@@ -164,16 +164,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-def point_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, paragraph``: the first line of the document with the vector's number."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("paragraph"))
-
-
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, site, term``: a term per document."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.col("source").alias("site"), by_remainder("doc_id", TERMS).alias("term"))
+    """``doc_id, pos, site, term``: every non-blank line of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("site"), "text")
+    lines = strip_paragraphs(explode_lines(docs, ["doc_id", "site"]))
+    return non_blank(lines).withColumnRenamed("paragraph", "term")
 
 
 def payment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,8 @@ LINES = """lines AS (
   FROM documents)"""
 LONG = f"""{LINES}, long AS (SELECT * FROM lines WHERE {words('paragraph')} > 10)"""
 CLEAN = f"""{LONG}, clean AS (
-  SELECT url, page_key, replace(regexp_replace(paragraph, '\\s{{2,}}', ' ', 'g'), '"', '''') AS paragraph
-  FROM (SELECT DISTINCT url, page_key, trim(paragraph) AS paragraph FROM long))"""
+  SELECT url, page_key, pos, replace(regexp_replace(paragraph, '\\s{{2,}}', ' ', 'g'), '"', '''') AS paragraph
+  FROM (SELECT url, page_key, trim(paragraph) AS paragraph, min(pos) AS pos FROM long GROUP BY ALL))"""
 SPLITS = """splits AS (
   SELECT url, ((row_number() OVER (ORDER BY url) - 1) // 7)::INT AS split FROM (SELECT DISTINCT source AS url FROM documents))"""
 CHUNK_FILES = """files AS (
@@ -184,26 +184,44 @@ labels AS (
 
 
 EMBEDDED = f"WITH RECURSIVE {POINTS}, {labels([0.66], 5)}"
-CLUSTERS = f"""{EMBEDDED},
+# sanitised lines by split and chunk; the scope of a chunk is split * 1000 + chunk
+LINE_POINTS = f"""{CLEAN}, {SPLITS},
+ordered AS (
+  SELECT split, paragraph, row_number() OVER (PARTITION BY split ORDER BY url, page_key, pos) - 1 AS id,
+         ceil(count(*) OVER (PARTITION BY split) / 10)::BIGINT AS size
+  FROM clean JOIN splits USING (url)),
+placed AS (SELECT split, (id // size)::INT AS chunk, split * 1000 + (id // size)::INT AS scope, id, paragraph FROM ordered),
+tokens AS (
+  SELECT scope, id, ('0x' || md5(token)[:8])::BIGINT % 64 AS place, count(*) AS n
+  FROM (SELECT scope, id, unnest(regexp_split_to_array(lower(paragraph), '\\s+')) AS token FROM placed) WHERE token <> ''
+  GROUP BY ALL),
+norms AS (SELECT scope, id, sqrt(sum(n * n)) AS norm FROM tokens GROUP BY ALL),
+points AS (
+  SELECT d.scope, d.id, list(coalesce((t.n / norms.norm)::FLOAT, 0::FLOAT)::DOUBLE ORDER BY p.place) AS v
+  FROM placed d CROSS JOIN (SELECT unnest(range(64)) AS place) p
+  LEFT JOIN tokens t ON t.scope = d.scope AND t.id = d.id AND t.place = p.place
+  LEFT JOIN norms ON norms.scope = d.scope AND norms.id = d.id GROUP BY d.scope, d.id)"""
+CLUSTERS = f"""WITH RECURSIVE {LINE_POINTS}, {labels([0.25], 2)},
 members AS (
-  SELECT l.cluster_id, l.id, string_split(d.text, chr(10))[1] AS paragraph, md5('7:' || l.id) AS h
-  FROM labels l JOIN documents d ON d.doc_id = l.id WHERE l.cluster_id >= 0),
+  SELECT split, chunk, eps, l.cluster_id, l.id, paragraph, md5('7:' || l.id) AS h
+  FROM labels l JOIN placed d ON d.scope = l.scope AND d.id = l.id),
 clusters AS (
-  SELECT cluster_id, count(*) AS size, string_agg(paragraph, chr(10) ORDER BY id) AS paragraphs,
+  SELECT split, chunk, eps, cluster_id, count(*) AS size, string_agg(paragraph, chr(10) ORDER BY id) AS paragraphs,
          array_to_string(list(paragraph ORDER BY h, id)[:5], chr(10)) AS sample
-  FROM members GROUP BY cluster_id)"""
-BOUNDED = f"{CLUSTERS}, bounded AS (SELECT * FROM clusters WHERE size > 3 AND size < 16)"
+  FROM members WHERE cluster_id >= 0 GROUP BY ALL)"""
+BOUNDED = f"{CLUSTERS}, bounded AS (SELECT * FROM clusters WHERE size > 2 AND size < 1000)"
+KEYS = "split, chunk, eps, cluster_id"
 CLUSTER_REPLY = f"list_extract({listed(D.CLUSTER_REPLIES)}, (cluster_id % 4 + 1)::INT)"
 TOPIC_REPLY = f"list_extract({listed(D.TOPIC_REPLIES)}, (cluster_id % 3 + 1)::INT)"
 TOPICS = f"""{BOUNDED}, topics AS (
-  SELECT cluster_id, size, {TOPIC_REPLY}::JSON->>'category' AS category FROM bounded
+  SELECT {KEYS}, size, {TOPIC_REPLY}::JSON->>'category' AS category FROM bounded
   WHERE cluster_id % 4 = 0 AND lower({TOPIC_REPLY}::JSON->>'category') <> 'benign')"""
 
-TERM = f"list_extract({listed(D.TERMS)}, (doc_id % 6 + 1)::INT)"
-TERMS = f"terms AS (SELECT doc_id, source AS site, {TERM} AS term FROM documents)"
+TERMS = f"""{LINES}, terms AS (
+  SELECT page_key AS doc_id, pos, url AS site, trim(paragraph) AS term FROM lines WHERE regexp_matches(paragraph, '\\S'))"""
 HITS = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(term), {quoted(p)}) THEN {quoted(c)} END" for c, p in D.RULES) + "]"
 TAGGED = f"""{TERMS}, tagged AS (
-  SELECT *, CASE WHEN len(found) = 0 THEN ['{taxonomy.OTHERS}'] ELSE list_sort(found) END AS categories
+  SELECT *, CASE WHEN len(found) = 0 THEN ['{taxonomy.OTHERS}'] ELSE list_sort(list_distinct(found)) END AS categories
   FROM (SELECT *, list_filter({HITS}, lambda x: x IS NOT NULL) AS found FROM terms))"""
 
 # ---- text -----------------------------------------------------------------------------------
@@ -223,11 +241,12 @@ ORACLES["split_sentences"] = f"""
 SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS pos, unnest(s) AS sentence
 FROM (SELECT doc_id, list_filter({SENTENCES}, lambda x: x <> '') AS s FROM documents)"""
 ORACLES["explode_lines"] = f"WITH {LINES} SELECT * FROM lines"
-ORACLES["explode_terms"] = f"""WITH {TERMS}
-SELECT doc_id, 0 AS pos, term FROM terms UNION ALL SELECT doc_id, 2, upper(term) FROM terms"""
+ORACLES["explode_terms"] = rf"WITH {LINES} SELECT page_key AS doc_id, pos, paragraph AS term FROM lines WHERE regexp_matches(paragraph, '\S')"
 ORACLES["non_blank"] = rf"WITH {LINES} SELECT page_key, pos FROM lines WHERE regexp_matches(paragraph, '\S')"
 ORACLES["min_words"] = f"WITH {LONG} SELECT page_key, pos, paragraph FROM long"
-ORACLES["text_match"] = f"WITH {TERMS} SELECT doc_id, regexp_matches(term, {POSITIVE})::INT AS matched FROM terms"
+ORACLES["text_match"] = f"""WITH {TERMS}
+SELECT doc_id, pos, regexp_matches(lower(term || ['', ' Return POLICY', ' privacy policy'][pos % 3 + 1]), {POSITIVE})::INT AS matched
+FROM terms"""
 HIT_COUNTS = ", ".join(
     f"{{'hits': len(list_filter(tokens, lambda t: list_contains({listed(ws)}, t))), 'prior': {-i}, 'code': '{code}'}}"
     for i, (code, ws) in enumerate(STOP_WORDS.items())
@@ -244,7 +263,7 @@ for scope, keys in (("page", "url, page_key, paragraph"), ("site", "url, paragra
 SELECT url, page_key, pos, paragraph FROM long
 QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY page_key, pos, url) = 1"""
 ORACLES["sanitise_documents"] = f"WITH {CLEAN} SELECT * FROM clean"
-ORACLES["stream_sanitise"] = ORACLES["sanitise_documents"]
+ORACLES["stream_sanitise"] = f"WITH {CLEAN} SELECT url, page_key, paragraph FROM clean"
 ORACLES["concat_splits"] = "SELECT doc_id, source, (doc_id % 4)::INT AS split FROM documents"
 
 # An HTML parser for these pages in SQL: tags and texts in order; a paragraph ends where the count of open
@@ -335,7 +354,7 @@ FROM walked GROUP BY depth"""
 ORACLES["policy_page_counts"] = f"""{CRAWL}
 SELECT count(DISTINCT seed) AS n_sites, count(*) AS n_pages FROM walked WHERE fetched AND english"""
 ORACLES["not_collected"] = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
-ORACLES["incremental_job"] = f"WITH {CLEAN} SELECT * FROM clean WHERE page_key NOT IN (SELECT doc_id FROM labels)"
+ORACLES["incremental_job"] = f"WITH {CLEAN} SELECT url, page_key, paragraph FROM clean WHERE page_key NOT IN (SELECT doc_id FROM labels)"
 
 # ---- site funnel ----------------------------------------------------------------------------
 
@@ -382,9 +401,10 @@ FROM points a JOIN points b ON b.id = a.id + 1"""
 
 
 def pairs(eps: float, places: int) -> str:
+    """Plain point pairs."""
     return f"""
-SELECT a.id AS id_a, b.id AS id_b, round(1 - list_dot_product(a.u, b.u), {places}) AS dist, a.copies AS copies_a, b.copies AS copies_b
-FROM unit a JOIN unit b ON a.id < b.id AND a.id = a.rid AND b.id = b.rid AND 1 - list_dot_product(a.u, b.u) <= {eps}"""
+SELECT a.id, count(*) AS n_near, round(greatest(min(1 - list_dot_product(a.u, b.u)), 0), {places}) AS nearest
+FROM unit a JOIN unit b ON a.id <> b.id AND 1 - list_dot_product(a.u, b.u) <= {eps} GROUP BY a.id"""
 
 
 ORACLES["eps_neighbours"] = f"WITH {POINTS}, {unit()} {pairs(0.66, 6)}"
@@ -406,13 +426,13 @@ SELECT scope AS chunk, eps, id, cluster_id FROM labels"""
 ORACLES["missing_embedding"] = """
 SELECT DISTINCT md5(text) AS text_key FROM documents
 WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
-SIZES = f"{EMBEDDED}, sizes AS (SELECT cluster_id, count(*) AS size FROM labels WHERE cluster_id >= 0 GROUP BY cluster_id)"
-ORACLES["cluster_size_between"] = f"{SIZES} SELECT * FROM sizes WHERE size > 3 AND size < 16"
-ORACLES["collect_clusters"] = f"{CLUSTERS} SELECT cluster_id, size, paragraphs FROM clusters WHERE size > 2 AND size < 1000"
+ORACLES["cluster_splits"] = f"{CLUSTERS} SELECT {KEYS}, id, md5(paragraph) AS text_md5 FROM members"
+ORACLES["cluster_size_between"] = f"{BOUNDED} SELECT {KEYS}, size FROM bounded"
+ORACLES["collect_clusters"] = f"{BOUNDED} SELECT {KEYS}, size, paragraphs FROM bounded"
 ORACLES["members_with_repeat"] = f"""{CLUSTERS},
-firsts AS (SELECT cluster_id, arg_min(paragraph, id) AS paragraph FROM members GROUP BY cluster_id)
-SELECT cluster_id, size + 1 AS size, paragraph || chr(10) || paragraphs AS paragraphs
-FROM clusters JOIN firsts USING (cluster_id) WHERE size + 1 > 3 AND size + 1 < 16"""
+firsts AS (SELECT {KEYS}, arg_min(paragraph, id) AS paragraph FROM members GROUP BY ALL)
+SELECT {KEYS}, size + 1 AS size, paragraph || chr(10) || paragraphs AS paragraphs
+FROM clusters JOIN firsts USING ({KEYS}) WHERE size + 1 > 2 AND size + 1 < 1000"""
 
 
 def prompt_sql(template: str, **fields: str) -> str:
@@ -428,7 +448,7 @@ def prompt_sql(template: str, **fields: str) -> str:
 
 
 PROMPT = prompt_sql(prompts.FINANCIAL, sample="sample")
-ORACLES["build_prompt"] = f"{BOUNDED} SELECT cluster_id, {PROMPT} AS prompt, md5({PROMPT}) AS prompt_hash FROM bounded"
+ORACLES["build_prompt"] = f"{BOUNDED} SELECT {KEYS}, {PROMPT} AS prompt, md5({PROMPT}) AS prompt_hash FROM bounded"
 ORACLES["response_join"] = "SELECT doc_id, quality::VARCHAR AS response FROM documents LEFT JOIN labels USING (doc_id)"
 ORACLES["unanswered"] = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 ORACLES["parse_label"] = """
@@ -436,21 +456,22 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS plain,
        CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 END AS unwrapped,
        CASE WHEN doc_id % 4 < 2 THEN 0.9::DOUBLE END AS confidence FROM documents"""
 ORACLES["label_clusters"] = f"""{BOUNDED}
-SELECT cluster_id, size, json_extract_string({CLUSTER_REPLY}, '$.confidence')::DOUBLE AS confidence, paragraphs FROM bounded
+SELECT {KEYS}, size, json_extract_string({CLUSTER_REPLY}, '$.confidence')::DOUBLE AS confidence, paragraphs FROM bounded
 WHERE CASE WHEN json_valid({CLUSTER_REPLY}) THEN json_extract_string({CLUSTER_REPLY}, '$.classification') = '1' ELSE false END"""
-ORACLES["label_clusters_unwrap"] = f"{BOUNDED} SELECT cluster_id, size FROM bounded WHERE cluster_id % 4 IN (0, 2)"
-ORACLES["label_rejects"] = f"{BOUNDED} SELECT cluster_id, {CLUSTER_REPLY} AS response FROM bounded WHERE cluster_id % 4 IN (2, 3)"
+ORACLES["label_clusters_unwrap"] = f"{BOUNDED} SELECT {KEYS}, size FROM bounded WHERE cluster_id % 4 IN (0, 2)"
+ORACLES["label_rejects"] = f"{BOUNDED} SELECT {KEYS}, {CLUSTER_REPLY} AS response FROM bounded WHERE cluster_id % 4 IN (2, 3)"
 ORACLES["topic_clusters"] = f"{TOPICS} SELECT * FROM topics"
 ORACLES["category_counts"] = f"""{TOPICS}
 SELECT category, count(*) AS n_clusters, sum(size)::BIGINT AS n_paragraphs FROM topics GROUP BY category"""
 
 # ---- tags -----------------------------------------------------------------------------------
 
-ORACLES["taxonomy_tag"] = f"WITH {TAGGED} SELECT doc_id, array_to_string(categories, '|') AS categories FROM tagged"
+ORACLES["taxonomy_tag"] = f"WITH {TAGGED} SELECT doc_id, pos, array_to_string(categories, '|') AS categories FROM tagged"
 ORACLES["undisclosed_terms"] = f"""WITH {TERMS}
-SELECT doc_id, site, term || ' ' || doc_id AS term FROM terms WHERE doc_id % 2 = 1"""
-PROFILE = ", ".join(f"count(*) FILTER (list_contains(categories, {quoted(c)})) AS \"{c}\"" for c, _ in D.RULES)
-SEEN = " + ".join(f"(\"{c}\" > 0)::INT" for c, _ in D.RULES)
+SELECT doc_id, pos, site, term FROM terms t
+WHERE NOT EXISTS (SELECT 1 FROM terms s WHERE s.site = t.site AND s.doc_id % 2 = 0 AND lower(s.term) = lower(t.term))"""
+PROFILE = ", ".join(f"count(*) FILTER (list_contains(categories, {quoted(c)})) AS \"{c}\"" for c in D.CATEGORIES)
+SEEN = " + ".join(f"(\"{c}\" > 0)::INT" for c in D.CATEGORIES)
 ORACLES["site_profile"] = f"""WITH {TAGGED}
 SELECT *, ({SEEN})::INT AS n_categories
 FROM (SELECT site AS url, count(*) AS n_paragraphs, count(*) FILTER (NOT list_contains(categories, 'Others')) AS n_tagged, {PROFILE}
@@ -476,12 +497,11 @@ ORACLES["paragraph_csv"] = f"WITH {CLEAN} SELECT url, paragraph, 0 AS split FROM
 ORACLES["policy_page_files"] = rf"""{CRAWL}
 SELECT seed, link, depth, replace(replace(link, 'https://', ''), '/', '_')[:255] AS slug, md5(html) AS html_md5
 FROM walked JOIN pages ON page_id = regexp_extract(link, '/(\d+)$', 1)::BIGINT WHERE fetched AND english"""
-ORACLES["cluster_files"] = f"""WITH RECURSIVE {POINTS}, {labels([0.62, 0.66], 5)}
-SELECT cluster_id, l.id, string_split(text, chr(10))[1] AS paragraph, eps FROM labels l JOIN documents d ON d.doc_id = l.id"""
-ORACLES["labelled_files"] = f"{BOUNDED} SELECT cluster_id, paragraphs FROM bounded WHERE cluster_id % 4 = 0"
+ORACLES["cluster_files"] = f"{CLUSTERS} SELECT {KEYS}, id, paragraph FROM members"
+ORACLES["labelled_files"] = f"{BOUNDED} SELECT {KEYS}, paragraphs FROM bounded WHERE cluster_id % 4 = 0"
 ORACLES["embedding_cache"] = f"WITH {DOC_POINTS} SELECT id AS doc_id, round(list_max(v), 4) AS top FROM doc_vectors"
 ORACLES["classify_with"] = f"""WITH {TERMS}
-SELECT doc_id, contains(term, 'fee')::INT AS classification, 0.5::DOUBLE AS confidence FROM terms"""
+SELECT doc_id, pos, contains(term, 'thble')::INT AS classification, 0.5::DOUBLE AS confidence FROM terms"""
 ORACLES["html_content_only"] = """
 SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'text/html; charset=utf-8' ELSE 'Text/HTML' END AS content_type
 FROM pages WHERE page_id % 4 < 2"""

@@ -109,9 +109,8 @@ def explode_lines(spark, sf):
 
 @query
 def explode_terms(spark, sf):
-    """A reply that lists the document's term and a second one, a line each, with a blank line between."""
-    reply = F.concat(F.col("term"), F.lit("\n \n"), F.upper("term"))
-    return P.explode_terms(D.terms(spark, sf).withColumn("reply", reply), ["doc_id"], "reply")
+    """Whole documents as replies, a term per line."""
+    return P.explode_terms(docs(spark, sf), ["doc_id"], "text")
 
 
 @query
@@ -126,7 +125,9 @@ def min_words(spark, sf):
 
 @query
 def text_match(spark, sf):
-    return D.terms(spark, sf).select("doc_id", flag(urls.text_match(F.upper("term"))).alias("matched"))
+    """Lines of the documents, and page texts with a policy word put behind every third line."""
+    word = D.by_remainder("pos", ("", " Return POLICY", " privacy policy"))
+    return D.terms(spark, sf).select("doc_id", "pos", flag(urls.text_match(F.concat("term", word))).alias("matched"))
 
 
 @query
@@ -158,7 +159,7 @@ def clean_docs(spark, sf):
 
 @query
 def sanitise_documents(spark, sf):
-    return clean_docs(spark, sf).select("url", "page_key", "paragraph")
+    return clean_docs(spark, sf).select("url", "page_key", "pos", "paragraph")
 
 
 def host(url: str = "url"):
@@ -499,7 +500,20 @@ def cosine_distance(spark, sf):
 
 @query
 def eps_neighbours(spark, sf):
-    return N.eps_neighbours(D.points(spark, sf), EPS).withColumn("dist", F.round("dist", 6))
+    return near_points(D.points(spark, sf), EPS, 6)
+
+
+def near_points(points, eps, places):
+    """Per point the number of other points within eps and the distance of the nearest, from the collapsed pairs."""
+    pairs = materialise(N.eps_neighbours(points, eps), "pairs")
+    two = pairs.where("id_a <> id_b")
+    ends = two.select(F.col("id_a").alias("rid"), F.col("copies_b").alias("n"), "dist").unionByName(
+        two.select(F.col("id_b").alias("rid"), F.col("copies_a").alias("n"), "dist")
+    )
+    ends = ends.unionByName(pairs.where("id_a = id_b").select(F.col("id_a").alias("rid"), (F.col("copies_a") - 1).alias("n"), "dist"))
+    nearest = F.round(F.greatest(F.min("dist"), F.lit(0.0)), places).alias("nearest")
+    per_vector = ends.groupBy("rid").agg(F.sum("n").alias("n_near"), nearest)
+    return N.copy_members(points).join(per_vector, "rid").select("id", "n_near", "nearest")
 
 
 @query
@@ -534,8 +548,7 @@ def doc_points(spark, sf):
 @query
 def tf_neighbours(spark, sf):
     """Near copies among whole documents by term-frequency cosine."""
-    near = N.eps_neighbours(doc_points(spark, sf), DOC_EPS[0])
-    return near.withColumn("dist", F.round("dist", 4))
+    return near_points(materialise(doc_points(spark, sf), "vectors"), DOC_EPS[0], 4)
 
 
 @query
@@ -555,44 +568,63 @@ def missing_embedding(spark, sf):
     return missing_embeddings(named, cached).select("text_key")
 
 
+KEYS = ["split", "chunk", "eps", "cluster_id"]
+LINE_EPS = [0.25]
+
+
+def split_labels(spark, sf, eps_list=LINE_EPS):
+    """Sanitised lines of all documents by split and chunk, and their labels."""
+    return CL.cluster_splits(clean_docs(spark, sf), hashing_encoder(), list(eps_list), 10, 2, SITES_PER_SPLIT)
+
+
 def members(spark, sf):
-    """``cluster_id, id, paragraph`` of the vectors' clusters."""
-    labels = C.dbscan(D.points(spark, sf), EPS)
-    return materialise(labels.join(D.point_texts(spark, sf), "id"), "members")
+    """``split, chunk, eps, cluster_id, id, paragraph``."""
+    placed, labels = split_labels(spark, sf)
+    return materialise(labels.join(placed.select("split", "chunk", "id", "paragraph"), ["split", "chunk", "id"]), "members")
+
+
+@query
+def cluster_splits(spark, sf):
+    """The reference's own job: sanitised paragraphs, splits, chunks, vectors, clusters."""
+    return members(spark, sf).select(*KEYS, "id", F.md5("paragraph").alias("text_md5"))
 
 
 @query
 def cluster_size_between(spark, sf):
-    return C.cluster_size_between(C.cluster_sizes(C.dbscan(D.points(spark, sf), EPS), []), 3, 16)
+    return C.cluster_size_between(C.cluster_sizes(split_labels(spark, sf)[1], KEYS[:3]))
 
 
 @query
 def members_with_repeat(spark, sf):
     """Sizes that count the first member twice, against the same bounds."""
-    collected = CL.bounded_clusters(members(spark, sf), [], 3, 16, reference_sizes=True)
+    collected = CL.bounded_clusters(members(spark, sf), KEYS[:3], reference_sizes=True)
     repeated = C.members_with_repeat(collected)
-    return repeated.select("cluster_id", "size", F.array_join("paragraphs", "\n").alias("paragraphs"))
+    return repeated.select(*KEYS, "size", F.array_join("paragraphs", "\n").alias("paragraphs"))
+
+
+def clusters(spark, sf):
+    return CL.bounded_clusters(members(spark, sf), KEYS[:3])
 
 
 @query
 def collect_clusters(spark, sf):
-    collected = CL.bounded_clusters(members(spark, sf), [])
-    return collected.select("cluster_id", "size", F.array_join("paragraphs", "\n").alias("paragraphs"))
+    return clusters(spark, sf).select(*KEYS, "size", F.array_join("paragraphs", "\n").alias("paragraphs"))
 
 
 def financial(spark, sf):
-    """Prompts for the clusters of 4 to 15 members, five texts each."""
-    return materialise(CL.financial_prompts(CL.bounded_clusters(members(spark, sf), [], 3, 16), k=5, seed=7), "prompts")
+    """Prompts for the bounded clusters, five texts each."""
+    return materialise(CL.financial_prompts(clusters(spark, sf), k=5, seed=7), "prompts")
 
 
 @query
 def build_prompt(spark, sf):
-    return financial(spark, sf).select("cluster_id", "prompt", "prompt_hash")
+    return financial(spark, sf).select(*KEYS, "prompt", "prompt_hash")
 
 
 def financial_labelled(spark, sf, unwrap=False):
     asked = financial(spark, sf)
-    return CL.label_clusters(asked, D.replies_for(asked, D.CLUSTER_REPLIES), ["cluster_id"], unwrap)
+    key = [*KEYS, "prompt_hash"]
+    return CL.label_clusters(asked, D.replies_for(asked, D.CLUSTER_REPLIES, key), key, unwrap)
 
 
 @query
@@ -618,28 +650,29 @@ def parse_label(spark, sf):
 @query
 def label_clusters(spark, sf):
     kept = L.financial_filter(financial_labelled(spark, sf))
-    return kept.select("cluster_id", "size", "confidence", F.array_join("paragraphs", "\n").alias("paragraphs"))
+    return kept.select(*KEYS, "size", "confidence", F.array_join("paragraphs", "\n").alias("paragraphs"))
 
 
 @query
 def label_clusters_unwrap(spark, sf):
-    return L.financial_filter(financial_labelled(spark, sf, unwrap=True)).select("cluster_id", "size")
+    return L.financial_filter(financial_labelled(spark, sf, unwrap=True)).select(*KEYS, "size")
 
 
 @query
 def label_rejects(spark, sf):
-    return L.rejects(financial_labelled(spark, sf)).select("cluster_id", "response")
+    return L.rejects(financial_labelled(spark, sf)).select(*KEYS, "response")
 
 
 def topics(spark, sf):
     kept = L.financial_filter(financial_labelled(spark, sf))
-    asked = CL.topic_prompts(kept, prompts.CATEGORY, k=5, seed=7)
-    return CL.topic_clusters(asked, D.replies_for(kept, D.TOPIC_REPLIES), ["cluster_id"])
+    asked = materialise(CL.topic_prompts(kept, prompts.CATEGORY, k=5, seed=7), "prompts")
+    key = [*KEYS, "prompt_hash"]
+    return CL.topic_clusters(asked, D.replies_for(asked, D.TOPIC_REPLIES, key), key)
 
 
 @query
 def topic_clusters(spark, sf):
-    return topics(spark, sf).select("cluster_id", "size", "category")
+    return topics(spark, sf).select(*KEYS, "size", "category")
 
 
 @query
@@ -656,19 +689,20 @@ def tagged(spark, sf):
 
 @query
 def taxonomy_tag(spark, sf):
-    return tagged(spark, sf).select("doc_id", F.array_join("categories", "|").alias("categories"))
+    return tagged(spark, sf).select("doc_id", "pos", F.array_join("categories", "|").alias("categories"))
 
 
 @query
 def undisclosed_terms(spark, sf):
-    terms = D.terms(spark, sf).withColumn("term", F.concat_ws(" ", "term", F.col("doc_id").cast("string")))
-    stated = terms.where("doc_id % 2 = 0").withColumn("term", F.upper(F.replace("term", F.lit(" "), F.lit("  "))))
+    """Lines that no even document of the site states; upper case and doubled spaces make no difference."""
+    terms = materialise(D.terms(spark, sf), "terms")
+    stated = terms.where("doc_id % 2 = 0").withColumn("term", F.translate(F.replace("term", F.lit(" "), F.lit("  ")), "abcdefghij", "ABCDEFGHIJ"))
     return A.undisclosed_terms(terms, stated)
 
 
 @query
 def site_profile(spark, sf):
-    return A.site_profile(tagged(spark, sf), [c for c, _ in D.RULES], "site")
+    return A.site_profile(tagged(spark, sf), list(D.CATEGORIES), "site")
 
 
 @query
@@ -763,12 +797,11 @@ def policy_page_files(spark, sf):
 
 @query
 def cluster_files(spark, sf):
-    """Cluster membership of two eps values, a folder each, read back."""
+    """Cluster membership in a folder per split, chunk and eps, read back."""
     path = folder(spark, "clusters")
-    labels = C.dbscan_sweep(D.points(spark, sf), SWEEP[:2])
-    members = labels.join(D.point_texts(spark, sf), "id")
-    W.write_clusters(members, path, ("eps",))
-    return spark.read.schema("cluster_id INT, id LONG, paragraph STRING, eps DOUBLE").json(path)
+    W.write_clusters(members(spark, sf), path)
+    schema = "cluster_id INT, id LONG, paragraph STRING, split INT, chunk INT, eps DOUBLE"
+    return spark.read.schema(schema).json(path).select(*KEYS, "id", "paragraph")
 
 
 @query
@@ -776,8 +809,8 @@ def labelled_files(spark, sf):
     """Filtered clusters as JSON lines, read back."""
     path = folder(spark, "labelled")
     W.write_labelled(L.financial_filter(financial_labelled(spark, sf)), path)
-    back = R.read_cluster_lines(spark, path)
-    return back.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.array_join("paragraphs", "\n").alias("paragraphs"))
+    back = spark.read.schema("split INT, chunk INT, eps DOUBLE, cluster_id INT, paragraphs ARRAY<STRING>").json(path)
+    return back.select(*KEYS, F.array_join("paragraphs", "\n").alias("paragraphs"))
 
 
 @query
@@ -793,14 +826,14 @@ def embedding_cache(spark, sf):
 
 @query
 def classify_with(spark, sf):
-    """A user's classifier over a prompt per document."""
+    """A user's classifier over a prompt per line."""
     prompt = prompts.build_prompt(prompts.FINANCIAL, F.col("term"))
-    replies = L.classify_with(D.terms(spark, sf).withColumn("prompt", prompt), fee_classifier, ["doc_id"])
-    return L.financial_labels(replies).select("doc_id", "classification", "confidence")
+    replies = L.classify_with(D.terms(spark, sf).withColumn("prompt", prompt), word_classifier, ["doc_id", "pos"])
+    return L.financial_labels(replies).select("doc_id", "pos", "classification", "confidence")
 
 
-def fee_classifier():
-    return lambda batch: ['{"classification": %d, "confidence": 0.5}' % ("fee" in text) for text in batch]
+def word_classifier():
+    return lambda batch: ['{"classification": %d, "confidence": 0.5}' % ("thble" in text) for text in batch]
 
 
 @query
