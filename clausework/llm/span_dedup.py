@@ -31,10 +31,10 @@ LENGTH = 200
 # bytes of the substrings that anchors are chosen among
 GRAM = 50
 # bytes a task hashes at a time; texts beyond are taken alone
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 # different fragments of an anchor that one task compares, and bytes it compares at a time
 GROUP = 16_384
-BATCH = 2_000_000
+BATCH = 1_000_000
 # ranges of distances an anchor with more fragments is split into, one after the other
 WIDTHS = (19, 1)
 # tables up to so many rows (40 bytes each) are copied to the tasks; larger ones are joined by shuffle
@@ -165,20 +165,10 @@ def _groups(spots: DataFrame) -> DataFrame:
 
 
 def _fragments(docs: DataFrame, spots: DataFrame, length: int) -> DataFrame:
-    """The spots with the bytes of their fragments."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lo, hi = batch.column("lo").to_pylist(), batch.column("hi").to_pylist()
-            texts = batch.column("text").cast(pa.binary())
-            cut = [texts[i].as_buffer().to_pybytes()[a : b + length] for i, (a, b) in enumerate(zip(lo, hi))]
-            columns = {f: batch.column(f) for f in batch.schema.names if f != "text"}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(cut, pa.binary())], names=[*columns, "bytes"])
-
-    texts = docs.select(*row_key("doc_id", "text"), "text")
-    joined = texts.join(_sized(spots), ["k1", "k2"]).select(*spots.columns, "text")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spots.schema.fields)
-    return joined.mapInArrow(run, f"{fields}, bytes binary")
+    """The spots with the bytes of their fragments, cut out before anything but the fragment leaves the text's row."""
+    texts = docs.select(*row_key("doc_id", "text"), F.col("text").cast("binary").alias("whole_text"))
+    joined = texts.join(_sized(spots), ["k1", "k2"])
+    return joined.select(*spots.columns, F.expr(f"substring(whole_text, lo + 1, hi - lo + {length})").alias("bytes"))
 
 
 def _previous(length: int, keep_first: bool):
