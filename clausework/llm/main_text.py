@@ -107,7 +107,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if top.link:
             in_links += len(text.strip())
 
-    at, raw_end = 0, None
+    at = 0
     while at < len(page):
         token = _TOKEN.search(page, at)
         if token is None:
@@ -131,9 +131,9 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                     break
             continue
         if tag in RAW_TAGS:
-            raw_end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            if not token[3].endswith("/") or tag in ("script", "style", "title", "textarea"):
-                at = raw_end.end() if raw_end else len(page)
+            if not (tag in ("svg", "math") and token[3].endswith("/")):
+                end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+                at = end.end() if end else len(page)
             continue
         if tag in BLOCK_TAGS:
             close()
@@ -146,7 +146,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                         break
         elif tag == "br":
             add(" ")
-        if tag not in VOID_TAGS and not token[3].endswith("/"):
+        if tag not in VOID_TAGS:  # a slash before the end of a tag means nothing in HTML
             stack.append(_opened(tag, token[3], stack[-1]))
     close()
     return found
@@ -179,7 +179,7 @@ def _inherited(first: list[bool | None]) -> list[bool]:
     """The second pass: open blocks take the label of the nearest decided block; between two labels, the nearer one."""
     n = len(first)
     before: list[tuple[int, bool]] = []
-    last = (n, False)  # a page's edge counts as boilerplate, further off than any block
+    last = (n, False)  # a page's edge counts as boilerplate, further off than any block; on a tie, text wins
     for label in first:
         last = (last[0] + 1, last[1]) if label is None else (0, label)
         before.append(last)

@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,32 +22,43 @@ from pyspark.sql import types as T
 
 from clausework.llm.common import WORD_CACHE, payloads
 
-# bound of the labelled sample: documents with the smallest hashes of their ids
-SAMPLE_ROWS = 20_000
-DIMENSIONS = 1 << 18
-# a word marks toxicity if it is that much more frequent among toxic documents, in that many of them
-LIFT = 5.0
-SUPPORT = 5
+# bound of the labelled sample, half of it for either class: documents with the smallest hashes of their ids
+SAMPLE_ROWS = 10_000
+DIMENSIONS = 1 << 19
+# a feature takes part if it is that much more frequent among toxic documents, in that many of them
+LIFT = 3.0
+SUPPORT = 3
+# and marks toxicity, for grades, from here on
+MARK_LIFT = 5.0
 # strength of the quadratic penalty, as a share of the sample size
 PENALTY = 1e-4
 STEPS = 80
 REJECT = 0.5
 
-_TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
+_TOKEN = re.compile(r"[^\W_]+")
+# lengths of the word beginnings that count as features beside the whole word: insults are inflected
+_BEGINNINGS = (3, 4, 5, 6, 7)
 
 
-def features(text: bytes, cache: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and ``1 + log(count)`` of each, from the whole text; A-Z in lower case."""
-    counts = Counter(_TOKEN.findall(text.lower()))
-    if len(cache) > WORD_CACHE:
-        cache.clear()
-    places = np.empty(len(counts), np.int64)
-    for i, word in enumerate(counts):
-        place = cache.get(word)
-        if place is None:
-            place = cache[word] = xxhash.xxh3_64_intdigest(word) % DIMENSIONS
-        places[i] = place
-    return places, 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+class _Places(dict):
+    """The hashed features of a word: itself and its beginnings."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= WORD_CACHE // 4:
+            self.clear()
+        parts = [word, *("^" + word[:n] for n in _BEGINNINGS if n <= len(word))]
+        value = self[word] = tuple(xxhash.xxh3_64_intdigest(p) % DIMENSIONS for p in parts)
+        return value
+
+
+def features(text: bytes, places: _Places) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words and word beginnings of the whole text in lower case, and ``1 + log(count)`` of each."""
+    counts = Counter(_TOKEN.findall(text.decode(errors="replace").lower()))
+    found = [places[word] for word in counts]
+    at = np.fromiter(chain.from_iterable(found), np.int64)
+    times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), np.fromiter(map(len, found), np.int64, len(found)))
+    distinct, where = np.unique(at, return_inverse=True)
+    return distinct, 1 + np.log(np.bincount(where, times, len(distinct)))
 
 
 @dataclass
@@ -64,39 +76,41 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """Sparse rows with the two products that fitting needs."""
+    """Sparse rows with the two products that fitting needs, and a weight per row."""
 
-    def __init__(self, places: list[np.ndarray], values: list[np.ndarray]):
+    def __init__(self, places: list[np.ndarray], values: list[np.ndarray], weights: np.ndarray):
         self.places, self.values = np.concatenate(places), np.concatenate(values)
         sizes = np.array([len(p) for p in places])
         self.row = np.repeat(np.arange(len(sizes)), sizes)
         self.n = len(sizes)
+        self.weights = weights / weights.sum()
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.values * w[self.places], self.n)
 
-    def gather(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.places, self.values * r[self.row], DIMENSIONS)
+    def gather(self, r: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.places, self.values * r[self.row], size)
 
 
 def _loss(rows: _Rows, grades: np.ndarray, levels: int, x: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean negative log likelihood with penalty, and its gradient. ``x``: weights, first threshold, log gaps."""
-    w, first, gaps = x[:DIMENSIONS], x[DIMENSIONS], np.exp(x[DIMENSIONS + 1 :])
+    """Weighted mean negative log likelihood with penalty, and its gradient. ``x``: weights, first threshold, log gaps."""
+    size = len(x) - (levels - 1)
+    w, first, gaps = x[:size], x[size], np.exp(x[size + 1 :])
     t = np.r_[-np.inf, first + np.r_[0, np.cumsum(gaps)], np.inf]
     score = rows.scores(w)
     low, high = _sigmoid(t[grades] - score), _sigmoid(t[grades + 1] - score)  # P(y < g), P(y <= g)
     p = np.maximum(high - low, 1e-12)
     d_low, d_high = low * (1 - low), high * (1 - high)
-    by_score = (d_high - d_low) / p / rows.n  # of the loss
+    share = rows.weights / p
     gradient = np.empty_like(x)
-    gradient[:DIMENSIONS] = rows.gather(by_score) + PENALTY * w
+    gradient[:size] = rows.gather((d_high - d_low) * share, size) + PENALTY * w
     by_t = np.zeros(levels + 1)
-    np.add.at(by_t, grades, d_low / p / rows.n)
-    np.add.at(by_t, grades + 1, -d_high / p / rows.n)
+    np.add.at(by_t, grades, d_low * share)
+    np.add.at(by_t, grades + 1, -d_high * share)
     inner = by_t[1:levels]
-    gradient[DIMENSIONS] = inner.sum()
-    gradient[DIMENSIONS + 1 :] = [inner[k + 1 :].sum() * gaps[k] for k in range(levels - 2)]
-    return float(-np.log(p).mean() + 0.5 * PENALTY * (w @ w)), gradient
+    gradient[size] = inner.sum()
+    gradient[size + 1 :] = [inner[k + 1 :].sum() * gaps[k] for k in range(levels - 2)]
+    return float(-(rows.weights * np.log(p)).sum() + 0.5 * PENALTY * (w @ w)), gradient
 
 
 def _minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
@@ -131,30 +145,59 @@ def _minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     return x
 
 
-def _grades(toxic: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
-    """0 for documents labelled clean; toxic ones 1, or 2 if their share of marking words is above the median of such."""
+def _lifts(toxic: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """How much more frequent a feature is among toxic documents; 0 for those in too few of them."""
     in_toxic, in_clean = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     for label, p in zip(toxic, places):
         (in_toxic if label else in_clean)[p] += 1
-    rate = lambda n, of: (n + 0.5) / (of + 1)
-    marks = (in_toxic >= SUPPORT) & (rate(in_toxic, toxic.sum()) >= LIFT * rate(in_clean, (~toxic).sum()))
+    lift = (in_toxic + 0.5) / (toxic.sum() + 1) / ((in_clean + 0.5) / ((~toxic).sum() + 1))
+    return np.where(in_toxic >= SUPPORT, lift, 0)
+
+
+def _grades(toxic: np.ndarray, marks: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """0 for documents labelled clean; toxic ones 1, or 2 if their share of marking features is above the median of such."""
     share = np.array([marks[p].mean() if len(p) else 0.0 for p in places])
     return toxic * (1 + (share > np.median(share[toxic])))
 
 
+def train(labels: np.ndarray, places: list[np.ndarray], values: list[np.ndarray], weights: np.ndarray) -> OrdinalModel:
+    """The model of documents given as hashed features, with a label and a weight each."""
+    toxic = labels > 0
+    lift = _lifts(toxic, places)
+    if labels.max() == 1:
+        grades = _grades(toxic, lift >= MARK_LIFT, places)
+    else:
+        grades = np.unique(np.maximum(labels, 0), return_inverse=True)[1]
+    levels = int(grades.max()) + 1
+    chosen = np.flatnonzero(lift >= LIFT) if labels.max() == 1 else np.unique(np.concatenate(places))
+    column = np.full(DIMENSIONS, -1)
+    column[chosen] = np.arange(len(chosen))
+    kept = [column[p] >= 0 for p in places]
+    rows = _Rows([column[p[k]] for p, k in zip(places, kept)], [v[k] for v, k in zip(values, kept)], weights)
+    start = np.r_[np.zeros(len(chosen)), 1.0, np.zeros(levels - 2)]
+    x = _minimise(lambda at: _loss(rows, grades, levels, at), start, STEPS)
+    full = np.zeros(DIMENSIONS, np.float32)
+    full[chosen] = x[: len(chosen)]
+    return OrdinalModel(full, x[len(chosen)] + np.r_[0, np.cumsum(np.exp(x[len(chosen) + 1 :]))])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel | None:
-    """A model from at most ``sample_rows`` labelled documents; None if they are not of both kinds.
+    """A model from at most ``sample_rows`` labelled documents, half of them toxic; None if they are not of both kinds.
 
-    ``labels.toxic`` above 1 is taken as a grade; with only 0 and 1 the toxic ones are split in two by how dense words are
-    that mark toxicity. Null labels and ids take no part; of labels that share an id the largest counts.
+    ``labels.toxic`` above 1 is taken as a grade; with only 0 and 1 the toxic ones are split in two by how dense features are
+    that mark toxicity. Rows weigh as their class is sampled, so chances are those of all labelled documents. Null labels
+    and ids take no part; of labels that share an id the largest counts.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(sample_rows)
+    by_hash = [F.xxhash64(F.col("doc_id").cast("long")), F.col("doc_id")]
+    halves = [known.where(kind).orderBy(*by_hash).limit(sample_rows // 2) for kind in ("toxic > 0", "toxic <= 0")]
+    chosen = halves[0].unionByName(halves[1])
+    totals = known.agg(F.count_if(F.col("toxic") > 0), F.count("*")).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        places = _Places()
         for batch in batches:
-            rows = [features(t, cache) for t in payloads(batch.column("text"))]
+            rows = [features(t, places) for t in payloads(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -174,15 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> O
     labels_of = table["toxic"].to_numpy()
     if not len(labels_of) or labels_of.min() > 0 or labels_of.max() < 1:
         return None
-    places = [np.frombuffer(p, np.int32).astype(np.int64) for p in table["places"].to_pylist()]
-    values = [np.frombuffer(v, np.float32).astype(np.float64) for v in table["features"].to_pylist()]
-    grades = _grades(labels_of > 0, places) if labels_of.max() == 1 else np.unique(np.maximum(labels_of, 0), return_inverse=True)[1]
-    levels = int(grades.max()) + 1
-    rows = _Rows(places, values)
-    start = np.r_[np.zeros(DIMENSIONS), 1.0, np.zeros(levels - 2)]
-    x = _minimise(lambda at: _loss(rows, grades, levels, at), start, STEPS)
-    gaps = np.exp(x[DIMENSIONS + 1 :])
-    return OrdinalModel(x[:DIMENSIONS].astype(np.float32), x[DIMENSIONS] + np.r_[0, np.cumsum(gaps)])
+    places = [np.frombuffer(p, np.int32) for p in table["places"].to_pylist()]
+    values = [np.frombuffer(v, np.float32) for v in table["features"].to_pylist()]
+    toxic = labels_of > 0
+    weights = np.where(toxic, totals[0] / toxic.sum(), (totals[1] - totals[0]) / (~toxic).sum())
+    return train(labels_of, places, values, weights)
 
 
 def _scored(docs: DataFrame, model: OrdinalModel | None, carried: list) -> DataFrame:
@@ -191,11 +230,11 @@ def _scored(docs: DataFrame, model: OrdinalModel | None, carried: list) -> DataF
     names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        places = _Places()
         for batch in batches:
             severity, p_toxic = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             if model is not None:
-                found = [features(t, cache) for t in payloads(batch.column("text"))]
+                found = [features(t, places) for t in payloads(batch.column("text"))]
                 above = model.above(np.array([model.weights[p] @ v for p, v in found], np.float64))
                 worded = np.array([len(p) > 0 for p, _ in found], bool)
                 severity, p_toxic = np.where(worded, above.sum(axis=1), 0), np.where(worded, above[:, 0], 0)

@@ -17,7 +17,7 @@ LONG = "This is a long paragraph of the text and it has a lot of the words that
         ("", ""),
         ("plain words only", ""),
         (f"<p>{LONG}</p><p>Short.</p>", f"{LONG} Short."),
-        (f"<ul><li><a href=/>Home</a></li></ul><p>Near</p><p>{LONG}</p>", LONG),
+        (f"<ul><li><a href=/>Home</a></li></ul><p>Near</p><p>{LONG}</p>", f"Near {LONG}"),
         (f"<article><h1>Title</h1><p>one<p>two &amp; three&nbsp;&lt;x&gt;</article><p>{LONG}</p>", "Title one two & three <x>"),
         ("<main><p>a<b>b</b>c<br>d</p><div class='sidebar'><p>no</p></div><script>var x='</p>'</script><p>e</p></main>", "abc d e"),
         ("<article>kept<nav>menu</nav><form>ask <input></form><aside>side</aside><section id=comments>said</section></article>", "kept"),
