@@ -3,10 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from clausework.operators import lineage
 from clausework.operators import paragraphs as P
 from clausework.operators import positions as O
 from clausework.operators import sites as S
-from clausework.operators.lineage import drop_stages
 from clausework.operators.embedding import embed, hashing_encoder
 from clausework.sources import readers as R
 from clausework.sources import writers as W
@@ -104,16 +104,12 @@ def test_place_of_a_line_is_its_number(spark):
     assert {(r["pos"], r["paragraph"]) for r in P.sanitise_lines(docs, "url", "page_key").collect()} == {(1, long[0]), (3, long[1])}
 
 
-def test_finished_job_leaves_no_tables(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "own"))
-    try:
-        assert O.row_position(spark.range(10), ["id"]).count() == 10
-        assert list((tmp_path / "own").rglob("*.parquet"))
-        drop_stages(spark)
-        assert not list((tmp_path / "own").rglob("*.parquet"))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_finished_job_leaves_no_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lineage, "_job_folder", lambda spark: str(tmp_path / "job"))
+    assert O.row_position(spark.range(10), ["id"]).count() == 10
+    assert list((tmp_path / "job").rglob("*.parquet"))
+    lineage.drop_stages(spark)
+    assert not (tmp_path / "job").exists()
 
 
 def test_cluster_files(spark, tmp_path):
