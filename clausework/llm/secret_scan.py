@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from clausework.llm.common import row_key
+from clausework.operators.lineage import materialise
 
 # The patterns of the three strong kinds; the last group of an assignment is its value.
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -109,7 +110,7 @@ def secret_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
     Weak kinds: ``ident``, ``key``, ``endpoint``, outside strong spans and only with their complements near.
     A null text is empty; rows equal in id and text have one set of spans.
     """
-    parts = _outside_base(_matches(docs))
+    parts = materialise(_outside_base(_matches(docs)), "parts")
     return parts.where(F.col("kind").isin(*BASE)).unionByName(_linked(parts, reach))
 
 
