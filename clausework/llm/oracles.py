@@ -82,7 +82,7 @@ SELECT doc_id, item_id, arg_max(start, (similarity, -start))::INTEGER AS start,
 FROM rated GROUP BY doc_id, item_id
 """
 
-ROUNDS = 20
+ROUNDS = 40
 
 
 def _raked() -> tuple[str, str]:
