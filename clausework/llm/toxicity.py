@@ -26,12 +26,12 @@ from clausework.llm.common import WORD_CACHE, payloads
 SAMPLE_ROWS = 10_000
 DIMENSIONS = 1 << 19
 # a feature takes part if it is that much more frequent among toxic documents, in that many of them
-LIFT = 3.0
+LIFT = 2.0
 SUPPORT = 3
 # and marks toxicity, for grades, from here on
 MARK_LIFT = 5.0
-# strength of the quadratic penalty, as a share of the sample size
-PENALTY = 1e-4
+# strength of the quadratic penalty on the weights, against the mean loss
+PENALTY = 1e-5
 STEPS = 80
 REJECT = 0.5
 
