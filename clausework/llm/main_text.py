@@ -2,8 +2,9 @@
 
 The first pass labels a block from its own words: blocks in containers named for page furniture and blocks of links are
 boilerplate, long blocks with many function words are text, and short ones are left open. The second pass gives an open
-block the label of its nearest decided neighbours. Where a page marks its article, blocks outside it are boilerplate and
-blocks inside it count as text unless they are furniture or links.
+block the label of its nearest decided neighbours. Both run on every page. An article is a feature of them: inside it a
+long block with few function words is left open and the article's edges count as text, outside it a block must be twice
+as long to be text by its own words.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ STOP_WORDS = frozenset(
 )
 
 MIN_WORDS, STOP_SHARE, LINK_SHARE = 12, 0.25, 0.4
+# words of a text block outside the article of a page that has one
+OUTSIDE_WORDS = 2 * MIN_WORDS
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
@@ -152,39 +155,56 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     return found
 
 
-def _decided(text: str, in_links: int, furniture: bool) -> bool | None:
-    """The first pass: text, boilerplate, or open."""
+def _decided(text: str, in_links: int, furniture: bool, article: bool, marked: bool) -> bool | None:
+    """The first pass: text, boilerplate, or open. ``marked``: the page has an article."""
     if furniture or in_links > LINK_SHARE * len(text):
         return False
     words = _WORD.findall(text.lower())
     if len(words) < MIN_WORDS:
         return None
-    return sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words)
+    if sum(w in STOP_WORDS for w in words) < STOP_SHARE * len(words):
+        return None if article else False
+    return None if marked and not article and len(words) < OUTSIDE_WORDS else True
+
+
+def labelled(page: str | None) -> list[tuple[str, bool | None, bool]]:
+    """``(text, label of the first pass, label)`` of every block."""
+    found = blocks(page or "")
+    marked = any(article and not furniture for _, _, furniture, article in found)
+    first = [_decided(*block, marked) for block in found]
+    labels = list(map(bool, first))
+    runs: list[list[int]] = []
+    for i, (_, _, furniture, article) in enumerate(found):
+        if article and furniture:
+            continue  # cut out of the article, no neighbour of its text
+        if not runs or found[runs[-1][-1]][3] != article:
+            runs.append([])
+        runs[-1].append(i)
+    for run in runs:
+        for i, label in zip(run, _inherited([first[i] for i in run], found[run[0]][3])):
+            labels[i] = label
+    return [(block[0], one, label) for block, one, label in zip(found, first, labels)]
 
 
 def main_text(page: str | None) -> str:
     """The page's main text: blocks labelled text, joined by one space; empty without any."""
-    found = blocks(page or "")
-    if any(article and not furniture for _, _, furniture, article in found):
-        labels = [
-            article and not furniture and in_links <= LINK_SHARE * len(text) for text, in_links, furniture, article in found
-        ]
-    else:
-        first = [_decided(text, in_links, furniture) for text, in_links, furniture, _ in found]
-        labels = _inherited(first)
-    return " ".join(block[0] for block, label in zip(found, labels) if label)
-
-
-def _inherited(first: list[bool | None]) -> list[bool]:
-    """The second pass: open blocks take the label of the nearest decided block; between two labels, the nearer one."""
-    n = len(first)
+    return " ".join(text for text, _, label in labelled(page) if label)
+
+
+def _inherited(first: list[bool | None], article: bool) -> list[bool]:
+    """The second pass: open blocks take the label of the nearest decided block; between two labels, the nearer one.
+
+    An article's edge counts as a text block beside it; any other edge as boilerplate, further off than any block. On a
+    tie, text wins.
+    """
+    edge = (0 if article else len(first), article)
     before: list[tuple[int, bool]] = []
-    last = (n, False)  # a page's edge counts as boilerplate, further off than any block; on a tie, text wins
+    last = edge
     for label in first:
         last = (last[0] + 1, last[1]) if label is None else (0, label)
         before.append(last)
     after: list[tuple[int, bool]] = []
-    last = (n, False)
+    last = edge
     for label in reversed(first):
         last = (last[0] + 1, last[1]) if label is None else (0, label)
         after.append(last)

@@ -35,6 +35,17 @@ def test_links_and_furniture_without_an_article():
     assert main_text(page) == LONG
 
 
+def test_both_passes_run_on_a_page_with_an_article():
+    links, long = f"<p><a href=a>{LONG}</a></p>", f"{LONG} {LONG}"
+    # an open block between blocks of links is boilerplate, one beside text or the article's edge is text
+    assert main_text(f"<article><p>near</p>{links}<p>between</p>{links}<p>{LONG}</p><p>end</p></article>") == f"near {LONG} end"
+    # a block that is text by its own words stays, and its open neighbour with it
+    assert main_text(f"<div id=content><p>{long}</p><p>short</p></div><article>kept</article><p>far</p>") == f"{long} short kept"
+    # few function words leave a block open in an article, and are boilerplate elsewhere
+    rare = "x " * 20
+    assert main_text(f"<p>{rare}</p><article><p>{rare}</p></article>") == rare.strip()
+
+
 def test_pages_of_the_tables(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     sources = {r.page_id: r.html for r in pages.collect()}
