@@ -52,6 +52,17 @@ STOP_WORDS = frozenset(
     " sobre su sus te todo un una y ya".split()
 )
 
+# the same for <article> and <main>, whose names also tell a page's subject, and those of excerpts of other pages
+EXCERPT = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|footer|side-?bar|aside|widget\w*|related|"
+    r"recommend\w*|share|sharing|social|cookies?|consent|popup|modal|overlay|newsletter|subscri\w*|comments?|comment-?\w*|"
+    r"repl(?:y|ies)|disqus|discussion|pagination|pager|toolbar|complementary|contentinfo|navigation|"
+    r"teasers?|cards?|tiles?|previews?|excerpts?|snippets?)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+# names that tell a page's state or subject, not what an element is: has-sidebar, comments-open, tag-social
+STATE = re.compile(r"(?<!\S)(?:(?:has|no|with|without|category|tag)[_-]\S+|\S+[_-](?:open|closed))(?!\S)", re.IGNORECASE)
+
 MIN_WORDS, STOP_SHARE, LINK_SHARE = 12, 0.25, 0.4
 # words of a text block outside the article of a page that has one
 OUTSIDE_WORDS = 2 * MIN_WORDS
@@ -76,10 +87,15 @@ _ROOT = _Element("", False, False, False)
 
 def _opened(tag: str, attributes: str, parent: _Element) -> _Element:
     furniture = parent.furniture or tag in FURNITURE_TAGS and not (tag == "header" and parent.article)
-    if not furniture and attributes and tag not in ("html", "body", "article", "main"):
+    article = tag in ARTICLE_TAGS
+    if not furniture and attributes and tag not in ("html", "body"):
         names = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
-        furniture = bool(names and FURNITURE.search(names)) or bool(_HIDDEN.search(attributes))
-    return _Element(tag, furniture, parent.article or tag in ARTICLE_TAGS, parent.link or tag == "a")
+        if article:
+            furniture = bool(names and EXCERPT.search(STATE.sub(" ", names)))
+        else:
+            furniture = bool(names and FURNITURE.search(names)) or bool(_HIDDEN.search(attributes))
+    # an article that is furniture, such as a comment or a teaser, marks no text
+    return _Element(tag, furniture, parent.article or article and not furniture, parent.link or tag == "a")
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:

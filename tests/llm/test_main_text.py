@@ -46,6 +46,21 @@ def test_both_passes_run_on_a_page_with_an_article():
     assert main_text(f"<p>{rare}</p><article><p>{rare}</p></article>") == rare.strip()
 
 
+@pytest.mark.parametrize(
+    "names", ["class='teaser'", "class=related", "class='post related-posts'", "id=comment-12", 'class="comment"', "role=complementary"]
+)
+def test_articles_that_are_not_the_main_text(names):
+    page = f"<div id=content><p>{LONG}</p><p>short</p></div><article {names}><p>{LONG} other</p><p>x</p></article>"
+    assert main_text(page) == f"{LONG} short"
+    assert main_text(f"<main><p>{LONG}</p><article {names}><p>{LONG} other</p></article><p>end</p></main>") == f"{LONG} end"
+
+
+@pytest.mark.parametrize("names", ["class='post has-sidebar comments-open category-related tag-social'", "id=main role=main", "class='legal'"])
+def test_names_that_leave_an_article_the_main_text(names):
+    for tag in ("article", "main"):
+        assert main_text(f"<{tag} {names}><h1>Head</h1><p>{LONG}</p></{tag}>") == f"Head {LONG}"
+
+
 def test_pages_of_the_tables(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     sources = {r.page_id: r.html for r in pages.collect()}
