@@ -2,9 +2,10 @@
 
 Column functions only. A window can resemble an item only if they share word shingles, so windows of an item's size
 are laid only where a text holds at least half as many shingles of items of that size; nothing similar enough is lost
-by that. Every window gets a 64-bit SimHash of its shingles. The fingerprint is cut into ``radius + 1`` blocks: two
+by that. A text with fewer words than an item is one window for it, laid where it holds enough of such items' shingles.
+Every window gets a 64-bit SimHash of its shingles. The fingerprint is cut into ``radius + 1`` blocks: two
 fingerprints within ``radius`` agree in one block at least, so joining on blocks finds every such pair. Pairs within
-the radius are then compared exactly, by the shingles' counts.
+the radius are then compared exactly, by the shingles' counts; of shorter texts, pairs beyond the radius too.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # windows of equal size at similarity 0.8 share 0.889 of their shingles: 10 of 64 bits differ, with a deviation of 3
 RADIUS = 19
+# for the rounding of a share times a count, so that no window is lost to it
+SLACK = 1e-6
 # item tables up to so many rows are copied to the tasks (tens of bytes each); larger ones are joined by shuffle
 COPY_ROWS = 1_000_000
 
@@ -72,8 +75,12 @@ def _blocks(radius: int):
     return F.array(*values)
 
 
-def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """``k1, k2, doc_id, words, start, win``: windows of an item's size with at least half of such items' shingles."""
+def _windows(docs: DataFrame, items: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``k1, k2, doc_id, words, start, exact, win``: windows of an item's size with at least half of such items' shingles.
+
+    A text with fewer words is one window, if it holds ``similarity`` times as many of their shingles as an item has.
+    ``exact``: pairs beyond the radius are to be compared too.
+    """
     keyed = docs.select("doc_id", "text", *row_key("doc_id", "text"))
     grams = items.select("words", F.explode("grams").alias("gram")).distinct()
     # outer, as the planner would otherwise hash the texts once more to see which rows have anything to explode
@@ -83,25 +90,26 @@ def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     anchors = materialise(text_grams.join(_sized(grams), "gram").drop("gram"), "anchors").distinct()
     span = F.col("words") - width  # places between the first and the last shingle of a window
     first, last = F.greatest(F.lit(0), F.col("pos") - span), F.least("pos", F.col("len") - F.col("words"))
+    shorter = F.col("len") < F.col("words")
     laid = (
-        anchors.where(F.col("len") >= F.col("words"))
-        .withColumn("start", F.explode(F.sequence(first, last)))
+        anchors.withColumn("start", F.explode(F.when(shorter, F.array(F.lit(0))).otherwise(F.sequence(first, last))))
         .groupBy("k1", "k2", "words", "start")
-        .agg(F.count("*").alias("shared"))
-        .where(F.col("shared") * 2 >= span + 1)
-        .drop("shared")
+        .agg(F.count("*").alias("shared"), F.max("len").alias("len"))
+        .where(F.col("shared") >= F.when(shorter, similarity * (span + 1) - SLACK).otherwise((span + 1) / 2))
+        .select("k1", "k2", "words", "start", shorter.alias("exact"))
     )
     laid = materialise(laid, "windows")
     holders = materialise(laid.select("k1", "k2").distinct(), "holders")
     texts = _with_shingles(keyed.join(_sized(holders), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), width)
     cut = F.slice("grams", F.col("start") + 1, F.col("words") - width + 1)
     return laid.join(texts.select("k1", "k2", "doc_id", "grams"), ["k1", "k2"]).select(
-        "k1", "k2", "doc_id", "words", "start", cut.alias("win")
+        "k1", "k2", "doc_id", "words", "start", "exact", cut.alias("win")
     )
 
 
 def _similar(windows: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """``k1, k2, doc_id, item_id, start, similarity`` of pairs within the radius that are similar enough."""
+    """``k1, k2, doc_id, item_id, start, similarity`` of pairs that are similar enough: all within the radius, and those
+    of ``exact`` windows beyond it."""
     laid = materialise(windows.withColumn("fp", F.expr(_SIMHASH)), "fingerprints")
     own = items.withColumnRenamed("grams", "win").withColumn("fp", F.expr(_SIMHASH))
     by_block = own.select("item_id", "words", F.col("fp").alias("item_fp"), F.explode(_blocks(radius)).alias("b"))
@@ -115,19 +123,32 @@ def _similar(windows: DataFrame, items: DataFrame, similarity: float, radius: in
     )
     counts = items.select("item_id", F.size("grams").alias("grams"), F.explode("grams").alias("gram"))
     counts = counts.groupBy("item_id", "grams", "gram").agg(F.count("*").alias("item_n"))
-    win_counts = (
+    pair = [*keyed, "item_id", "grams", "own"]
+    within = (
         near.join(laid.select("k1", "k2", "words", "start", "win"), ["k1", "k2", "words", "start"])
-        .select(*keyed, "item_id", F.explode("win").alias("gram"))
-        .groupBy(*keyed, "item_id", "gram")
+        .select(*keyed, "item_id", F.size("win").alias("own"), F.explode("win").alias("gram"))
+        .groupBy(*keyed, "item_id", "own", "gram")
         .agg(F.count("*").alias("win_n"))
+        .join(_sized(counts), ["item_id", "gram"])
+        .groupBy(*pair)
+        .agg(F.sum(F.least("item_n", "win_n")).alias("both"))
     )
-    shared = (
-        win_counts.join(_sized(counts), ["item_id", "gram"])
-        .groupBy(*keyed, "item_id", "grams")
+    item = ["item_id", "words", "item_fp", "grams"]
+    own_counts = own.select("item_id", "words", F.col("fp").alias("item_fp"), F.size("win").alias("grams"), F.explode("win").alias("gram"))
+    own_counts = own_counts.groupBy(*item, "gram").agg(F.count("*").alias("item_n"))
+    beyond = (
+        laid.where("exact")
+        .select(*keyed, "fp", F.size("win").alias("own"), F.explode("win").alias("gram"))
+        .join(_sized(own_counts), ["words", "gram"])
+        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) > radius)
+        .groupBy(*pair, "item_fp", "gram", "item_n")
+        .agg(F.count("*").alias("win_n"))
+        .groupBy(*pair, "item_fp")
         .agg(F.sum(F.least("item_n", "win_n")).alias("both"))
+        .drop("item_fp")
     )
-    value = F.col("both") / (2 * F.col("grams") - F.col("both"))  # sum of smaller over sum of larger counts
-    return shared.withColumn("similarity", value).where(F.col("similarity") >= similarity)
+    value = F.col("both") / (F.col("own") + F.col("grams") - F.col("both"))  # sum of smaller over sum of larger counts
+    return within.unionByName(beyond).withColumn("similarity", value).where(F.col("similarity") >= similarity)
 
 
 def leaks(
@@ -137,7 +158,8 @@ def leaks(
 
     Words lie between ASCII white space, A-Z in lower case. A window has as many words as the item; similarity is the
     weighted Jaccard index of their ``size``-word shingles (an item with fewer words is one shingle). ``start`` is the
-    first word of the most similar window, the first of equals. Null and empty texts and items hold nothing; equal rows
+    first word of the most similar window, the first of equals. A text with fewer words than an item is one window for it, from
+    word 0, and is rated by the same index; ``n_words`` are the item's words. Null and empty texts and items hold nothing; equal rows
     give one result; items that share an id are judged apart and reported once.
     """
     items = materialise(_items(benchmark, size), "items")
@@ -146,7 +168,7 @@ def leaks(
     found = docs.sparkSession.createDataFrame([], schema)
     for width in sorted(widths):
         own = items.where(F.col("width") == width).drop("width")
-        pairs = _similar(_windows(docs, own, width), own, similarity, radius)
+        pairs = _similar(_windows(docs, own, width, similarity), own, similarity, radius)
         found = found.unionByName(
             pairs.select(
                 F.col("doc_id").cast("long"), F.col("item_id").cast("long"), "start", F.col("words").alias("n_words"),

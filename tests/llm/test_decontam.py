@@ -62,6 +62,45 @@ def test_against_brute_force(spark, monkeypatch, copy_rows):
     assert len(got) == len(set(got)) and set(got) == brute(docs, items)
 
 
+def brute_shorter(docs, items, size=5, similarity=0.8):
+    """Pairs of a text and an item with more words, the whole text compared."""
+    found = set()
+    for i, text in docs:
+        for j, item in items:
+            ws, it = words(text), words(item)
+            if not ws or len(ws) >= len(it):
+                continue
+            width = min(size, len(it))
+            have, want = collections.Counter(grams(ws, width)), collections.Counter(grams(it, width))
+            value = sum((want & have).values()) / sum((want | have).values())
+            if value >= similarity:
+                found.add((i, j, 0, len(it), round(value, 6)))
+    return found
+
+
+@pytest.mark.parametrize("copy_rows,radius", [(1_000_000, decontam.RADIUS), (0, 1)])
+def test_texts_shorter_than_an_item(spark, monkeypatch, copy_rows, radius):
+    monkeypatch.setattr(decontam, "COPY_ROWS", copy_rows)
+    rng = random.Random(5)
+    items = [(j, " ".join(rng.choice(["a", "b", "c"]) if j % 2 else f"w{rng.randint(0, 500)}" for _ in range(n))) for j, n in enumerate([59, 59, 30, 30, 9, 14, 5, 3])]
+    docs = []
+    for j, item in items:
+        ws = item.upper().split()
+        docs += [(100 * j + cut, "\t".join(ws[cut // 2 : len(ws) - cut + cut // 2])) for cut in range(1, 14)]
+        docs += [(100 * j + 50, " ".join(ws[: len(ws) // 2] + ["changed"] + ws[len(ws) // 2 + 3 :])), (100 * j + 51, " ".join(ws[3:]))]
+    docs += [docs[0], (None, docs[1][1]), (9000, None), (9001, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in leaks(d, b, radius=radius).drop("k1", "k2").collect()]
+    want = brute_shorter(docs, items)
+    assert (51, 0, 0, 59, round(52 / 55, 6)) in want and len(want) > 20
+    longer = brute(docs, items)
+    assert len(got) == len(set(got)) and set(got) - longer == want
+    if radius == decontam.RADIUS:
+        held = {i for i, *_ in want | longer}
+        assert set(got) == want | longer
+        assert {r.doc_id for r in clean(d, b).collect()} == {i for i, _ in docs} - held
+
+
 def test_stage_keeps_clean_rows_and_clashing_columns(spark):
     docs = [(1, "x one two three four five six y", 1), (2, "one two three", 2), (None, None, 3), (2, "ONE two three four five six", 4)]
     items = [(1, "one two three four five six")]
