@@ -5,7 +5,8 @@ are laid only where a text holds at least half as many shingles of items of that
 by that. A text with fewer words than an item is one window for it, laid where it holds enough of such items' shingles.
 Every window gets a 64-bit SimHash of its shingles. The fingerprint is cut into ``radius + 1`` blocks: two
 fingerprints within ``radius`` agree in one block at least, so joining on blocks finds every such pair. Pairs within
-the radius are then compared exactly, by the shingles' counts; of shorter texts, pairs beyond the radius too.
+the radius are then compared exactly, by the shingles' counts; pairs beyond the radius too, where the window holds as
+many shingles of such items as a pair similar enough has in common.
 """
 
 from __future__ import annotations
@@ -91,12 +92,13 @@ def _windows(docs: DataFrame, items: DataFrame, width: int, similarity: float) -
     span = F.col("words") - width  # places between the first and the last shingle of a window
     first, last = F.greatest(F.lit(0), F.col("pos") - span), F.least("pos", F.col("len") - F.col("words"))
     shorter = F.col("len") < F.col("words")
+    alike = 2 * similarity / (1 + similarity)  # the share of shingles in common at that similarity, for equal sizes
     laid = (
         anchors.withColumn("start", F.explode(F.when(shorter, F.array(F.lit(0))).otherwise(F.sequence(first, last))))
         .groupBy("k1", "k2", "words", "start")
         .agg(F.count("*").alias("shared"), F.max("len").alias("len"))
         .where(F.col("shared") >= F.when(shorter, similarity * (span + 1) - SLACK).otherwise((span + 1) / 2))
-        .select("k1", "k2", "words", "start", shorter.alias("exact"))
+        .select("k1", "k2", "words", "start", (shorter | (F.col("shared") >= alike * (span + 1) - SLACK)).alias("exact"))
     )
     laid = materialise(laid, "windows")
     holders = materialise(laid.select("k1", "k2").distinct(), "holders")

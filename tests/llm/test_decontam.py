@@ -101,6 +101,20 @@ def test_texts_shorter_than_an_item(spark, monkeypatch, copy_rows, radius):
         assert {r.doc_id for r in clean(d, b).collect()} == {i for i, _ in docs} - held
 
 
+def test_pairs_beyond_the_radius(spark):
+    rng = random.Random(11)
+    item = [f"w{i}" for i in range(40)]
+    docs = []
+    for i in range(40):
+        text = list(item)
+        text[rng.choice([0, 1, 2, 37, 38, 39])] = f"x{i}"
+        docs.append((i, " ".join([f"y{i}"] * (i % 5) + text + [f"z{i}"])))
+    items = [(1, " ".join(item))]
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), radius=1)
+    got = [tuple(r) for r in found.drop("k1", "k2").collect()]
+    assert len(got) == 40 and set(got) == brute(docs, items)
+
+
 def test_stage_keeps_clean_rows_and_clashing_columns(spark):
     docs = [(1, "x one two three four five six y", 1), (2, "one two three", 2), (None, None, 3), (2, "ONE two three four five six", 4)]
     items = [(1, "one two three four five six")]
