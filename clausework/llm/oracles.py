@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from clausework.llm.url_filter import _LINK, RULES
+
 # A line's key: the line without ASCII white space at its ends, A-Z in lower case.
 LINE_KEY = (
     "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
@@ -200,10 +202,99 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 FROM documents LEFT JOIN grouped USING (doc_id)
 """
 
+OP11 = """
+WITH counted AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents
+),
+failed AS (
+  SELECT doc_id, part,
+    (CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 16 ELSE 0 END) AS mask
+  FROM counted
+),
+marks AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+),
+sets AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM failed LEFT JOIN marks USING (doc_id) GROUP BY part, mask
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+),
+steps AS (
+  SELECT filter_order, step,
+    (1 << (instr('ABCDE', substr(filter_order, step, 1)) - 1)::INT) AS own,
+    list_sum(list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', substr(filter_order, i, 1)) - 1)::INT))::INT AS before
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)
+),
+audit AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (own | coalesce(before, 0)) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(before, 0) = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(before, 0) <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(before, 0) = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(before, 0) = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM sets, steps GROUP BY ALL
+)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM audit
+"""
+
+
+def _op13() -> str:
+    ranked = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'rule': '{h + p}', 'verdict': '{v}'}}"
+        for v, h, p in ranked
+    ]
+    return f"""
+WITH RECURSIVE named AS (
+  SELECT page_id, url, html, {LOWERED.format("coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '')")} AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+),
+fitted AS (SELECT *, CASE {' '.join(fits)} ELSE NULL END AS fit FROM named),
+tags AS (SELECT host, unnest(list_distinct(list_transform(string_split_regex(html, '(?i)<a\\s')[2:], lambda t:
+  {LOWERED.format(f"regexp_extract(split_part(t, '>', 1), '{LINK}', 1)")}))) AS dst FROM named),
+links AS (SELECT host AS src, dst, count(*) AS weight FROM tags WHERE host <> '' AND dst <> '' AND dst <> host GROUP BY host, dst),
+edges AS (
+  SELECT 'allow' AS kind, src AS host, dst AS next, weight FROM links UNION ALL SELECT 'block', dst, src, weight FROM links
+),
+shares AS (SELECT kind, host, next, weight / sum(weight) OVER (PARTITION BY kind, host) AS share FROM edges),
+seeds AS (SELECT fit.verdict AS kind, host, count(*) AS weight FROM fitted WHERE fit IS NOT NULL GROUP BY ALL),
+walk AS (
+  SELECT 0 AS k, kind, host, 0.15 * (weight / sum(weight) OVER (PARTITION BY kind)) AS score FROM seeds
+  UNION ALL
+  SELECT k + 1, kind, host, sum(score) FROM (
+    SELECT k, kind, shares.next AS host, 0.85 * score * share AS score FROM walk JOIN shares USING (kind, host) WHERE k < 150
+  ) GROUP BY ALL
+),
+ranks AS (SELECT kind, host, sum(score) AS score FROM walk GROUP BY ALL),
+scaled AS (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM ranks),
+blocked AS (
+  SELECT host FROM scaled GROUP BY host
+  HAVING coalesce(sum(score) FILTER (WHERE kind = 'block'), 0) > coalesce(sum(score) FILTER (WHERE kind = 'allow'), 0) + 1e-9
+)
+SELECT page_id, host, path, fit.rule AS rule,
+  coalesce(fit.verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' END, 'allow') AS verdict
+FROM fitted
+"""
+
+
+LINK = _LINK.replace("'", "''")
+
 ORACLES: dict[str, str] = {
     "op2_near_dedup": OP2,
     "op3_decontamination": OP3,
     "op5_line_dedup": OP5,
     "op9_mixing": _op9(),
     "op10_secret_scan": OP10,
+    "op11_filter_audit": OP11,
+    "op13_url_filter": _op13(),
 }

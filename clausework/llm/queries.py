@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clausework.llm.ann import nearest
 from clausework.llm.decontam import leaks
+from clausework.llm.filter_audit import filter_audit
 from clausework.llm.line_dedup import line_digest
 from clausework.llm.main_text import extract_pages
 from clausework.llm.mixing import mix
 from clausework.llm.near_dedup import near_duplicates
 from clausework.llm.secret_scan import secret_report
 from clausework.llm.span_dedup import span_digest
+from clausework.llm.token_alignment import alignment, read_tokenizers
 from clausework.llm.token_counts import read_vocabulary, token_counts
 from clausework.llm.toxicity import toxicity
+from clausework.llm.url_filter import judged
 
-# a public tokenizer's vocabulary with scores; only its path is kept here
+# public tokenizers' files; only their paths are kept here
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +70,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(_table(spark, sf_dir, "documents"), read_tokenizers(BYTE_LEVEL, VOCABULARY))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -77,4 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_span_dedup": op8_span_dedup,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_url_filter": op13_url_filter,
 }

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_all_are_registered():
     found = entry_point.queries()
     assert set(QUERIES) | {"pipeline"} <= set(found)
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(ORACLES) <= set(entry_point.oracle_sql()) and set(ORACLES) <= set(QUERIES)
 
 
