@@ -78,7 +78,7 @@ def test_against_every_order(spark):
     table = spark.createDataFrame([(*d, 1, "m") for d in docs], "doc_id long, text string, source string, mask int, digest string")
     marks = spark.createDataFrame([(*m, "q") for m in labels], "doc_id long, quality int, toxic int, part string")
     got = {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in A.filter_audit(table.repartition(4), marks).collect()}
-    assert got == brute(docs, labels) and len(got) == 600 * 3
+    assert got == brute(docs, labels) and len(got) == 600 * 4
 
 
 def test_empty_tables(spark):
