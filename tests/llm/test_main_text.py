@@ -1,11 +1,14 @@
 """Main text of pages: golden pages, odd rows, and the pages of the tables."""
 
 import html
+import random
 import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 
-from clausework.llm.main_text import extract_pages, main_text
+from clausework.llm.main_text import STOP_WORDS, extract_pages, main_text
 
 SF = "/root/testdata/sf0.001"
 LONG = "This is a long paragraph of the text and it has a lot of the words that are in the list of words."
@@ -76,3 +79,141 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id, r.url, r.n_chars) for r in extract_pages(pages).collect()), key=repr)
     assert got == sorted([(None, None, 0), (1, "u", 0), (1, "u", 0), (2, None, len(LONG) * 2000)], key=repr)
     assert extract_pages(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<form id=aspnetForm>{}</form>",
+        "<form id=aspnetForm><input name=x><article>{}</article></form>",
+        "<div class='site has-sidebar'>{}</div>",
+        '<div class="layout header-fixed">{}</div>',
+        '<body class=x><div class="modal-open"><main>{}</main></div>',
+        "<div class='legal'>{}</div>",
+        "<div class='promo-page'>{}<div class=comments><p>Said " + LONG + "</p></div></div>",
+        "<div class='search-results'><div class=ad>Buy</div>{}</div>",
+        "<nav><ul><li><a href=x>home</a></li></ul><article>{}</article>",
+        "<nav><a href=x>home</a><div>{}</div>",
+        "<div id=comments><p>" + LONG + " said</p></div><form>{}</form>",
+    ],
+)
+def test_containers_that_hold_the_page(page):
+    assert main_text(page.format(f"<p>{LONG}</p>")) == LONG
+
+
+def test_the_head_of_an_article_belongs_to_it():
+    for head in ("<header class='entry-header'><h1>Title</h1></header>", "<div class='post-header'><h1>Title</h1></div>"):
+        assert main_text(f"<article>{head}<p>{LONG}</p></article>") == f"Title {LONG}"
+
+
+def test_furniture_stays_out_when_there_is_text():
+    """Neither a majority of words nor an empty rest clears what is surely furniture."""
+    many = "".join(f"<p>{LONG} {i}</p>" for i in range(5))
+    assert main_text(f"<p>{LONG}</p><section class=comments>{many}</section>") == LONG
+    assert main_text(f"<p>{LONG}</p><nav>{many}</nav><footer>{many}</footer>") == LONG
+    assert main_text(f"<div class=comments>{many}</div>") == "" and main_text(f"<article>x</article><form>{many}</form>") == "x"
+
+
+def test_languages_without_a_list():
+    words = "ett två tre fyra fem sex sju åtta nio tio elva tolv tretton"
+    assert main_text(f"<nav><a href=a>hem</a></nav><p>{words}</p>") == words
+    assert main_text("<p>これは日本語の長い文章です</p>") != ""
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b='", '<a b="', "<div>", "</b><div>", "<!--", "<script ", "</script ", '<a ="> ', "<nav><a>x", "<form>x", "<header>a "])
+def test_broken_markup_takes_linear_time(piece):
+    started = time.process_time()
+    main_text(piece * (300_000 // len(piece)))
+    assert time.process_time() - started < 5
+
+
+class _Plain(HTMLParser):
+    """A second reading of simple, well-formed pages: text runs with the names around them."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.blocks, self.text, self.links = [], [], "", 0
+
+    def close_block(self):
+        if self.text.split():
+            self.blocks.append((" ".join(self.text.split()), self.links, list(self.at)))
+        self.text, self.links = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "div", "article", "nav", "li", "section", "footer"):
+            self.close_block()
+        self.stack.append((tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "div", "article", "nav", "li", "section", "footer"):
+            self.close_block()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.at = list(self.stack)
+        self.text += data
+        self.links += len(data.strip()) * any(t == "a" for t, _ in self.stack)
+
+
+def second_version(page):
+    """The two rules written down once more, each open block looking outwards step by step."""
+    parser = _Plain()
+    parser.feed(page)
+    parser.close_block()
+    rows = []
+    for text, links, at in parser.blocks:
+        furniture = any(t in ("nav", "footer") or c in ("comments", "ad") for t, c in at)
+        rows.append([text, links, furniture, any(t == "article" for t, _ in at)])
+    marked = any(article and not furniture for *_, furniture, article in rows)
+    labels = []
+    for text, links, furniture, article in rows:
+        words = re.findall(r"\w+", text.lower())
+        known = sum(w in STOP_WORDS for w in words) >= 0.25 * len(words)
+        if furniture or links > 0.4 * len(text):
+            labels.append(False)
+        elif len(words) < 12:
+            labels.append(None)
+        elif not known:
+            labels.append(None if article else False)
+        else:
+            labels.append(None if marked and not article and len(words) < 24 else True)
+    out = []
+    for i, (text, _, furniture, article) in enumerate(rows):
+        label = labels[i]
+        if label is None:
+            near = []
+            for step in (-1, 1):
+                j, far = i + step, 1
+                while 0 <= j < len(rows) and (rows[j][3] == article or rows[j][2] and rows[j][3]) and (labels[j] is None or rows[j][2] and rows[j][3]):
+                    far += not (rows[j][2] and rows[j][3])
+                    j += step
+                inside = 0 <= j < len(rows) and rows[j][3] == article
+                near.append((far, labels[j]) if inside else (far if article else 10**9 + far, article))
+            best = min(d for d, _ in near)
+            label = any(v for d, v in near if d == best)
+        if label:
+            out.append(text)
+    return " ".join(out)
+
+
+def test_against_a_second_version():
+    rng = random.Random(8)
+    wordlists = ["the and of to in is that it for was with as".split(), "qua zet bur nol kem dir pos lun fas gor hin jat".split()]
+
+    def block():
+        words = " ".join(rng.choice(rng.choice(wordlists[:1] * 3 + wordlists)) for _ in range(rng.choice([2, 5, 13, 30])))
+        kind = rng.random()
+        if kind < 0.2:
+            return f"<p><a href='x'>{words}</a></p>"
+        return f"<p>{words}</p>" if kind < 0.85 else f"<div class='{rng.choice(['ad', 'comments'])}'><p>{words}</p></div>"
+
+    texts = 0
+    for _ in range(400):
+        parts = ["".join(block() for _ in range(rng.randint(0, 5))) for _ in range(3)]
+        page = f"<div>{parts[0]}</div>" + (f"<article>{parts[1]}</article>" if rng.random() < 0.6 else parts[1]) + f"<nav><p>{parts[2]}</p></nav>" + block()
+        want = second_version(page.replace("<nav><p>", "<nav>").replace("</p></nav>", "</nav>"))
+        got = main_text(page.replace("<nav><p>", "<nav>").replace("</p></nav>", "</nav>"))
+        if want:
+            texts += 1
+            assert got == want, page
+    assert texts > 200
