@@ -13,15 +13,17 @@ its count, and gets the pair's total back. Documents' own token lists never leav
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -32,12 +34,20 @@ from clausework.llm.common import payloads
 from clausework.operators.lineage import materialise
 
 # UTF-8 bytes of text that share one list of id pairs; a longer text is a block of its own
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+# stretches that are encoded at a time
+ENCODE_AT_ONCE = 8_192
 
 # Fixed value: the character that stands for a space in pieces.
 MARK = "▁"
 # U+180E is white space to some regular expression engines only
 _SOLID = r"[^\s᠎]"
+# Fixed value: how byte-level tokenizers part a text before they merge bytes.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# characters beyond those whose classes no version of Unicode has changed
+_RARE = re.compile("[^\x00-\u024f]")
+# white space other than single spaces and line ends between solid characters
+_UNEVEN = re.compile(r"[^\S \n]|᠎|[ \n][ \n]|\A[ \n]|[ \n]\Z")
 
 _DOC, _BLOCK, _PAIR = 0, 1, 2
 
@@ -122,22 +132,31 @@ class Aligned:
         return i, j, np.searchsorted(i, self.a_bounds)
 
     def written(self, names: list[str]) -> list[str]:
-        """Each stretch's groups as ``a1,a2|b1;a3|b2,b3``; ``names`` are the ids as text."""
+        """Each stretch's groups as ``a1,a2|b1;a3|b2,b3``; ``names`` are the ids as text with ``,``, ``|`` and ``;`` behind."""
         # tokens in the order of group, side and place, each with what follows it
         a_group = np.searchsorted(self.a_after, np.arange(len(self.a)), "right")
         b_group = np.searchsorted(self.b_after, np.arange(len(self.b)), "right")
         order = np.argsort(np.r_[2 * a_group, 2 * b_group + 1], kind="stable")
-        follows = np.full(len(order), ",")
-        follows[self.a_after - 1], follows[len(self.a) + self.b_after - 1] = "|", ";"
-        ids = np.r_[self.a, self.b][order].tolist()
-        parts = list(map(str.__add__, map(names.__getitem__, ids), follows[order].tolist()))
+        named = 3 * np.r_[self.a, self.b].astype(np.int64)
+        named[self.a_after - 1] += 1
+        named[len(self.a) + self.b_after - 1] += 2
+        parts = list(map(names.__getitem__, named[order].tolist()))
         bounds = (self.a_bounds + self.b_bounds).tolist()
         return ["".join(parts[lo:hi])[:-1] for lo, hi in zip(bounds, bounds[1:])]
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    bounds = np.r_[0, np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]
-    return np.fromiter(chain.from_iterable(lists), np.int64, bounds[-1]), bounds
+def _encoded(table: list[bytes], raw: list[bytes], lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids one after the other, their number per stretch, and which stretches' ids give its bytes back."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, counts.sum())
+    pieces = list(map(table.__getitem__, flat.tolist()))
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)]
+    whole = np.array_equal(ends, np.cumsum(list(map(len, raw)))) and b"".join(pieces) == b"".join(raw)
+    if whole:
+        return flat, counts, np.ones(len(raw), bool)
+    sound = np.array([b"".join(map(table.__getitem__, ids)) == r for ids, r in zip(lists, raw)], bool)
+    return flat, counts, sound
 
 
 class Aligner:
@@ -149,6 +168,7 @@ class Aligner:
         self.one.encode_special_tokens = True
         self.two = sentencepiece.SentencePieceProcessor(model_proto=files.pieces)
         written = _byte_characters()
+        self.quick = self._quick(json.loads(files.byte_level), written)
         names = (self.one.id_to_token(i) or "" for i in range(self.one.get_vocab_size()))
         self.a_bytes = [bytes(map(written.get, p)) if all(c in written for c in p) else b"" for p in names]
         pieces = [self.two.id_to_piece(i) for i in range(self.two.get_piece_size())]
@@ -156,34 +176,68 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.two.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)
         ]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        self.names = [f"{i}{mark}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"]
         # no piece may run over a cut
         inner = [p for i, p in enumerate(pieces) if not (self.two.is_control(i) or self.two.is_byte(i))]
         starts = [c for c, m in ((" ", MARK), ("\n", "\n")) if not any(m in p.lstrip(m) or (c == "\n" and c in p) for p in inner)]
         self.cut = re.compile(f"(?<={_SOLID})(?=[{''.join(starts)}]{_SOLID})") if starts else None
+        self.cuts_both = len(starts) == 2
+
+    @staticmethod
+    def _quick(spec: dict, written: dict[str, int]) -> Callable[[str], list[int]] | None:
+        """The byte-level tokenizer as ranked merges, which are faster, if its file says no more than that."""
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        vocab = model["vocab"]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        plain = plain and not spec.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges")
+        made = [vocab.get(a + b, -1) for a, b in pairs]
+        if not plain or any(a >= b for a, b in zip(made, made[1:])) or len(vocab.keys() & written.keys()) < 256 or made[0] < 256:
+            return None
+        ranks = {bytes(map(written.get, p)): i for p, i in vocab.items() if len(p) == 1 or i >= made[0] and all(c in written for c in p)}
+        return tiktoken.Encoding("byte-level", pat_str=_PARTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _first_ids(self, stretches: list[str]) -> list[list[int]]:
+        rare = [i for i, s in enumerate(stretches) if not self.quick or _RARE.search(s)]
+        if not rare:
+            return list(map(self.quick, stretches))
+        slow = iter(self.one.encode_batch_fast([stretches[i] for i in rare], add_special_tokens=False))
+        at = set(rare)
+        return [next(slow).ids if i in at else self.quick(s) for i, s in enumerate(stretches)]
 
     def stretches(self, text: str) -> list[str]:
         """The text with a space in front, cut before single spaces and single line ends inside it."""
         return self.cut.split(" " + text) if self.cut else [" " + text]
 
+    def names_of(self, text: str) -> list[str]:
+        """Names of the text's stretches: those of a space and a solid character go by what follows the space."""
+        if self.cuts_both and not _UNEVEN.search(text):
+            return text.replace("\n", " \n").split(" ")  # the same, faster, where white space is single and inside
+        return [s[1:] if s[0] == " " and s[1:2].strip(" \n") else s for s in self.stretches(text)]
+
     def align(self, stretches: list[str]) -> Aligned:
         """Stretches encoded and cut into groups. The piece model puts a space in front of what it is given."""
-        one = [e.ids for e in self.one.encode_batch_fast(stretches, add_special_tokens=False)]
-        two = self.two.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
-        two = [ids if s[0] == " " else ids[1:] for s, ids in zip(stretches, two)]
-        raw = [s.encode() for s in stretches]
-        sound = np.ones(len(stretches), bool)
-        for table, lists in ((self.a_bytes, one), (self.b_bytes, two)):
-            back = (b"".join([table[i] for i in ids]) for ids in lists)
-            sound &= np.fromiter(map(bytes.__eq__, back, raw), bool, len(raw))
-        for i in np.flatnonzero(~sound):
-            one[i] = two[i] = []
-        a, a_bounds = _flat(one)
-        b, b_bounds = _flat(two)
+        sides: list[list] = [[], []]
+        sounds = [np.empty(0, bool)]
+        for lo in range(0, len(stretches), ENCODE_AT_ONCE):
+            some = stretches[lo : lo + ENCODE_AT_ONCE]
+            raw = [s.encode() for s in some]
+            one = self._first_ids(some)
+            two = self.two.encode([s[1:] if s[0] == " " else s for s in some], num_threads=1)
+            two = [ids if s[0] == " " else ids[1:] for s, ids in zip(some, two)]
+            found = [_encoded(table, raw, lists) for table, lists in ((self.a_bytes, one), (self.b_bytes, two))]
+            sound = found[0][2] & found[1][2]
+            for side, (flat, counts, _) in zip(sides, found):
+                side.append((flat[np.repeat(sound, counts)], np.where(sound, counts, 0)))
+            sounds.append(sound)
+        (a, a_bounds), (b, b_bounds) = (
+            (np.concatenate([x for x, _ in side] or [np.empty(0, np.int32)]), np.r_[0, np.cumsum(np.concatenate([c for _, c in side] or [[]]))].astype(np.int64))
+            for side in sides
+        )
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         a_after, b_after = shared_groups(a_ends, b_ends, a_bounds, b_bounds)
         group_bounds = np.r_[0, np.searchsorted(a_after, a_bounds[1:], "right")]
-        return Aligned(sound, a, b, a_ends, b_ends, a_bounds, b_bounds, a_after, b_after, group_bounds)
+        return Aligned(np.concatenate(sounds), a, b, a_ends, b_ends, a_bounds, b_bounds, a_after, b_after, group_bounds)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -191,10 +245,10 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class _Numbers(dict):
-    """Numbers by stretch, in the order of their first places."""
+    """Numbers by stretches' names, in the order of their first places."""
 
-    def __missing__(self, stretch: str) -> int:
-        value = self[stretch] = len(self)
+    def __missing__(self, name: str) -> int:
+        value = self[name] = len(self)
         return value
 
 
@@ -210,9 +264,9 @@ class _Block:
 
     def add(self, doc_id: int | None, raw: bytes) -> None:
         text = raw.decode(errors="replace")
-        stretches = self.aligner.stretches(text) if raw and text.encode() == raw else []
+        names = self.aligner.names_of(text) if raw and text.encode() == raw else []
         self.ids.append(doc_id)
-        self.lists.append(np.fromiter(map(self.numbers.__getitem__, stretches), np.int32, len(stretches)))
+        self.lists.append(np.fromiter(map(self.numbers.__getitem__, names), np.int32, len(names)))
         self.bytes += len(raw)
 
     def rows(self, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -222,7 +276,7 @@ class _Block:
             given = {"kind": pa.array([kind] * rows, pa.int8()), "block": pa.array([block] * rows, pa.int64()), **columns}
             return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema)
 
-        aligned = self.aligner.align(list(self.numbers))
+        aligned = self.aligner.align([n if n[0] in " \n" else " " + n for n in self.numbers])
         self.numbers.clear()
         lists = [x if aligned.sound[x].all() else x[:0] for x in self.lists]
         written = aligned.written(self.aligner.names)
@@ -242,7 +296,7 @@ class _Block:
             numbers=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers)),
             **{c: pa.array(totals[i]) for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
         )
-        pairs, place = np.unique(aligned.a[first] << 32 | aligned.b[second], return_inverse=True)
+        pairs, place = np.unique(aligned.a[first].astype(np.int64) << 32 | aligned.b[second], return_inverse=True)
         yield batch(
             _BLOCK,
             1,
