@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausework.operators import neighbours as N
@@ -26,6 +26,42 @@ def cluster_rank(roots: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def levels(eps_list: list[float]) -> Column:
+    """``e, eps`` of every radius, as an array."""
+    return F.array(*[F.struct(F.lit(i).alias("e"), F.lit(float(x)).alias("eps")) for i, x in enumerate(eps_list)])
+
+
+def core_distances(c: N.Collapsed, blocks: N.Blocks, eps: float, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables of all vectors: scope, ``rid``, ``core``, and scope, ``rid``, ``core``, ``near``.
+
+    ``core`` is the distance of the ``min_samples``-th point, the vector itself and copies included; null beyond ``eps``.
+    ``near`` is the vector's ``near_lists`` entry. A vector that is no core at some radius has all its neighbours there.
+    """
+    lists = N.near_lists(c, blocks, eps, min_samples)
+    reached = F.aggregate(
+        "near",
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("at")),
+        lambda s, x: F.when(s["n"] >= min_samples, s).otherwise(
+            F.struct((s["n"] + x["weight"]).alias("n"), x["dist"].alias("at"))
+        ),
+        lambda s: F.when(s["n"] >= min_samples, s["at"]),
+    )
+    stored = materialise(lists.withColumn("core", reached), "near")
+    return stored.drop("near"), stored
+
+
+def border_labels(near: DataFrame, core_labels: DataFrame, eps_list: list[float], scope: list[str]) -> DataFrame:
+    """Scope, ``rid``, ``e``, ``cluster_id``: the smallest cluster number among the core neighbours of each non-core vector.
+
+    ``near`` is the second table of ``core_distances``; ``core_labels`` has scope, ``rid``, ``e``, ``cluster_id``.
+    """
+    below = F.filter(levels(eps_list), lambda x: F.col("core").isNull() | (x["eps"] < F.col("core")))
+    rows = near.select(*scope, "rid", F.explode(below).alias("x"), "near").select(*scope, "rid", "x.*", F.explode("near").alias("y"))
+    rows = rows.where("y.dist <= eps AND y.rid <> rid").select(*scope, F.col("rid").alias("own"), "e", F.col("y.rid").alias("rid"))
+    found = skew_join(rows, core_labels, [*scope, "e", "rid"], salt_by=["own"])
+    return found.groupBy(*scope, F.col("own").alias("rid"), "e").agg(F.min("cluster_id").alias("cluster_id"))
+
+
 def dbscan_sweep(
     points: DataFrame,
     eps_list: list[float],
@@ -43,12 +79,14 @@ def dbscan_sweep(
     scope = list(scope)
     eps_list = sorted(set(eps_list))
     c = N.collapse_copies(points, scope, row_id, vec)
-    counts = N.neighbour_counts(c, eps_list).where(F.col("n") >= min_samples)
-    cores = materialise(counts.groupBy(*scope, "rid").agg(F.min("e").alias("core_from")), "cores")
-    stars = connected_components(N.core_forest(c, cores, eps_list), [*scope, "e"])
-
-    levels = F.sequence(F.col("core_from"), F.lit(len(eps_list) - 1))
-    core_rows = cores.select(*scope, "rid", F.explode(levels).alias("e"))
+    blocks = N.place_blocks(c)
+    cores, near = core_distances(c, blocks, eps_list[-1], min_samples)
+    forest = N.reach_forest(c, blocks, cores.where("core IS NOT NULL"), eps_list[-1])
+    # every eps is a cut of one forest
+    cut = F.explode(F.filter(levels(eps_list), lambda x: x["eps"] >= F.col("weight"))["e"])
+    stars = connected_components(forest.select(*scope, cut.alias("e"), "a", "b"), [*scope, "e"])
+
+    core_rows = cores.select(*scope, "rid", F.explode(F.filter(levels(eps_list), lambda x: x["eps"] >= F.col("core"))["e"]).alias("e"))
     core_roots = materialise(
         core_rows.join(stars.withColumnRenamed("node", "rid"), [*scope, "e", "rid"], "left").select(
             *scope, "rid", "e", F.coalesce("root", "rid").alias("root")
@@ -56,12 +94,8 @@ def dbscan_sweep(
         "core-roots",
     )
     ranks = cluster_rank(core_roots, [*scope, "e"])
-    core_labels = skew_join(core_roots, ranks, [*scope, "e", "root"], salt_by=["rid"]).drop("root")
-    # clusters are numbered in root order, so the lowest number next to a border point is its cluster
-    by_level = core_labels.groupBy(*scope, "rid").agg(
-        F.array(*[F.max(F.when(F.col("e") == e, F.col("cluster_id"))) for e in range(len(eps_list))]).alias("labels")
-    )
-    labelled = core_labels.unionByName(N.border_labels(c, by_level, eps_list))
+    core_labels = materialise(skew_join(core_roots, ranks, [*scope, "e", "root"], salt_by=["rid"]).drop("root"), "core-labels")
+    labelled = core_labels.unionByName(border_labels(near, core_labels, eps_list, scope))
 
     keyed = c.reps.select(*scope, "rid", "k1", "k2").withColumn(
         "e", F.explode(F.sequence(F.lit(0), F.lit(len(eps_list) - 1)))

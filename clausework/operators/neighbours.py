@@ -1,9 +1,12 @@
 """Cosine neighbourhoods by blocked inner products.
 
-Rows of a scope (a split and chunk, say) are hashed into blocks of bounded size; a task holds one pair of blocks
-and multiplies them. What leaves a task depends on the question: pairs within eps for ``eps_neighbours``,
-otherwise at most one number per row or a spanning forest, so dense regions never become lists of pairs.
-Identical vectors are collapsed to one weighted row beforehand.
+Rows of a scope (a split and chunk, say) are cut into blocks of bounded size; a task holds one pair of blocks and multiplies
+them. A scope of several memory-sized blocks is cut along a few pivot vectors: rows go to their nearest pivot and stand in the
+order of their angle to it, and a block keeps the smallest and largest angle to every pivot. Angles are a metric, so two
+blocks whose angles to some pivot lie further apart than eps allows hold no near pair and are never brought together.
+
+What leaves a task depends on the question: pairs within eps for ``eps_neighbours``, otherwise a few numbers per row or a
+spanning forest, so dense regions never become lists of pairs. Identical vectors are collapsed to one weighted row beforehand.
 """
 
 import math
@@ -15,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from clausework.operators.lineage import materialise
+from clausework.operators.positions import row_position
 from clausework.operators.skew import skew_join
 
 MAX_BLOCK_ROWS = 8192
@@ -25,21 +30,37 @@ MAX_BLOCK_BYTES = 48 << 20
 TASK_BYTES = 512 << 20
 MIN_BLOCK_ROWS = 256
 TILE_ROWS = 512
-EPS_AT_ONCE = 3  # adjacency matrices that a task holds
-_NO_LABEL = np.iinfo(np.int32).max
+STRIP_ROWS = 1024  # rows of a block whose distances to the other block a task holds at once
+FEW_ROWS = 20_000  # scopes or blocks that are copied to the tasks, with some 300 bytes each
+PIVOT_BLOCKS = 4  # scopes of up to so many memory-sized blocks have too few pairs of them for pivots to pay
+PIVOTS = 12
+PIVOT_SAMPLE = 256  # rows of a scope that its pivots are chosen from
+ANGLE_SLACK = 1e-6  # what rounding may add to an angle
 
 
 class Collapsed(NamedTuple):
     """Points with identical vectors as one row.
 
     ``members``: scope, ``id``, ``k1``, ``k2`` of every point, and ``sound``, whether it has a vector to compare. ``reps``: scope, ``rid`` (smallest id of the copies),
-    ``weight`` (their number), ``vec``, ``k1``, ``k2``.
+    ``weight`` (their number), ``vec``, ``k1``, ``k2``. ``sizes``: scope, ``n`` vectors of length ``d``.
     """
 
     members: DataFrame
     reps: DataFrame
+    sizes: DataFrame
+    scope: list[str]
+
+
+class Blocks(NamedTuple):
+    """Vectors cut into blocks. ``rows``: scope, ``rid``, ``weight``, ``vec``, ``block``. ``bounds``: scope, ``block``, its
+    ``n`` rows of length ``d`` and the smallest and largest angles ``lo``, ``hi`` to the scope's pivots; null: no pivots.
+    ``few``: the bounds may be copied to the tasks. ``n_tasks``: partitions for the pairs of blocks.
+    """
+
+    rows: DataFrame
+    bounds: DataFrame
     scope: list[str]
-    n_blocks: int
+    few: bool
     n_tasks: int
 
 
@@ -66,45 +87,174 @@ def collapse_copies(points: DataFrame, scope: list[str], row_id: str = "id", vec
     reps = materialise(groups.join(vectors, [*scope, "rid"]), "vectors")
     length = F.size("vec")
     sizes = reps.groupBy(*scope).agg(F.count("*").alias("n"), F.max(length).alias("d"), F.min(length).alias("least"))
-    row = sizes.agg(F.max("n"), F.sum("n"), F.max("d"), F.count("*"), F.count_if(F.col("least") < F.col("d"))).first()
-    if row[4]:
-        raise ValueError(f"vectors of different lengths in {row[4]} scopes")
-    slots = points.sparkSession.sparkContext.defaultParallelism
-    n_blocks, n_tasks = _layout(row[0] or 0, row[1] or 0, row[2] or 1, max(row[3], 1), slots)
-    return Collapsed(stored.drop("vec"), reps, scope, n_blocks, n_tasks)
+    sizes = materialise(sizes, "sizes")
+    odd = sizes.where(F.col("least") < F.col("d")).count()
+    if odd:
+        raise ValueError(f"vectors of different lengths in {odd} scopes")
+    return Collapsed(stored.drop("vec"), reps, sizes.where("n > 0").drop("least"), scope)
 
 
-def _layout(n_max: int, n_rows: int, dim: int, n_scopes: int, slots: int) -> tuple[int, int]:
-    """Blocks per scope and partitions of the block pairs.
+def blocks_per_scope(sizes: DataFrame, slots: int, work: float) -> DataFrame:
+    """``sizes`` with ``by_memory``, the blocks that a task's memory asks for, and ``n_blocks``.
 
-    Every row is copied to each block of its scope, so blocks are as large as a task's memory allows; they get smaller
-    only while the scopes have too few pairs to occupy the cores twice. Partitions follow the copied volume.
+    Blocks are as large as memory allows, as every row is copied to each block that its own is compared with. They get
+    smaller only while all scopes together have too few pairs to occupy the cores twice, each in proportion to its share of
+    ``work``, the sum of all squared sizes.
+    """
+    most = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK_ROWS), F.floor(F.lit(MAX_BLOCK_BYTES) / (4 * F.col("d")))))
+    pairs = F.lit(2.0 * slots / work) * F.col("n") * F.col("n")
+    for_cores = F.least(F.ceil((F.sqrt(8 * pairs + 1) - 1) / 2), F.floor(F.col("n") / MIN_BLOCK_ROWS))
+    by_memory = F.ceil(F.col("n") / most)
+    return sizes.withColumn("by_memory", by_memory).withColumn("n_blocks", F.greatest(F.lit(1), "by_memory", for_cores))
+
+
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length 1, and which are not zero."""
+    n = len(column)
+    raw = column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64) if n else np.empty((0, 1))
+    norm = np.sqrt((raw * raw).sum(axis=1))
+    nonzero = norm > 0
+    return raw / np.where(nonzero, norm, 1.0)[:, None], nonzero
+
+
+def _pivots(sample: DataFrame, scope: list[str]) -> DataFrame:
+    """Scope, ``pivots``: vectors that lie far from each other, one after the other, from a few rows of each scope."""
+    fields = [*(sample.schema[s] for s in scope), T.StructField("pivots", T.ArrayType(T.FloatType()))]
+    schema = T.StructType(fields)
+    arrow = to_arrow_schema(schema)
+
+    def choose(table: pa.Table) -> pa.Table:
+        unit, nonzero = _units(table["vec"].combine_chunks())
+        unit = unit[nonzero] if nonzero.any() else unit
+        chosen = [0]
+        nearest = unit @ unit[0]
+        while len(chosen) < PIVOTS:  # a scope of fewer different rows repeats some
+            chosen.append(int(np.argmin(nearest)))
+            nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+        flat = pa.array(unit[chosen].astype(np.float32).ravel())
+        value = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+        return pa.table([*(table[s].slice(0, 1) for s in scope), value], schema=arrow)
+
+    return sample.groupBy(*scope).applyInArrow(choose, schema)
+
+
+def _angles(rows: DataFrame, pivots: DataFrame, scope: list[str]) -> DataFrame:
+    """``rows`` (scope, ``part``, ``rid``, ``weight``, ``vec``) with ``cell``, the nearest pivot, and ``angles`` to all.
+
+    A zero vector has no angles and a cell of its own. A part is a bounded number of rows.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angles", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(schema)
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        unit, nonzero = _units(left["vec"].combine_chunks())
+        pivot = right["pivots"].combine_chunks()
+        if not len(unit) or not len(pivot):
+            return arrow.empty_table()
+        pivot, _ = _units(pa.ListArray.from_arrays(pa.array(np.arange(PIVOTS + 1) * unit.shape[1], pa.int32()), pivot.flatten()))
+        angles = np.arccos(np.clip(unit @ pivot.T, -1, 1))
+        cell = np.where(nonzero, angles.argmin(axis=1), PIVOTS).astype(np.int32)
+        flat = pa.array(angles[nonzero].ravel())
+        ends = np.r_[0, np.cumsum(np.where(nonzero, PIVOTS, 0))].astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(~nonzero))
+        return pa.table([*(left[c] for c in left.schema.names), pa.array(cell), values], schema=arrow)
+
+    keys = [*scope, "part"]
+    other = pivots.select(*[F.col(s).alias(s) for s in scope], F.col("part").alias("part"), F.col("pivots").alias("pivots"))
+    return rows.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(measure, schema)
+
+
+def place_blocks(c: Collapsed) -> Blocks:
+    """Cut the vectors of every scope into blocks of bounded size.
+
+    Scopes of a few memory-sized blocks are cut by a hash, if only to occupy the cores; larger ones by pivots, where a
+    cell's rows are cut into even runs by their exact places in the order of angles.
     """
-    by_memory = math.ceil(n_max / max(1, min(MAX_BLOCK_ROWS, MAX_BLOCK_BYTES // (4 * dim))))
-    pairs_wanted = math.ceil(2 * slots / n_scopes)
-    for_cores = math.ceil((math.sqrt(8 * pairs_wanted + 1) - 1) / 2)
-    n_blocks = max(1, by_memory, min(for_cores, n_max // MIN_BLOCK_ROWS))
-    volume = n_rows * n_blocks * 4 * dim
-    n_tasks = min(n_scopes * n_blocks * (n_blocks + 1) // 2, max(4 * slots, math.ceil(volume / TASK_BYTES)))
-    return n_blocks, n_tasks
+    slots = c.reps.sparkSession.sparkContext.defaultParallelism
+    scope = c.scope
+    work = c.sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 1.0
+    sizes = blocks_per_scope(c.sizes, slots, work)
+    pairs = F.col("n_blocks").cast("double") * (F.col("n_blocks") + 1) / 2
+    volume = F.col("n").cast("double") * F.col("n_blocks") * F.col("d") * 4
+    facts = sizes.agg(F.count("*"), F.max("by_memory"), F.sum("n_blocks"), F.sum(pairs), F.sum(volume)).first()
+    n_scopes, cuts, n_blocks, n_pairs, n_bytes = (x or 0 for x in facts)
+    n_tasks = int(max(1, min(n_pairs, max(4 * slots, math.ceil(n_bytes / TASK_BYTES)))))
+    narrow = c.reps.select(*scope, "rid", "weight", "vec")
+    on = [*scope, "_one"]  # a scope may have no columns
+    one = F.when(F.col("rid").isNotNull(), 1).alias("_one")
+    by_scope = sizes.withColumn("_one", F.when(F.col("n") > 0, 1))
+    if n_scopes <= FEW_ROWS:
+        sized = narrow.select("*", one).join(F.broadcast(by_scope), on)
+    else:
+        sized = skew_join(narrow.select("*", one), by_scope, on, salt_by=["rid"])
+    sized = sized.drop("_one")
+    no_angles = F.lit(None).cast("array<double>")
+    block = F.pmod(F.xxhash64("rid"), F.col("n_blocks")).cast("long")  # even but for chance
+    hashed = sized.where(F.col("by_memory") <= PIVOT_BLOCKS).select(*scope, "rid", "weight", "vec", block.alias("block"), no_angles.alias("angles"))
+    if cuts <= PIVOT_BLOCKS:
+        rows = materialise(hashed, "blocks")
+    else:
+        large = materialise(sized.where(F.col("by_memory") > PIVOT_BLOCKS), "large")
+        few = W.partitionBy(*scope).orderBy(F.xxhash64("rid"), "rid")
+        sample = large.select(*scope, "rid", "vec").withColumn("_at", F.row_number().over(few)).where(F.col("_at") <= PIVOT_SAMPLE)
+        parts = F.ceil(F.col("n") / MAX_BLOCK_ROWS).cast("long")
+        every = sizes.where(F.col("by_memory") > PIVOT_BLOCKS).select(*scope, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.when(F.col("n") > 0, 1).alias("_one"))
+        pivots = _pivots(sample.select(*scope, "vec"), scope).withColumn("_one", F.when(F.size("pivots") > 0, 1))
+        dealt = every.join(pivots, on).drop("_one")
+        part = F.pmod(F.xxhash64(F.lit(1), "rid"), parts)
+        measured = materialise(_angles(large.select(*scope, part.alias("part"), "rid", "weight", "vec"), dealt, scope).drop("part"), "angles")
+        own = F.coalesce(F.col("angles")[F.col("cell")], F.lit(0.0))
+        placed = row_position(measured.select(*scope, "cell", own.alias("angle"), "rid"), [*scope, "cell", "angle", "rid"], "_at")
+        cells = placed.groupBy(*scope, "cell").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+        cells = cells.withColumn("_one", F.when(F.col("_n") > 0, 1)).join(sizes.withColumn("_one", F.when(F.col("n") > 0, 1)), on)
+        cells = cells.withColumn("_k", F.ceil(F.col("_n") * F.col("n_blocks") / F.col("n")))
+        # at most one cell per pivot and one for zero vectors
+        before = W.partitionBy(*scope).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+        cells = cells.withColumn("_from", F.coalesce(F.sum("_k").over(before), F.lit(0))).select(*scope, "cell", "_first", "_n", "_k", "_from")
+        numbered = skew_join(materialise(placed.drop("angle"), "places"), cells, [*scope, "cell"], salt_by=["rid"])
+        run = F.floor((F.col("_at") - F.col("_first")) * F.col("_k") / F.col("_n"))
+        numbered = numbered.select(*scope, "rid", (F.col("_from") + run).cast("long").alias("block"))
+        cut = measured.join(numbered, [*scope, "rid"]).select(*scope, "rid", "weight", "vec", "block", "angles")
+        rows = materialise(hashed.unionByName(cut), "blocks")
+    ends = [F.array(*[f(F.col("angles")[i]) for i in range(PIVOTS)]).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    bounds = rows.groupBy(*scope, "block").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d"), F.count("angles").alias("_with"), *ends)
+    known = F.col("_with") == F.col("n")
+    bounds = bounds.select(*scope, "block", "n", "d", *[F.when(known, F.col(x)).alias(x) for x in ("lo", "hi")], F.when(F.col("n") > 0, 1).alias("_one"))
+    # cells' last blocks are not full: at most one more block per cell
+    few = n_blocks + (PIVOTS + 1) * n_scopes * (cuts > PIVOT_BLOCKS) <= FEW_ROWS
+    return Blocks(rows.drop("angles"), materialise(bounds, "bounds"), scope, few, n_tasks)
+
+
+def block_pairs(b: Blocks, eps: float) -> DataFrame:
+    """Scope, ``bi <= bj``: the pairs of blocks that may hold vectors within ``eps``."""
+    angle = math.acos(max(-1.0, min(1.0, 1.0 - eps))) + ANGLE_SLACK
+    sides = [b.bounds.select(*b.scope, "_one", *[F.col(x).alias(f"{x}_{side}") for x in ("block", "lo", "hi")]) for side in "ij"]
+    on = [*b.scope, "_one"]
+    if b.few:
+        both = sides[0].join(F.broadcast(sides[1]), on)
+    else:
+        both = skew_join(sides[0], sides[1], on, salt_by=["block_i"], rows_per_task=512)
+    apart = F.exists(
+        F.sequence(F.lit(0), F.lit(PIVOTS - 1)),
+        lambda p: F.greatest(F.col("lo_i")[p] - F.col("hi_j")[p], F.col("lo_j")[p] - F.col("hi_i")[p]) > angle,
+    )
+    met = both.where((F.col("block_i") <= F.col("block_j")) & ~F.coalesce(apart, F.lit(False)))
+    return met.select(*b.scope, F.col("block_i").alias("bi"), F.col("block_j").alias("bj"))
 
 
-def _pair_blocks(rows: DataFrame, c: Collapsed) -> DataFrame:
-    """Copy each row to the block pairs ``(bi, bj)``, ``bi <= bj``, that hold its block.
+def _pair_blocks(rows: DataFrame, b: Blocks, eps: float) -> DataFrame:
+    """Copy each row to the block pairs that its block is in, grouped by them.
 
-    Blocks come from a hash of the unique row id, so no content can make one large. The number of
-    partitions is set here: the work is compute, and small inputs must not be coalesced into one task.
+    The number of partitions is set here: the work is compute, and small inputs must not be coalesced into one task.
     """
-    paired = (
-        rows.withColumn("_b", F.pmod(F.xxhash64("rid"), F.lit(c.n_blocks)).cast("int"))
-        .withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(c.n_blocks - 1))))
-        .withColumn("bi", F.least("_b", "_c"))
-        .withColumn("bj", F.greatest("_b", "_c"))
-        .withColumn("is_left", F.col("_b") == F.col("bi"))
-        .drop("_b", "_c")
-    )
-    keys = [*c.scope, "bi", "bj"]
-    return paired.repartition(c.n_tasks, *keys).groupBy(*keys)
+    pairs = block_pairs(b, eps)
+    if not b.few:
+        pairs = materialise(pairs, "block-pairs")
+    left = pairs.select(*b.scope, F.col("bi").alias("block"), "bi", "bj", F.lit(True).alias("is_left"))
+    right = pairs.where("bi < bj").select(*b.scope, F.col("bj").alias("block"), "bi", "bj", F.lit(False).alias("is_left"))
+    keys = [*b.scope, "bi", "bj"]
+    paired = rows.join(left.unionByName(right), [*b.scope, "block"]).drop("block")
+    return paired.repartition(b.n_tasks, *keys).groupBy(*keys)
 
 
 class _Side(NamedTuple):
@@ -122,21 +272,11 @@ def _read_sides(batches, extra: str | None) -> tuple[_Side, _Side]:
     def side(mask) -> _Side:
         part = table.filter(mask).combine_chunks()
         n = part.num_rows
-        column = part["vec"].combine_chunks() if n else None
-        flat = column.flatten().to_numpy(zero_copy_only=False) if n else np.empty(0)
-        raw = flat.reshape(n, -1).astype(np.float64) if n else np.empty((0, 1))
-        norm = np.sqrt((raw * raw).sum(axis=1))
-        nonzero = norm > 0
-        unit = raw / np.where(nonzero, norm, 1.0)[:, None]
+        unit, nonzero = _units(part["vec"].combine_chunks())
         payload = None
         if extra:
             payload = part[extra].combine_chunks() if n else None
-            if payload is None:
-                payload = np.empty(0, dtype=np.int64)
-            elif pa.types.is_list(payload.type):
-                payload = payload.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            else:
-                payload = payload.to_numpy(zero_copy_only=False)
+            payload = np.empty(0) if payload is None else payload.to_numpy(zero_copy_only=False)
         return _Side(part["rid"].to_numpy(), part["weight"].to_numpy().astype(np.float64), unit, nonzero, payload)
 
     return side(left), side(pa.compute.invert(left))
@@ -158,7 +298,7 @@ def _tiles(a: _Side, b: _Side, same: bool):
 def _batch(schema: pa.Schema, scope_values: list, columns: list[np.ndarray]) -> pa.RecordBatch:
     n = len(columns[0])
     fixed = [pa.array([value] * n, type=field.type) for value, field in zip(scope_values, schema)]
-    rest = [pa.array(c, type=f.type) for c, f in zip(columns, list(schema)[len(scope_values) :])]
+    rest = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, list(schema)[len(scope_values) :])]
     return pa.RecordBatch.from_arrays([*fixed, *rest], schema=schema)
 
 
@@ -167,7 +307,7 @@ def _schemas(c: Collapsed, fields: list[tuple[str, T.DataType]]) -> tuple[T.Stru
     return schema, to_arrow_schema(schema)
 
 
-def eps_pairs(c: Collapsed, eps: float) -> DataFrame:
+def eps_pairs(c: Collapsed, blocks: Blocks, eps: float) -> DataFrame:
     """Pairs of distinct vectors at cosine distance ``<= eps``, tile by tile; see ``eps_neighbours``."""
     fields = [("id_a", T.LongType()), ("id_b", T.LongType()), ("dist", T.DoubleType())]
     schema, arrow = _schemas(c, [*fields, ("copies_a", T.LongType()), ("copies_b", T.LongType())])
@@ -200,7 +340,7 @@ def eps_pairs(c: Collapsed, eps: float) -> DataFrame:
                     ],
                 )
 
-    return _pair_blocks(c.reps.select(*c.scope, "rid", "weight", "vec"), c).applyInArrow(run, schema)
+    return _pair_blocks(blocks.rows, blocks, eps).applyInArrow(run, schema)
 
 
 def eps_neighbours(points: DataFrame, eps: float, scope: list[str] = (), row_id: str = "id", vec: str = "vec") -> DataFrame:
@@ -210,7 +350,11 @@ def eps_neighbours(points: DataFrame, eps: float, scope: list[str] = (), row_id:
     ``copies_a * copies_b`` point pairs; a row with ``id_a = id_b``, at distance 0, for the ``n * (n - 1) / 2`` pairs among
     the copies of one vector. ``copy_members`` gives the points behind an id, so every pair can be rebuilt.
     """
-    c = collapse_copies(points, list(scope), row_id, vec)
+    return near_pairs(collapse_copies(points, list(scope), row_id, vec), eps)
+
+
+def near_pairs(c: Collapsed, eps: float) -> DataFrame:
+    """The rows of ``eps_neighbours`` for points that are collapsed already."""
     alike = c.reps.where("weight > 1").where(F.exists("vec", lambda x: x != 0))
     copies = alike.select(
         *c.scope,
@@ -220,17 +364,21 @@ def eps_neighbours(points: DataFrame, eps: float, scope: list[str] = (), row_id:
         F.col("weight").alias("copies_a"),
         F.col("weight").alias("copies_b"),
     )
-    return eps_pairs(c, eps).unionByName(copies)
+    return eps_pairs(c, place_blocks(c), eps).unionByName(copies)
 
 
 def copy_members(points: DataFrame, scope: list[str] = (), row_id: str = "id", vec: str = "vec") -> DataFrame:
     """Scope, ``id``, ``rid``: the smallest id with the same vector, for every point that has one."""
-    c = collapse_copies(points, list(scope), row_id, vec)
+    return members_of(collapse_copies(points, list(scope), row_id, vec))
+
+
+def members_of(c: Collapsed) -> DataFrame:
+    """The rows of ``copy_members`` for points that are collapsed already."""
     keys = [*c.scope, "k1", "k2"]
     return skew_join(c.members.where("sound"), c.reps.select(*keys, "rid"), keys, salt_by=["id"]).select(*c.scope, "id", "rid")
 
 
-def neighbour_counts(c: Collapsed, eps_list: list[float]) -> DataFrame:
+def neighbour_counts(c: Collapsed, blocks: Blocks, eps_list: list[float]) -> DataFrame:
     """Scope, ``rid``, ``e`` (index into ``eps_list``), ``n``: points within eps of each vector, itself and copies included.
 
     One distance computation serves all eps; each task sends one number per row, eps and block.
@@ -260,116 +408,185 @@ def neighbour_counts(c: Collapsed, eps_list: list[float]) -> DataFrame:
                         arrow, scope, [side.rid[hit], np.full(hit.sum(), e), np.rint(counts[e][hit]).astype(np.int64)]
                     )
 
-    partial = _pair_blocks(c.reps.select(*c.scope, "rid", "weight", "vec"), c).applyInArrow(run, schema)
+    partial = _pair_blocks(blocks.rows, blocks, max(eps_list)).applyInArrow(run, schema)
     return partial.groupBy(*c.scope, "rid", "e").agg(F.sum("n").alias("n"))
 
 
 def core_flags(points: DataFrame, eps: float, min_samples: int = 5, scope: list[str] = (), row_id: str = "id", vec: str = "vec") -> DataFrame:
     """``id, n_neighbours, is_core`` of each point: neighbours include the point itself."""
     c = collapse_copies(points, list(scope), row_id, vec)
-    counts = neighbour_counts(c, [eps]).drop("e")
+    counts = neighbour_counts(c, place_blocks(c), [eps]).drop("e")
     reps = c.reps.select(*c.scope, "k1", "k2", "rid").join(counts, [*c.scope, "rid"], "left")
     per_point = skew_join(c.members, reps, [*c.scope, "k1", "k2"], "left", salt_by=["id"])
     n = F.coalesce("n", F.lit(0))
     return per_point.select(*c.scope, "id", n.alias("n_neighbours"), (n >= min_samples).alias("is_core"))
 
 
-def _forest(near: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each vertex to the smallest id of its component in the bipartite graph ``near``."""
-    left_todo, right_todo = np.ones(len(a), dtype=bool), np.ones(len(b), dtype=bool)
-    members, roots = [], []
-    for start in range(len(a)):
-        if not left_todo[start]:
-            continue
-        left_todo[start] = False
-        left_front = np.array([start])
-        left_part, right_part = [left_front], []
-        while len(left_front):
-            right_front = np.flatnonzero(near[left_front].any(axis=0) & right_todo)
-            right_todo[right_front] = False
-            right_part.append(right_front)
-            if same:
-                left_front = right_front[left_todo[right_front]]
-            else:
-                left_front = np.flatnonzero(near[:, right_front].any(axis=1) & left_todo)
-            left_todo[left_front] = False
-            left_part.append(left_front)
-        ids = np.unique(np.concatenate([a[p] for p in left_part] + [b[p] for p in right_part]))
-        if len(ids) > 1:
-            members.append(ids[1:])
-            roots.append(np.full(len(ids) - 1, ids[0]))
-    if not members:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    return np.concatenate(members), np.concatenate(roots)
-
-
-def core_forest(c: Collapsed, cores: DataFrame, eps_list: list[float]) -> DataFrame:
-    """Scope, ``e``, ``a > b``: edges that connect core vectors exactly as their eps-graph does.
-
-    ``eps_list`` ascends. ``cores`` has scope, ``rid`` and ``core_from``, the index of the first eps at which the vector is core.
-    A task sends fewer edges than it has rows, for each eps.
+def _smallest(near: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` smallest of ``dist`` in each row, among those that are ``near``."""
+    if near.sum(axis=1).max(initial=0) <= k:
+        return np.nonzero(near)
+    column = np.argpartition(np.where(near, dist, np.inf), k - 1, axis=1)[:, :k]
+    row = np.repeat(np.arange(len(dist)), k)
+    column = column.ravel()
+    hit = near[row, column]
+    return row[hit], column[hit]
+
+
+def _first_of_rows(found: list[tuple], k: int) -> list[np.ndarray]:
+    """Of entries (row, distance, id, weight), the first ``k`` of each row."""
+    row, dist, rid, weight = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((rid, dist, row))
+    row = row[order]
+    new = np.r_[True, row[1:] != row[:-1]] if len(row) else np.empty(0, bool)
+    start = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0)) if len(row) else np.empty(0, np.int64)
+    keep = np.arange(len(row)) - start < k
+    return [row[keep], *(c[order][keep] for c in (dist, rid, weight))]
+
+
+_NEAR = T.ArrayType(
+    T.StructType([T.StructField("dist", T.DoubleType()), T.StructField("rid", T.LongType()), T.StructField("weight", T.LongType())])
+)
+
+
+def near_lists(c: Collapsed, blocks: Blocks, eps: float, k: int) -> DataFrame:
+    """Scope, ``rid``, ``near``: the ``k`` nearest vectors within ``eps`` of each, itself included, nearest first.
+
+    ``near`` holds distance, id and weight. A vector with fewer than ``k`` points around it has them all in its list.
     """
-    schema, arrow = _schemas(c, [("e", T.IntegerType()), ("a", T.LongType()), ("b", T.LongType())])
+    schema, arrow = _schemas(c, [("rid", T.LongType()), ("near", _NEAR)])
     n_scope = len(c.scope)
 
+    def lists(scope: list, side: _Side, entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        row, dist, rid, weight = entries
+        if not len(row):
+            return
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        fields = list(arrow.field("near").type.value_type)
+        values = pa.StructArray.from_arrays(
+            [pa.array(x, f.type) for x, f in zip((dist, rid, weight.astype(np.int64)), fields)], fields=fields
+        )
+        near = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), values)
+        yield _batch(arrow, scope, [side.rid[row[starts]], near.cast(arrow.field("near").type)])
+
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scope = [k.as_py() for k in key[:n_scope]]
+        scope = [x.as_py() for x in key[:n_scope]]
         same = key[-1].as_py() == key[-2].as_py()
-        a, b = _read_sides(batches, "core_from")
+        a, b = _read_sides(batches, None)
         if same:
             b = a
-        for first in range(0, len(eps_list), EPS_AT_ONCE):
-            some = range(first, min(first + EPS_AT_ONCE, len(eps_list)))
-            near = {e: np.zeros((len(a.rid), len(b.rid)), dtype=bool) for e in some}
-            for rows, cols, dist in _tiles(a, b, same):
-                for e in some:
-                    near[e][rows, cols] = dist <= eps_list[e]
-            for e in some:
-                left, right = a.extra <= e, b.extra <= e
-                child, root = _forest(near.pop(e)[left][:, right], a.rid[left], b.rid[right], same)
-                if len(child):
-                    yield _batch(arrow, scope, [np.full(len(child), e), child, root])
-
-    rows = c.reps.select(*c.scope, "rid", "weight", "vec").join(cores, [*c.scope, "rid"])
-    return _pair_blocks(rows, c).applyInArrow(run, schema)
-
-
-def border_labels(c: Collapsed, labels: DataFrame, eps_list: list[float]) -> DataFrame:
-    """Scope, ``rid``, ``e``, ``cluster_id``: the smallest cluster number among the core neighbours of each non-core vector.
-
-    ``labels`` has scope, ``rid`` and ``labels``, an array with the cluster number (null when not core) at each eps.
+        nothing = tuple(np.empty(0, t) for t in (np.int64, np.float64, np.int64, np.float64))
+        of_a, of_b, strip = [nothing], [nothing], 0
+        for rows, cols, dist in _tiles(a, b, same):
+            if rows.start != strip:
+                yield from lists(scope, a, _first_of_rows(of_a, k))
+                of_a, of_b, strip = [nothing], [tuple(_first_of_rows(of_b, k))], rows.start
+            near = dist <= eps
+            i, j = _smallest(near, dist, k)
+            of_a.append((i + rows.start, dist[i, j], b.rid[cols][j], b.weight[cols][j]))
+            if not same:
+                j, i = _smallest(near.T, dist.T, k)
+                of_b.append((j + cols.start, dist[i, j], a.rid[rows][i], a.weight[rows][i]))
+        yield from lists(scope, a, _first_of_rows(of_a, k))
+        yield from lists(scope, b, _first_of_rows(of_b, k))
+
+    partial = _pair_blocks(blocks.rows, blocks, eps).applyInArrow(run, schema)
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    return partial.groupBy(*c.scope, "rid").agg(merged.alias("near"))
+
+
+def _kruskal(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges of a lightest forest."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), weight))
+    parent = list(range(len(names)))
+    kept = []
+    for at, u, v in zip(order.tolist(), ends[: len(a)][order].tolist(), ends[len(a) :][order].tolist()):
+        while parent[u] != u:
+            parent[u] = u = parent[parent[u]]
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        if u != v:
+            parent[u] = v
+            kept.append(at)
+    return np.array(kept, np.int64)
+
+
+def _prim(weight: np.ndarray, left: slice, right: slice, size: int) -> tuple[list, list, list]:
+    """A lightest forest of the graph whose edge between ``left`` and ``right`` vertices is in ``weight`` (infinite: none).
+
+    The two may overlap, when a strip of a block is set against the whole block.
+    """
+    best, parent, todo = np.full(size, np.inf), np.zeros(size, np.int64), np.zeros(size, bool)
+    some = np.isfinite(weight)
+    todo[left] |= some.any(axis=1)
+    todo[right] |= some.any(axis=0)
+    starts = iter(np.flatnonzero(todo).tolist())
+    a, b, w = [], [], []
+    while True:
+        v = int(np.argmin(best))
+        if best[v] == np.inf:
+            v = next((x for x in starts if todo[x]), -1)
+            if v < 0:
+                return a, b, w
+        else:
+            a.append(v)
+            b.append(int(parent[v]))
+            w.append(float(best[v]))
+        todo[v], best[v] = False, np.inf
+        if left.start <= v < left.stop:
+            line, others = weight[v - left.start], right
+        else:
+            line, others = weight[:, v - right.start], left
+        closer = (line < best[others]) & todo[others]
+        best[others][closer] = line[closer]
+        parent[others][closer] = v
+
+
+def reach_forest(c: Collapsed, blocks: Blocks, cores: DataFrame, eps: float) -> DataFrame:
+    """Scope, ``a > b``, ``weight``: edges between core vectors whose cut at any radius up to ``eps`` connects them exactly.
+
+    ``cores`` has scope, ``rid`` and ``core``, the distance within which a vector has enough points. An edge weighs the
+    largest of its length and its ends' core distances, so at radius ``r`` the edges up to ``r`` are the links of cores.
+    Every block pair sends a lightest forest of its own edges, fewer than it has rows. An edge that is not in one is the
+    heaviest of a circle, which no lightest forest of all edges needs.
     """
-    schema, arrow = _schemas(c, [("rid", T.LongType()), ("e", T.IntegerType()), ("cluster_id", T.IntegerType())])
+    schema, arrow = _schemas(c, [("a", T.LongType()), ("b", T.LongType()), ("weight", T.DoubleType())])
     n_scope = len(c.scope)
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scope = [k.as_py() for k in key[:n_scope]]
         same = key[-1].as_py() == key[-2].as_py()
-        a, b = _read_sides(batches, "labels")
+        a, b = _read_sides(batches, "core")
         if same:
             b = a
-        if not len(a.rid) or not len(b.rid):
+        if not len(a.rid) or not len(b.rid):  # a block without cores
             return
-        best_a = np.full((len(eps_list), len(a.rid)), _NO_LABEL, dtype=np.int32)
-        best_b = np.full((len(eps_list), len(b.rid)), _NO_LABEL, dtype=np.int32)
-        for rows, cols, dist in _tiles(a, b, same):
-            for e, eps in enumerate(eps_list):
-                near = dist <= eps
-                if not near.any():
-                    continue
-                left, right = a.extra[rows, e], b.extra[cols, e]
-                best_a[e, rows] = np.minimum(best_a[e, rows], np.where(near, right[None, :], np.int32(_NO_LABEL)).min(axis=1))
-                if not same:
-                    best_b[e, cols] = np.minimum(best_b[e, cols], np.where(near, left[:, None], np.int32(_NO_LABEL)).min(axis=0))
-        for side, best in ((a, best_a),) if same else ((a, best_a), (b, best_b)):
-            for e in range(len(eps_list)):
-                hit = (best[e] != _NO_LABEL) & (side.extra[:, e] == _NO_LABEL)
-                if hit.any():
-                    yield _batch(arrow, scope, [side.rid[hit], np.full(hit.sum(), e), best[e][hit]])
-
-    none = F.array(*[F.lit(int(_NO_LABEL)) for _ in eps_list])
-    filled = F.transform("labels", lambda r: F.coalesce(r, F.lit(int(_NO_LABEL))))
-    rows = c.reps.select(*c.scope, "rid", "weight", "vec").join(labels, [*c.scope, "rid"], "left")
-    rows = rows.withColumn("labels", F.coalesce(filled, none))
-    partial = _pair_blocks(rows, c).applyInArrow(run, schema)
-    return partial.groupBy(*c.scope, "rid", "e").agg(F.min("cluster_id").alias("cluster_id"))
+        names = a.rid if same else np.concatenate([a.rid, b.rid])
+        right = slice(0, len(a.rid)) if same else slice(len(a.rid), len(names))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for start in range(0, len(a.rid), STRIP_ROWS):
+            left = slice(start, min(start + STRIP_ROWS, len(a.rid)))
+            weight = 1.0 - a.unit[left] @ b.unit.T
+            np.maximum(weight, a.extra[left][:, None], out=weight)
+            np.maximum(weight, b.extra[None, :], out=weight)
+            weight[weight > eps] = np.inf
+            if same:
+                weight[np.arange(left.stop - left.start), np.arange(left.start, left.stop)] = np.inf
+            some = np.isfinite(weight)
+            if some.sum() <= 8 * sum(weight.shape):
+                i, j = np.nonzero(some)
+                u, v, w = names[left.start + i], names[right.start + j], weight[i, j]
+                kept = _kruskal(u, v, w)
+                found.append((u[kept], v[kept], w[kept]))
+            else:
+                u, v, w = _prim(weight, left, right, len(names))
+                found.append((names[u], names[v], np.array(w)))
+        u, v, w = (np.concatenate(x) for x in zip(*found))
+        kept = _kruskal(u, v, w)
+        if len(kept):
+            u, v = u[kept], v[kept]
+            yield _batch(arrow, scope, [np.maximum(u, v), np.minimum(u, v), w[kept]])
+
+    rows = blocks.rows.join(cores, [*c.scope, "rid"])
+    return _pair_blocks(rows, blocks, eps).applyInArrow(run, schema)

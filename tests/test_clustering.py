@@ -55,7 +55,7 @@ def blobs(seed, n=260, dim=8):
 def test_sweep_equals_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(N, "MIN_BLOCK_ROWS", 20)
     monkeypatch.setattr(N, "TILE_ROWS", 16)
-    monkeypatch.setattr(N, "EPS_AT_ONCE", 2)
+    monkeypatch.setattr(N, "STRIP_ROWS", 24)
     monkeypatch.setattr(N, "MAX_BLOCK_ROWS", 40)
     if seed == 2:
         monkeypatch.setattr(skew, "ROWS_PER_TASK", 5)
@@ -105,13 +105,99 @@ def test_dense_region_sends_no_pairs(spark):
     rng = np.random.default_rng(0)
     v = np.ones((2000, 4)) + rng.normal(size=(2000, 4)) * 1e-3
     c = N.collapse_copies(frame(spark, v), [])
-    cores = c.reps.select("rid", F.lit(0).alias("core_from"))
-    forest = N.core_forest(c, cores, [0.1])
-    assert forest.count() <= 2 * 2000 * c.n_blocks
-    assert N.neighbour_counts(c, [0.1]).agg(F.min("n"), F.max("n")).first() == (2000, 2000)
+    blocks = N.place_blocks(c)
+    cores, near = C.core_distances(c, blocks, 0.1, 5)
+    forest = N.reach_forest(c, blocks, cores, 0.1)
+    pairs = N.block_pairs(blocks, 0.1).count()
+    assert 1999 <= forest.count() <= 2 * 2000 * pairs / blocks.bounds.count()
+    assert near.agg(F.min(F.size("near")), F.max(F.size("near"))).first() == (5, 5)
+    assert N.neighbour_counts(c, blocks, [0.1]).agg(F.min("n"), F.max("n")).first() == (2000, 2000)
     assert {r["cluster_id"] for r in C.dbscan(frame(spark, v), 0.1).collect()} == {0}
 
 
+def apart(seed, groups=8, each=60, dim=16):
+    """Groups around axes at right angles, and a zero vector."""
+    rng = np.random.default_rng(seed)
+    v = np.repeat(np.eye(dim)[:groups], each, axis=0) + rng.normal(size=(groups * each, dim)) * 0.02
+    return np.concatenate([v, np.zeros((1, dim))])
+
+
+@pytest.mark.parametrize("eps", [0.05, 1.0])
+def test_blocks_that_lie_apart_are_not_compared(spark, monkeypatch, eps):
+    monkeypatch.setattr(N, "MAX_BLOCK_ROWS", 30)
+    v = apart(4)
+    df = frame(spark, v)
+    c = N.collapse_copies(df, [])
+    blocks = N.place_blocks(c)
+    n = blocks.bounds.count()
+    assert blocks.bounds.agg(F.max("n"), F.sum("n")).first() == (30, len(v)) or blocks.bounds.agg(F.max("n")).first()[0] <= 30
+    compared = N.block_pairs(blocks, eps).count()
+    if eps < 1:
+        assert n >= 17 and compared <= n * (n + 1) / 2 / 3
+    unit = v / np.maximum(np.sqrt((v * v).sum(1)), 1e-30)[:, None]
+    dist = 1 - unit.astype(np.float32).astype(np.float64) @ unit.astype(np.float32).astype(np.float64).T
+    got = {(r["id_a"], r["id_b"]) for r in N.eps_neighbours(df, eps).collect()}
+    i, j = np.nonzero(np.triu(dist <= eps - 1e-5, 1))
+    assert set(zip(i.tolist(), j.tolist())) <= got
+    assert all(dist[a, b] <= eps + 1e-5 for a, b in got)
+    labels = {r["id"]: r["cluster_id"] for r in C.dbscan(df, eps).collect()}
+    assert [labels[x] for x in range(len(v))] == list(brute(v, eps, 5))
+
+
+def test_a_small_scope_is_not_cut_like_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(N, "MAX_BLOCK_ROWS", 50)
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(520, 6))
+    groups = np.where(np.arange(520) < 500, 0, 1 + np.arange(520) % 4)
+    c = N.collapse_copies(frame(spark, v, groups), ["g"])
+    blocks = {r["g"]: r["n"] for r in N.place_blocks(c).bounds.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert blocks[0] >= 10 and all(blocks[g] == 1 for g in range(1, 5))
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_every_cut_of_the_forest_is_a_clustering(spark, monkeypatch, seed):
+    """The forest of a large radius, cut at any smaller one, joins the cores that brute force joins."""
+    monkeypatch.setattr(N, "MAX_BLOCK_ROWS", 60)
+    monkeypatch.setattr(N, "STRIP_ROWS", 25)
+    v = blobs(seed, n=220)
+    c = N.collapse_copies(frame(spark, v), [])
+    blocks = N.place_blocks(c)
+    cores, _ = C.core_distances(c, blocks, 0.3, 4)
+    core = {r["rid"]: r["core"] for r in cores.where("core IS NOT NULL").collect()}
+    edges = [tuple(r) for r in N.reach_forest(c, blocks, cores.where("core IS NOT NULL"), 0.3).collect()]
+    members = {r["id"]: r["rid"] for r in N.members_of(c).collect()}
+    for eps in (0.01, 0.05, 0.13, 0.3):
+        root = {x: x for x in core if core[x] <= eps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b, w in edges:
+            if w <= eps:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+        expected = brute(v, eps, 4)
+        got = {}
+        for i, rid in members.items():
+            if rid in root:
+                got.setdefault(find(rid), set()).add(int(expected[i]))
+        assert all(len(x) == 1 and -1 not in x for x in got.values())
+        assert len(got) == len(set(expected) - {-1})
+
+
+def test_prim_and_kruskal_agree():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        n, m = rng.integers(1, 12, 2)
+        w = rng.integers(1, 9, (n, m)) / 4.0
+        w[rng.random((n, m)) < 0.4] = np.inf
+        a, b, total = N._prim(w, slice(0, int(n)), slice(int(n), int(n + m)), int(n + m))
+        i, j = np.nonzero(np.isfinite(w))
+        kept = N._kruskal(i, n + j, w[i, j])
+        assert len(kept) == len(a) == len(b) and np.isclose(sum(total), w[i, j][kept].sum())
+
+
 def test_copies_are_one_row(spark):
     v = [[1.0, 0.0]] * 400 + [[0.0, 1.0]] * 200 + [[0.9, 0.1]]
     rows = N.eps_neighbours(frame(spark, v), 0.05).orderBy("id_a", "id_b").collect()
@@ -120,13 +206,19 @@ def test_copies_are_one_row(spark):
     assert {(r["n_neighbours"], r["n"]) for r in flags.groupBy("n_neighbours").agg(F.count("*").alias("n")).collect()} == {(401, 401), (200, 200)}
 
 
-def test_layout():
+def test_layout(spark):
     """Large blocks where scopes are many, more of them where one scope must fill the cores, bounded by memory."""
-    assert N._layout(5_000, 5 * 10**9, 1024, 10**6, 4000) == (1, 38147)
-    blocks, tasks = N._layout(100_000, 100_000, 1024, 1, 8)
-    assert 100_000 / blocks <= N.MAX_BLOCK_ROWS and tasks <= blocks * (blocks + 1) // 2
-    assert N._layout(0, 0, 1, 1, 8) == (1, 1) and N._layout(2000, 2000, 64, 1, 8)[0] == 6
-    assert N._layout(10**6, 10**6, 100_000, 1, 8)[0] >= 10**6 * 4 * 100_000 // N.MAX_BLOCK_BYTES
+
+    def blocks(rows, slots):
+        sizes = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "scope int, n long, d int")
+        work = float(sum(n * n for n, _ in rows))
+        return [r["n_blocks"] for r in N.blocks_per_scope(sizes, slots, work).orderBy("scope").collect()]
+
+    assert blocks([(5_000, 1024)] * 500, 8) == [1] * 500
+    (one,) = blocks([(100_000, 1024)], 8)
+    assert 100_000 / one <= N.MAX_BLOCK_ROWS
+    assert blocks([(2000, 64)], 8) == [6] and blocks([(2000, 64), (100, 64)], 8) == [6, 1]
+    assert blocks([(10**6, 100_000)], 8)[0] >= 10**6 * 4 * 100_000 // N.MAX_BLOCK_BYTES
 
 
 def test_no_points(spark):
