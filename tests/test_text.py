@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from clausework.functions import language, text
+from clausework.functions import language, language_model, text
 
 ODD_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 NOT_SPACES = "".join(map(chr, (0x200B, 0x2060, 0xFEFF, 0x180E, 0x00, 0x1B, 0x7F)))
@@ -96,3 +96,28 @@ def test_detector(spark):
     hits, n = long.agg(F.count_if(F.col("lang") == F.col("found")), F.count("*")).first()
     assert hits / n > 0.9
     assert run(spark, ["zzz qqq", "", None], language.detect_language(F.col("t"))) == [(None,)] * 3
+
+
+def test_language_model(spark):
+    """Held-out documents: the fitted model finds the tag where the rule of function words often has none."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text")
+    fitted_to = docs.where("doc_id % 2 = 0")
+    model = language_model.fit_languages(fitted_to)
+    assert sorted(model.scores) == ["de", "en", "es", "fr"]
+    held_out = docs.where("doc_id % 2 = 1").select(
+        "lang", model.detect(F.col("text")).alias("fitted"), language.detect_language(F.col("text")).alias("rule")
+    )
+    right = lambda c: F.avg((F.coalesce(F.col(c), F.lit("")) == F.col("lang")).cast("int"))
+    fitted, rule = held_out.agg(right("fitted"), right("rule")).first()
+    print("held-out accuracy, fitted and rule:", fitted, rule)
+    assert fitted >= 0.95 and fitted >= rule
+
+
+def test_language_model_of_odd_texts(spark):
+    rows = [(1, "en", "the cat and the dog"), (2, "fr", "le chat et le chien"), (3, None, "x"), (4, "en", None)]
+    model = language_model.fit_languages(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    texts = ["THE dog!", "chien, chat", "", None, "12 34 \n", "the" + " " * 50 + "dog", "\U0001d504 the"]
+    got = [r[0] for r in run(spark, texts, model.detect(F.col("t")))]
+    assert got[:6] == ["en", "fr", None, None, None, "en"] and got[6] == "en"
+    nothing = language_model.fit_languages(spark.createDataFrame([], "doc_id long, lang string, text string"))
+    assert run(spark, ["the"], nothing.detect(F.col("t"))) == [(None,)]
