@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from clausework.functions import taxonomy
@@ -24,6 +27,44 @@ def test_rules_from_a_table(spark):
     assert [r["categories"] for r in A.taxonomy_tag(numbered, many).collect()] == [["7"], ["1199"], ["Others"]]
 
 
+def test_required_words():
+    need = taxonomy.required_words
+    assert need("restocking fee") == ("restocking fee",) and need(r"t(ion|ment)\.") == ("ion", "ment")
+    assert need(" with (the|of|in) ") == (" with ",) and need(" dans | sich ") == ("dans ", "sich ")
+    assert need(r"\b(refund|return)s?\b") == ("refund", "return") and need("(than|then) .* this ") == (" this ",)
+    assert need("x7$") == ("x7",) and need("a+bcd") == ("bcd",) and need("(ab)?cd") == ("cd",) and need("(?:ab){2,}") == ("ab",)
+    assert need("[ab]c") == () and need("(a|)") == () and need("(?i)fee") == () and need("(") == ()
+
+
+def test_rules_find_what_their_patterns_find(spark):
+    """Words that overlap, begin alike or stand in each other; rules without any; against plain regular expressions."""
+    rules = (("A", "restocking fee"), ("B", "fee"), ("C", r"re(fund|stocking)"), ("D", r"\d"), ("E", "stocking f"), ("F", r"fees? .*fund"), ("G", "é+x"))
+    rng = random.Random(6)
+    parts = ["restocking", " fee", "fees ", "refund", "re", "stocking", " f", "7", "ééx", "é", "\n", "fund", "FEE"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) for _ in range(400)] + [None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, paragraph string")
+    got = {r["i"]: r["categories"] for r in A.taxonomy_tag(df, rules).collect()}
+    for i, t in enumerate(texts[:-1]):
+        want = sorted(c for c, p in rules if re.search(p, t.lower())) or ["Others"]
+        assert got[i] == want, t
+    assert got[len(texts) - 1] == ["Others"]
+
+
+def test_shipped_rules_find_their_own_terms(spark):
+    terms = [
+        ("Restocking Fee", "A RESTOCKING fee of 15 percent applies"),
+        ("No Refund for Purchase", "There is no refund for sale items"),
+        ("Cancellation Fee or Penalty", "You owe a cancellation fee"),
+        ("Forced Waiver of Class Action Rights", "You waive any class action"),
+        ("Customers Pay Return Shipping", "Return shipping is paid by the customer"),
+    ]
+    df = spark.createDataFrame(terms, "want string, paragraph string")
+    rows = A.taxonomy_tag(df).collect()
+    assert all(r["want"] in r["categories"] for r in rows)
+    topics = A.taxonomy_tag(df, taxonomy.TOPIC_RULES).collect()
+    assert all(set(r["categories"]) <= {*taxonomy.TOPICS, taxonomy.OTHERS} for r in topics)
+
+
 def test_undisclosed(spark):
     terms = spark.createDataFrame([("s", "A  fee"), ("s", "No refund"), ("t", "a fee")], "site string, term string")
     info = spark.createDataFrame([("s", " a FEE ")], "site string, term string")
