@@ -60,9 +60,29 @@ VOID_HREF = "javascript:void(0);"
 
 SLUG_LENGTH = 255
 
-_HOST = r"(?:[A-Za-z0-9_](?:[A-Za-z0-9_-]{0,61}[A-Za-z0-9_])?\.)+[A-Za-z][A-Za-z0-9-]{0,61}[A-Za-z0-9]"
-_IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}"
-VALID_URL = rf"^https?://(?:{_HOST}|{_IPV4}|localhost)(?::\d{{1,5}})?(?:[/?#][^{WS_CHARS}]*)?\z"
+# letters and digits of any script; a host has at least two names, the last of which begins with a letter
+_NAME = r"[\p{L}\p{N}_](?:[\p{L}\p{M}\p{N}_-]{0,61}[\p{L}\p{M}\p{N}_])?"
+_HOST = rf"(?:{_NAME}\.)+\p{{L}}[\p{{L}}\p{{M}}\p{{N}}-]{{0,61}}[\p{{L}}\p{{M}}\p{{N}}]\.?"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+_H16 = "[0-9A-Fa-f]{1,4}"
+_END32 = rf"(?:{_H16}:{_H16}|{_IPV4})"
+
+
+def _ipv6() -> str:
+    """Eight groups, the last two also as an IPv4 address, where one run of groups may be left out."""
+    ways = [rf"(?:{_H16}:){{6}}{_END32}"]
+    for after in range(5, -1, -1):  # groups between the gap and the last two
+        before = rf"(?:(?:{_H16}:){{0,{4 - after}}}{_H16})?" if after < 5 else ""
+        ways.append(rf"{before}::(?:{_H16}:){{{after}}}{_END32}")
+    ways += [rf"(?:(?:{_H16}:){{0,5}}{_H16})?::{_H16}", rf"(?:(?:{_H16}:){{0,6}}{_H16})?::"]
+    return "|".join(ways)
+
+
+_USER = rf"(?:[^{WS_CHARS}/?#@\[\]]+@)?"
+VALID_URL = (
+    rf"^https?://{_USER}(?:{_HOST}|{_IPV4}|\[(?:{_ipv6()})\]|localhost)(?::\d{{1,5}})?(?:[/?#][^{WS_CHARS}]*)?\z"
+)
 
 
 def _any_of(patterns: tuple[str, ...]) -> str:
@@ -93,7 +113,7 @@ def text_match(text: Column) -> Column:
 
 
 def valid_url(link: Column) -> Column:
-    """True for an absolute http(s) URL with a dotted host, an IPv4 address or localhost."""
+    """True for an absolute http(s) URL with a dotted host in any script, an IP address or localhost."""
     return F.coalesce(link.rlike(VALID_URL), F.lit(False))
 
 

@@ -93,3 +93,15 @@ def test_slug_and_schemes(spark):
 def test_file_range(spark):
     rows = [("sites_100_200.json",), ("a_b_0_99.txt",), ("sites.json",)]
     assert run(spark, rows, "n string", *urls.file_range(F.col("n"))) == [(100, 200), (0, 99), (None, None)]
+
+
+def test_valid_urls_of_the_whole_grammar(spark):
+    good = """https://münchen.de https://例え.jp/x http://user:pa%20ss@host.org:81/p https://[2001:db8::1]/ http://[::1] http://[::ffff:10.0.0.1]:8080
+    https://[1:2:3:4:5:6:7:8]?q https://xn--mnchen-3ya.de http://10.0.0.255/a http://localhost:80 https://a.b.co.uk#f http://host.org./x http://पर.भारत""".split()
+    bad = """http://999.999.999.999 http://256.1.1.1 http://1.2.3 https://[2001:db8::1 https://[1:2:3:4:5:6:7:8:9] https://[1::2::3] https://[:::]
+    https://[12345::] ftp://a.org http://-a.org http://a b.org http://user@ https:///x //a.org http://nodots http://a..org http://a.org:123456""".split()
+    bad += ["http://a b.org", "", None]
+    df = spark.createDataFrame([(u,) for u in good + bad], "u string")
+    got = [r[0] for r in df.select(urls.valid_url(F.col("u"))).collect()]
+    assert dict(zip(good, got)) == dict.fromkeys(good, True)
+    assert dict(zip(bad, got[len(good) :])) == dict.fromkeys(bad, False)
