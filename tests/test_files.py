@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from clausework.operators import sites as S
 from clausework.operators.embedding import embed, hashing_encoder
 from clausework.sources import readers as R
 from clausework.sources import writers as W
+from clausework.sources.chunk_files import read_zip
 from clausework.streaming import sanitise as T
 
 LONG = "one two three four five six seven eight nine ten eleven"
@@ -123,12 +125,57 @@ def test_cluster_files(spark, tmp_path):
     assert [tuple(r) for r in R.read_cluster_lines(spark, str(lines)).collect()] == [("0", ["a"], None), ("1", ["b"], "X")]
 
 
-def test_writers(spark, tmp_path):
-    sites = spark.createDataFrame([("a.com", "en", 1, "<p>", 0), ("b.com", "en", 0, "<p>", 1)], "url string, language string, is_shopping int, html string, chunk int")
-    W.write_sites(sites, str(tmp_path / "sites"))
-    assert spark.read.json(str(tmp_path / "sites")).count() == 2
-    W.write_stats(sites.groupBy("chunk").count(), str(tmp_path / "stats"))
-    assert spark.read.json(str(tmp_path / "stats")).count() == 2
+def test_site_and_stats_files_round_trip(spark, tmp_path):
+    rows = [(f"{i}.com", "en" if i % 3 else None, i % 2, f"<p>é {i}", i // 100) for i in range(250)]
+    sites = spark.createDataFrame(rows, "url string, language string, is_shopping int, html string, chunk int").repartition(7)
+    out = str(tmp_path / "sites")
+    W.write_sites(sites, out)
+    assert sorted(p.name for p in (tmp_path / "sites").iterdir()) == ["sites_0_100.json", "sites_100_200.json", "sites_200_300.json"]
+    assert len(json.loads((tmp_path / "sites" / "sites_200_300.json").read_text())) == 50
+    back = R.read_sites(spark, out)
+    assert sorted((r["url"], r["language"], r["is_shopping"], r["html"], r["start"] // 100) for r in back.collect()) == sorted(rows)
+    assert {r["url"] for r in R.read_sites(spark, out, 100, 300).collect()} == {r[0] for r in rows if r[4] >= 1}
+    W.write_sites(sites.where("chunk = 1"), out)  # overwriting leaves no older chunk behind
+    assert [p.name for p in (tmp_path / "sites").iterdir()] == ["sites_100_200.json"]
+    W.write_sites(sites.where("chunk = 0"), out, mode="append")
+    assert R.read_sites(spark, out).count() == 200
+    (tmp_path / "sites" / "other.json").write_text("[]")
+    (tmp_path / "sites" / "odd.json").write_text('[{"url": "x"}]')
+    with pytest.raises(Exception, match="no range"):
+        R.read_sites(spark, out).collect()
+
+    counts = [(0, 59, 50, 14, ["x.ru", "o'b.com", 'q"t'], {"en": 50, "ru": 9}), (3, 0, 0, 0, [], None)]
+    schema = "chunk int, accessible long, english long, is_shopping long, error_urls array<string>, languages map<string,long>"
+    df = spark.createDataFrame(counts, schema)
+    W.write_stats(df, str(tmp_path / "stats"))
+    first = (tmp_path / "stats" / "stats_0_100.txt").read_text().splitlines()
+    assert len(first) == 2 and first[0] == "Languages: {'en': 50, 'ru': 9}"
+    assert sorted(tuple(r) for r in R.read_stats(spark, str(tmp_path / "stats")).collect()) == [
+        (0, 100, 59, 50, 14, ["x.ru", "o'b.com", 'q"t']), (300, 400, 0, 0, 0, []),
+    ]
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    schema = "chunk int, accessible long, english long, is_shopping long, error_urls array<string>"
+    twice = spark.createDataFrame([(0, 1, 1, 1, []), (1, 1, 1, 1, []), (1, 2, 2, 2, [])], schema)  # two rows for one stats file
+    with pytest.raises(Exception):
+        W.write_stats(twice, str(tmp_path / "stats"))
+    assert list((tmp_path / "stats").rglob("*.txt")) == [] and list((tmp_path / "stats").iterdir()) == []
+
+
+def test_zip_archives(spark, tmp_path):
+    for n, members in enumerate((["a.csv"], ["b.csv", "folder/", "folder/c.csv", "empty.csv"])):
+        with zipfile.ZipFile(tmp_path / f"list{n}.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+            for m in members:
+                archive.writestr(m, "" if m in ("folder/", "empty.csv") else f'1,{m}\n2,"x, {m}"\n')
+    one = sorted(tuple(r) for r in R.read_ranked_domains(spark, str(tmp_path / "list0.zip")).collect())
+    assert one == [(1, "a.csv"), (2, "x, a.csv")]
+    every = read_zip(spark, str(tmp_path))
+    assert every.rdd.getNumPartitions() == 4 and every.count() == 6 and O.rank_slice(every, 0, 1).count() == 3
+    assert read_zip(spark, str(tmp_path)).where("rank > 5").collect() == []
+
+
+def test_policy_pages(spark, tmp_path):
     pages = spark.createDataFrame([("a.com", "https://a.com/t", "<p>")], "seed string, link string, html string")
     W.write_policy_pages(pages, str(tmp_path / "pages"))
     assert spark.read.parquet(str(tmp_path / "pages")).first()["slug"] == "a.com_t"
@@ -163,17 +210,68 @@ def test_embedding_cache(spark, tmp_path):
         W.embedding_cache(df, lambda: None, path)
 
 
+def rows_of(spark, out):
+    schema = "url string, page_key string, pos int, paragraph string"
+    return sorted(map(tuple, T.read_batches(spark, out, spark.createDataFrame([], schema).schema).collect()))
+
+
 def test_stream_equals_batch_and_skips_seen_files(spark, tmp_path):
     pages, out, checkpoint = tmp_path / "pages", str(tmp_path / "out"), str(tmp_path / "checkpoint")
     (pages / "a.com").mkdir(parents=True)
     (pages / "a.com" / "t1").write_text(f"<p>{LONG}</p><p>short</p><p>{LONG}</p>")
     T.sanitise_stream(spark, str(pages), out, checkpoint).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
+    assert len(rows_of(spark, out)) == 1
     (pages / "a.com" / "t2").write_text(f"<p>{LONG} more</p>")
     for _ in range(2):
         T.sanitise_stream(spark, str(pages), out, checkpoint).awaitTermination()
     batch = P.sanitise_pages(R.read_pages(spark, str(pages)), page_key="page_key")
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, batch.collect()))
+    assert rows_of(spark, out) == sorted(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize("stop", ["before the marker", "after the marker"])
+def test_a_stopped_stream_loses_and_doubles_nothing(spark, tmp_path, monkeypatch, stop):
+    """The job ends between writing a batch and checking it off; the next run writes that batch again."""
+    pages, out, checkpoint = tmp_path / "pages", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    (pages / "a.com").mkdir(parents=True)
+    for i in range(5):
+        (pages / "a.com" / f"t{i}").write_text(f"<p>{LONG} {i}</p>")
+    whole, written = T.write_batch, []
+
+    def write(rows, out, batch):
+        whole(rows, out, batch)
+        written.append(batch)
+        if len(written) == 2:
+            if stop == "before the marker":
+                T.forget(spark, out, batch)
+            raise RuntimeError("stopped")
+
+    monkeypatch.setattr(T, "write_batch", write)
+    with pytest.raises(Exception, match="stopped"):
+        T.sanitise_stream(spark, str(pages), out, checkpoint, max_files=2).awaitTermination()
+    assert len(rows_of(spark, out)) == (2 if stop == "before the marker" else 4)
+    T.sanitise_stream(spark, str(pages), out, checkpoint, max_files=2).awaitTermination()
+    assert written.count(written[1]) == 2
+    got = rows_of(spark, out)
+    assert len(got) == len(set(got)) == 5
+
+
+def test_incremental_runs_again_after_a_stop(spark, tmp_path):
+    out = str(tmp_path / "done")
+    calls = []
+
+    def job(df):
+        calls.append(df.count())
+        return df.withColumn("twice", F.col("n") * 2)
+
+    inputs = spark.createDataFrame([(i, i) for i in range(10)], "k int, n int")
+    schema = job(inputs).schema
+    assert T.incremental(job, inputs.where("k < 4"), out, ["k"], "one", schema).count() == 4
+    assert T.incremental(job, inputs, out, ["k"], "two", schema).count() == 10
+    T.forget(spark, out, "two")
+    assert T.committed(spark, out) == ["one"] and T.read_batches(spark, out, schema).count() == 4
+    rows = T.incremental(job, inputs, out, ["k"], "two", schema).collect()
+    assert sorted(r["k"] for r in rows) == list(range(10)) and calls == [10, 4, 6, 6]
+    assert T.incremental(job, inputs, out, ["k"], "three", schema).count() == 10 and calls[-1] == 0
 
 
 def test_split_table_identity(spark):

@@ -256,6 +256,31 @@ SELECT doc_id, CASE WHEN best.hits > 0 THEN best.code END AS language
 FROM (SELECT doc_id, list_max([{HIT_COUNTS}]) AS best
       FROM (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '\s+')) AS tokens FROM documents))"""
 
+# Trigram places of a text's letters, counted per language over the first 400 texts by hash, and summed as scaled logs.
+PLACES = "list_transform(range(1, len(l) - 1), lambda i: (l[i] * 961 + l[i + 1] * 31 + l[i + 2]) % 4096)"
+LETTERS = r"list_transform(string_split(' ' || regexp_replace(lower({0}), '[^\pL]+', ' ', 'g') || ' ', ''), lambda c: unicode(c))"
+ORACLES["language_model"] = f"""
+WITH sample AS (
+  SELECT lang, {LETTERS.format('text')} AS l FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) <= 400
+),
+counts AS (SELECT lang, place, count(*) AS n FROM (SELECT lang, unnest({PLACES}) AS place FROM sample) GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+model AS (
+  SELECT t.lang, p.place, round(1000 * ln((coalesce(n, 0) + 1) / (total + 4096)))::BIGINT AS score
+  FROM totals t CROSS JOIN (SELECT unnest(range(4096)) AS place) p LEFT JOIN counts c ON c.lang = t.lang AND c.place = p.place
+),
+texts AS (
+  SELECT 'document' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'page', page_id, regexp_replace(html, '<[^>]*>', ' ', 'gs') FROM pages
+),
+placed AS (SELECT kind, id, {PLACES} AS ps FROM (SELECT kind, id, {LETTERS.format('text')} AS l FROM texts)),
+held AS (SELECT kind, id, place, count(*) AS n FROM (SELECT kind, id, unnest(ps) AS place FROM placed) GROUP BY ALL),
+scored AS (SELECT kind, id, lang, sum(n * score) AS total FROM held JOIN model USING (place) GROUP BY ALL),
+best AS (SELECT kind, id, arg_max(lang, (total, -ascii(lang), -ascii(lang[2]))) AS language FROM scored GROUP BY kind, id)
+SELECT kind, id, CASE WHEN len(list_filter(ps, lambda p: p <> {(32 * 961 + 32 * 31 + 32) % 4096})) > 0 THEN language END AS language
+FROM placed JOIN best USING (kind, id)"""
+
 # ---- paragraphs -----------------------------------------------------------------------------
 
 for scope, keys in (("page", "url, page_key, paragraph"), ("site", "url, paragraph"), ("global", "paragraph")):
@@ -340,7 +365,7 @@ ORACLES["accessible"] = "SELECT url FROM pages WHERE page_id % 10 < 8 AND html <
 ORACLES["resolve_link"] = f"WITH {OWN_LINKS} SELECT page_id, k, link FROM own"
 ORACLES["valid_url"] = f"WITH {OWN_LINKS} SELECT page_id, k, regexp_matches(href, {VALID})::INT AS valid FROM own"
 ORACLES["onclick_link"] = rf"""WITH {OWN_LINKS}
-SELECT page_id, regexp_extract(onclick, 'https?://[^\s''"]+') AS link FROM own WHERE k = 4"""
+SELECT page_id, k, nullif(regexp_extract(onclick, 'https?://[^\s''"]+'), '') AS link FROM own"""
 ORACLES["link_match"] = f"""WITH {OWN_LINKS}
 SELECT page_id, k, {matched('link', 'seed')}::INT AS matched FROM own WHERE link IS NOT NULL"""
 ORACLES["fetch_join"] = f"WITH {OWN_LINKS}, {FIRST} SELECT seed, link, language FROM first JOIN facts USING (link)"
@@ -354,7 +379,7 @@ FROM walked GROUP BY depth"""
 ORACLES["policy_page_counts"] = f"""{CRAWL}
 SELECT count(DISTINCT seed) AS n_sites, count(*) AS n_pages FROM walked WHERE fetched AND english"""
 ORACLES["not_collected"] = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
-ORACLES["incremental_job"] = f"WITH {CLEAN} SELECT url, page_key, paragraph FROM clean WHERE page_key NOT IN (SELECT doc_id FROM labels)"
+ORACLES["incremental_job"] = f"WITH {CLEAN} SELECT url, page_key, paragraph FROM clean"
 
 # ---- site funnel ----------------------------------------------------------------------------
 
@@ -493,6 +518,18 @@ ORACLES["shop_csv"] = f"SELECT {SCHEMELESS} AS domain FROM pages"
 ORACLES["sites_json"] = f"""WITH {FUNNEL}
 SELECT url, language, is_shopping, chunk, md5(html) AS html_md5 FROM inputs WHERE english AND is_shopping IS NOT NULL"""
 ORACLES["parse_stats_file"] = f"WITH {FUNNEL_COUNTS} SELECT chunk, accessible, english, is_shopping, error_urls FROM counts"
+ORACLES["sites_in_range"] = """
+SELECT url, (page_id // 100 * 100)::INT AS start, (page_id // 100 * 100 + 100)::INT AS "end", md5(html) AS html_md5
+FROM pages WHERE page_id >= 100 AND page_id < 300"""
+ORACLES["stats_files"] = f"""WITH {FUNNEL_COUNTS}
+SELECT chunk * 100 AS start, chunk * 100 + 100 AS "end", accessible, english, is_shopping, error_urls FROM counts"""
+ORACLES["ranked_domains_zip"] = "SELECT p_partkey::INT AS rank, p_name AS domain FROM part"
+ORACLES["first_n"] = "SELECT page_id, url FROM pages"
+ORACLES["read_page_files"] = r"""
+SELECT regexp_extract(url, '://([^/]+)', 1) AS url, 'p' || page_id AS page_key, md5(html) AS html_md5 FROM pages"""
+ORACLES["stream_page_files"] = ORACLES["stream_sanitise_pages"]
+ORACLES["cluster_maps"] = f"""{CLUSTERS}
+SELECT {KEYS}, string_agg(paragraph, chr(10) ORDER BY id) AS paragraphs FROM members GROUP BY ALL"""
 ORACLES["paragraph_csv"] = f"WITH {CLEAN} SELECT url, paragraph, 0 AS split FROM clean"
 ORACLES["policy_page_files"] = rf"""{CRAWL}
 SELECT seed, link, depth, replace(replace(link, 'https://', ''), '/', '_')[:255] AS slug, md5(html) AS html_md5

@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausework.functions import language_model as language_models
 from clausework.functions import language, prompts, responses, text, urls, vectors
 from clausework.operators import clustering as C
 from clausework.operators import labels as L
@@ -25,7 +26,8 @@ from clausework.plans import site_funnel as SF
 from clausework.plans.report import report
 from clausework.sources import readers as R
 from clausework.sources import writers as W
-from clausework.streaming.sanitise import incremental, write_stream
+from clausework.sources.chunk_files import read_zip, write_chunk_files
+from clausework.streaming.sanitise import forget, incremental, read_batches, sanitise_stream, write_batch, write_stream
 from workload import derived as D
 
 QUERIES = {}
@@ -135,6 +137,16 @@ def detect_language(spark, sf):
     return docs(spark, sf).select("doc_id", language.detect_language(F.col("text")).alias("language"))
 
 
+@query
+def language_model(spark, sf):
+    """The likeliest language of every document and page by a model fitted to the documents' language tags."""
+    model = language_models.fit_languages(docs(spark, sf))
+    texts = docs(spark, sf).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    bare = F.regexp_replace("html", "(?s)<[^>]*>", " ")
+    texts = texts.unionByName(pages(spark, sf).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), bare.alias("text")))
+    return texts.select("kind", "id", model.detect(F.col("text")).alias("language"))
+
+
 # ---- paragraphs -----------------------------------------------------------------------------
 
 
@@ -205,7 +217,32 @@ def stream_sanitise_pages(spark, sf):
 def write_and_read(spark, rows):
     path = folder(spark, "stream")
     write_stream(rows, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+    return read_batches(spark, f"{path}/out", rows.schema)
+
+
+def page_files(spark, sf):
+    """A folder per site with one HTML file per page, written by the tasks."""
+    path = folder(spark, "pages")
+    rows = pages(spark, sf).select(host().alias("site"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), "html")
+    W.write_page_files(rows, path)
+    return path
+
+
+@query
+def read_page_files(spark, sf):
+    """Page folders read back: site, file name and text."""
+    back = R.read_pages(spark, page_files(spark, sf))
+    return back.select("url", "page_key", F.md5("html").alias("html_md5"))
+
+
+@query
+def stream_page_files(spark, sf):
+    """Page files streamed in micro-batches, sanitised, and read from the finished batches."""
+    path = folder(spark, "stream")
+    sanitise_stream(spark, page_files(spark, sf), f"{path}/out", f"{path}/checkpoint", max_files=100).awaitTermination()
+    schema = P.sanitise_pages(R.read_pages(spark, path), page_key="page_key").schema
+    rows = read_batches(spark, f"{path}/out", schema)
+    return rows.select("url", F.substr(F.col("page_key"), F.lit(2)).cast("long").alias("page_key"), "pos", "paragraph")
 
 
 # ---- positions ------------------------------------------------------------------------------
@@ -332,7 +369,7 @@ def valid_url(spark, sf):
 
 @query
 def onclick_link(spark, sf):
-    return own_links(spark, sf).where("k = 4").select("page_id", urls.onclick_link(F.col("onclick")).alias("link"))
+    return own_links(spark, sf).select("page_id", "k", urls.onclick_link(F.col("onclick")).alias("link"))
 
 
 @query
@@ -404,12 +441,16 @@ def not_collected(spark, sf):
 
 @query
 def incremental_job(spark, sf):
-    """Sanitising only the documents that have no label yet."""
-    done = D.table(spark, sf, "labels")
-    todo = docs(spark, sf)
-    return incremental(lambda df: P.sanitise_lines(df, "source", "doc_id"), todo, done, ["doc_id"]).select(
-        "url", "page_key", "paragraph"
-    )
+    """The labelled documents sanitised first, then a stopped run, then the others: no row is lost or doubled."""
+    path = folder(spark, "finished")
+    job = lambda df: P.sanitise_lines(df, "source", "doc_id").withColumn("doc_id", F.col("page_key"))
+    schema = job(docs(spark, sf)).schema
+    labelled = docs(spark, sf).join(D.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    incremental(job, labelled, path, ["doc_id"], "labelled", schema)
+    write_batch(job(docs(spark, sf)), path, "stopped")
+    forget(spark, path, "stopped")  # as if the run had ended before its commit
+    rows = incremental(job, docs(spark, sf), path, ["doc_id"], "stopped", schema)
+    return rows.select("url", "page_key", "paragraph")
 
 
 # ---- site funnel ----------------------------------------------------------------------------
@@ -505,7 +546,8 @@ def eps_neighbours(spark, sf):
 
 def near_points(points, eps, places):
     """Per point the number of other points within eps and the distance of the nearest, from the collapsed pairs."""
-    pairs = materialise(N.eps_neighbours(points, eps), "pairs")
+    c = N.collapse_copies(points, [])
+    pairs = materialise(N.near_pairs(c, eps), "pairs")
     two = pairs.where("id_a <> id_b")
     ends = two.select(F.col("id_a").alias("rid"), F.col("copies_b").alias("n"), "dist").unionByName(
         two.select(F.col("id_b").alias("rid"), F.col("copies_a").alias("n"), "dist")
@@ -513,7 +555,7 @@ def near_points(points, eps, places):
     ends = ends.unionByName(pairs.where("id_a = id_b").select(F.col("id_a").alias("rid"), (F.col("copies_a") - 1).alias("n"), "dist"))
     nearest = F.round(F.greatest(F.min("dist"), F.lit(0.0)), places).alias("nearest")
     per_vector = ends.groupBy("rid").agg(F.sum("n").alias("n_near"), nearest)
-    return N.copy_members(points).join(per_vector, "rid").select("id", "n_near", "nearest")
+    return N.members_of(c).join(per_vector, "rid").select("id", "n_near", "nearest")
 
 
 @query
@@ -755,11 +797,56 @@ def sites_json(spark, sf):
     domains, captured, replies = D.funnel_inputs(spark, sf)
     inputs = SF.site_inputs(domains, captured, replies)
     records = SF.site_records(inputs, captured).join(inputs.select("url", "chunk"), "url")
-    W.write_sites(records, path, chunks_per_folder=10)
-    back = spark.read.schema(f"{SITES_DDL}, chunk INT, folder INT").json(path)
+    W.write_sites(records, path)
+    back = R.read_sites(spark, path).withColumn("chunk", (F.col("start") / 100).cast("int"))
     return back.select("url", "language", "is_shopping", "chunk", F.md5("html").alias("html_md5"))
 
 
+@query
+def sites_in_range(spark, sf):
+    """The files of a range of inputs only."""
+    path = folder(spark, "sites")
+    named = pages(spark, sf).select(
+        "url", F.lit("en").alias("language"), F.lit(1).alias("is_shopping"), "html", F.floor(F.col("page_id") / 100).alias("chunk")
+    )
+    W.write_sites(named, path)
+    return R.read_sites(spark, path, 100, 300).select("url", "start", "end", F.md5("html").alias("html_md5"))
+
+
+@query
+def stats_files(spark, sf):
+    """Chunk counters written as two-line files and read back."""
+    path = folder(spark, "stats")
+    W.write_stats(S.funnel_counts(SF.site_inputs(*D.funnel_inputs(spark, sf))), path)
+    return R.read_stats(spark, path).withColumn("error_urls", F.array_join("error_urls", " "))
+
+
+@query
+def ranked_domains_zip(spark, sf):
+    """A ranked list in several zip archives, read without extracting them."""
+    path = folder(spark, "archives")
+    ranked = D.table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("rank"), F.col("p_name").alias("domain"))
+    write_chunk_files(ranked.withColumn("chunk", F.floor((F.col("rank") - 1) / 500)), path, "ranked", 500)
+    return read_zip(spark, path)
+
+
+@query
+def first_n(spark, sf):
+    """A look at more rows than there are gives them all."""
+    rows = pages(spark, sf).select("page_id", "url")
+    return O.first_n(rows, 10**9)
+
+
+@query
+def cluster_maps(spark, sf):
+    """Clusters as one JSON map per split, chunk and eps, read back."""
+    path = folder(spark, "maps")
+    named = members(spark, sf).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("id", "paragraph")))["paragraph"].alias("p"))
+    maps = named.groupBy(*KEYS[:3]).agg(F.map_from_entries(F.collect_list(F.struct(F.col("cluster_id").cast("string"), "p"))).alias("m"))
+    W.write_cluster_maps(maps.select(*KEYS[:3], F.to_json("m").alias("value")), path)
+    return R.read_cluster_maps(spark, path).select(*KEYS, F.array_join("paragraphs", "\n").alias("paragraphs"))
+
+
 @query
 def parse_stats_file(spark, sf):
     """Stats texts of the funnel chunks, parsed again."""
