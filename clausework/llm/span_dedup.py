@@ -1,15 +1,16 @@
-"""Exact removal of long byte strings that occur again, by previous factors over suffixes cut at the wanted length.
+"""Exact removal of long byte strings that occur again, by longest previous factors.
 
-Only whether a suffix shares its first ``length`` bytes with another one matters, so suffixes are ordered to that depth.
-To bring equal ones together without shuffling every suffix, each window of ``length`` bytes is represented by the smallest
-hash among its short substrings, its anchor. Equal windows have equal anchors at equal distance. The windows of one anchor
-occurrence are consecutive and lie in one fragment of the text.
+The factor of a suffix is the longest string that begins there and also begins earlier. In the order of all suffixes it is
+shared with the nearest suffix before or behind that begins earlier in the text, so two arrays of previous and next smaller
+positions give it. To bring the suffixes that matter together without shuffling every suffix, each window of ``length``
+bytes is represented by the smallest hash among its short substrings, its anchor. Equal windows have equal anchors at equal
+distance. The windows of one anchor occurrence are consecutive and lie in one fragment of the text.
 
 1. Tasks name every fragment by its anchor and by a hash of all its bytes. Fragments that occur again are repeated in full;
    equal ones are merged in the task before anything is shuffled.
-2. Where different fragments share an anchor, their bytes are brought together. Their suffixes are sorted by the
-   fingerprint of the first ``length`` bytes, then by place, which puts equal ones in one run in text order: the suffix
-   before in a run is its previous smaller position, the first of a run has no earlier factor of that length.
+2. Where different fragments share an anchor, their bytes are brought together and their suffixes sorted by their bytes, to
+   the wanted depth. A window whose longest previous factor reaches ``length`` is a later copy; it and, unless the first is
+   kept, the one that it repeats are ranges to remove.
 3. An anchor with very many different fragments is split by distance: windows within a range of distances share a longer
    core, so the core takes the anchor's place, down to single windows, which are then only counted.
 """
@@ -171,6 +172,80 @@ def _fragments(docs: DataFrame, spots: DataFrame, length: int) -> DataFrame:
     return joined.select(*spots.columns, F.expr(f"substring(whole_text, lo + 1, hi - lo + {length})").alias("bytes"))
 
 
+class Suffixes:
+    """The suffixes of some bytes, compared to a depth of at least eight bytes by what stands there, never by a hash."""
+
+    def __init__(self, data: np.ndarray, depth: int):
+        self.depth = depth
+        self.size = len(data)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.eights = np.ndarray(len(data), ">u8", buffer=padded, strides=(1,)).astype(np.uint64)
+        # ranks of all substrings of 8, 16, 32, … bytes, then of ``depth``; each from pairs of the ranks before
+        self.ranks = [(8, _ranked(self.eights[: max(self.size - 7, 0)]))]
+        while self.ranks[-1][0] < depth:
+            width, rank = self.ranks[-1]
+            step = min(width, depth - width)
+            pairs = rank[: max(len(rank) - step, 0)] << 32 | rank[step:]
+            self.ranks.append((width + step, _ranked(pairs)))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that the suffixes at ``a`` and ``b`` begin with alike, up to ``depth``; both have that many bytes."""
+        length = np.zeros(len(a), np.int64)
+        for width, rank in reversed(self.ranks):
+            fits = length + width <= self.depth
+            i, j = (np.minimum(x + length, len(rank) - 1) for x in (a, b))
+            length += np.where(fits & (rank[i] == rank[j]), width, 0)
+        for _ in range(7):  # what is left of the last eight bytes
+            i, j = a + length, b + length
+            inside = (length < self.depth) & (i < self.size) & (j < self.size)
+            i, j = np.minimum(i, self.size - 1), np.minimum(j, self.size - 1)
+            length += inside & (self.eights[i] >> np.uint64(56) == self.eights[j] >> np.uint64(56))
+        return length
+
+
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """The rank of every key among the different ones."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]][: len(keys)])
+    return rank
+
+
+def _smaller_before(place: np.ndarray) -> np.ndarray:
+    """For every entry the nearest one before it that is smaller; -1 for none. Skips over what is known to be larger."""
+    found = np.arange(-1, len(place) - 1)
+    left = np.arange(len(place))
+    while len(left):
+        left = left[found[left] >= 0]
+        left = left[place[found[left]] >= place[left]]
+        found[left] = found[found[left]]
+    return found
+
+
+def longest_previous(suffixes: Suffixes, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous factors of the suffixes at ``at``, up to the depth, and which suffix holds each earlier.
+
+    ``place`` is where a suffix stands in the texts; those with one place are one another's copies of a row and count as
+    neither earlier nor later. Without an earlier suffix the factor is empty and its source -1.
+    """
+    rank = suffixes.ranks[-1][1][at]
+    order = np.lexsort((place, rank))  # the suffix array
+    placed = place[order]
+    before = _smaller_before(placed)
+    behind = len(order) - 1 - _smaller_before(placed[::-1])[::-1]
+    factor, source = np.zeros(len(order), np.int64), np.full(len(order), -1)
+    for near in (before, behind):
+        some = np.flatnonzero((near >= 0) & (near < len(order)))
+        length = suffixes.common(at[order[some]], at[order[near[some]]])
+        better = length > factor[some]
+        factor[some[better]] = length[better]
+        source[some[better]] = order[near[some[better]]]
+    out = np.empty_like(factor), np.empty_like(source)
+    out[0][order], out[1][order] = factor, source
+    return out
+
+
 def _previous(length: int, keep_first: bool):
     """Repeated windows of fragments that share an anchor, as ranges of starts."""
 
@@ -178,28 +253,24 @@ def _previous(length: int, keep_first: bool):
         data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
         sizes = np.array([len(r[7]) for r in rows])
         counts = sizes - length + 1
-        prints = _fingerprints(data, length)
         row = np.repeat(np.arange(len(rows)), counts)
         step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        prints = prints[np.repeat(np.cumsum(sizes) - sizes, counts) + step]
+        at = np.repeat(np.cumsum(sizes) - sizes, counts) + step
         # places in text order: by document, then by start
         documents = sorted({(r[4], r[2], r[3]) for r in rows})
         rank = {d: i for i, d in enumerate(documents)}
         doc = np.array([rank[r[4], r[2], r[3]] for r in rows])[row]
         start = np.array([r[5] for r in rows])[row] + step
-        order = np.lexsort((start, doc, prints))  # suffixes to the wanted depth, equal ones in text order
-        same = prints[order][1:] == prints[order][:-1]  # common prefix with the suffix before is long enough
-        other = (doc[order][1:] != doc[order][:-1]) | (start[order][1:] != start[order][:-1])
-        hit = np.zeros(len(row), bool)
-        hit[order[1:]] = same & other
+        factor, source = longest_previous(Suffixes(data, length), at, doc << 32 | start)
+        hit = factor >= length
         if not keep_first:
-            hit[order[:-1]] |= same & other
-        at = np.flatnonzero(hit)
-        if not len(at):
+            hit[source[hit]] = True  # the first of equal windows is the source of the next
+        found = np.flatnonzero(hit)
+        if not len(found):
             return
-        cut = np.r_[True, (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])]
-        begin = at[cut]
-        end = np.r_[at[np.flatnonzero(cut)[1:] - 1], at[-1]]
+        cut = np.r_[True, (np.diff(found) > 1) | (row[found[1:]] != row[found[:-1]])]
+        begin = found[cut]
+        end = np.r_[found[np.flatnonzero(cut)[1:] - 1], found[-1]]
         of = row[begin]
         yield pa.RecordBatch.from_arrays(
             [pa.array([rows[i][k] for i in of], pa.int64()) for k in (2, 3)]

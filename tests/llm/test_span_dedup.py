@@ -3,9 +3,11 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
 from clausework.llm import span_dedup
+from clausework.llm import span_dedup as S
 from clausework.llm.span_dedup import remove_repeats, span_digest
 
 NO_ID = -(2**63)
@@ -67,3 +69,25 @@ def test_equal_rows_and_empty_table(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, k1 int")
     assert sorted((tuple(r)[:4] for r in span_digest(docs).collect()), key=repr) == sorted([(1, 310, 310, 1), (1, 310, 310, 1), (None, 0, 0, 0)], key=repr)
     assert span_digest(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("depth", [8, 11, 40])
+def test_longest_previous_factors_against_brute_force(depth):
+    rng = random.Random(depth)
+    for _ in range(40):
+        text = bytes(rng.choice(b"ab") for _ in range(rng.randint(depth, 160))) + bytes(rng.choice([b"", b"ababab" * 9])) * 2
+        at = np.arange(len(text) - depth + 1)
+        place = at.copy()
+        rng.shuffle(place)  # the order in the texts is not that of the bytes
+        factor, source = S.longest_previous(S.Suffixes(np.frombuffer(text, np.uint8), depth), at, place)
+        for i in at:
+            shared = {}
+            for j in at:
+                if place[j] < place[i]:
+                    n = 0
+                    while n < depth and text[i + n] == text[j + n]:
+                        n += 1
+                    shared[int(j)] = n
+            best = max(shared.values(), default=0)
+            assert factor[i] == best
+            assert source[i] == -1 if not best else shared[int(source[i])] == best
