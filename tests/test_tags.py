@@ -31,7 +31,7 @@ def test_required_words():
     need = taxonomy.required_words
     assert need("restocking fee") == ("restocking fee",) and need(r"t(ion|ment)\.") == ("ion", "ment")
     assert need(" with (the|of|in) ") == (" with ",) and need(" dans | sich ") == ("dans ", "sich ")
-    assert need(r"\b(refund|return)s?\b") == ("refund", "return") and need("(than|then) .* this ") == (" this ",)
+    assert need(r"\b(refund|return)s?\b") == ("fund", "turn") and need("(than|then) .* this ") == (" this ",)
     assert need("x7$") == ("x7",) and need("a+bcd") == ("bcd",) and need("(ab)?cd") == ("cd",) and need("(?:ab){2,}") == ("ab",)
     assert need("[ab]c") == () and need("(a|)") == () and need("(?i)fee") == () and need("(") == ()
 
