@@ -121,6 +121,21 @@ def link_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return seeds, facts.select(link.alias("link"), "language", "links")
 
 
+def crawl_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The link graph as markup: home pages ``url, html, is_shopping`` of the seeds, and captured pages ``url, html``."""
+    seeds, facts = link_graph(spark, sf_dir)
+    anchors = F.transform(
+        "links",
+        lambda x: F.concat(
+            F.lit('<a href="'), x["href"], F.lit('"'), F.coalesce(F.concat(F.lit(' onclick="'), x["onclick"], F.lit('"')), F.lit("")), F.lit(">x</a>")
+        ),
+    )
+    body = F.array_join(anchors, " ")
+    home = seeds.select(F.concat(F.lit("https://"), "seed").alias("url"), body.alias("html"), F.lit(1).alias("is_shopping"))
+    head = F.concat(F.lit('<html lang="'), F.coalesce("language", F.lit("")), F.lit('"><body><p>terms</p>'))
+    return home, facts.select(F.col("link").alias("url"), F.concat(head, body, F.lit("</body></html>")).alias("html"), F.lit("text/html").alias("content_type"))
+
+
 # ---- replies --------------------------------------------------------------------------------
 
 SITE_REPLIES = (

@@ -130,6 +130,13 @@ FUNNEL_COUNTS = f"""{FUNNEL}, counts AS (
          coalesce(array_to_string(list_sort(list(url) FILTER (NOT accessible OR (english AND class_error = 1))), ' '), '') AS error_urls
   FROM inputs GROUP BY chunk)"""
 
+
+
+def whole(vector: str, places: int) -> str:
+    """All components as whole numbers of a unit."""
+    return f"array_to_string(list_transform({vector}, lambda x: round(x * 1e{places})::BIGINT::VARCHAR), ',')"
+
+
 POINTS = """points AS (SELECT 0 AS scope, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"""
 DOC_POINTS = """tokens AS (
   SELECT doc_id AS id, ('0x' || md5(token)[:8])::BIGINT % 64 AS place, count(*) AS n
@@ -373,6 +380,7 @@ ORACLES["fetch_errors"] = f"WITH {OWN_LINKS}, {FIRST} SELECT seed, link FROM fir
 ORACLES["not_visited"] = f"WITH {OWN_LINKS}, {FIRST}, {SECOND} SELECT seed, link FROM second EXCEPT SELECT seed, link FROM first"
 ORACLES["union_links"] = f"WITH {OWN_LINKS}, {FIRST}, {SECOND} SELECT seed, link FROM second UNION SELECT seed, link FROM first"
 ORACLES["policy_crawl"] = f"{CRAWL} SELECT seed, link, depth FROM walked WHERE fetched AND english"
+ORACLES["html_crawl"] = ORACLES["policy_crawl"]
 ORACLES["crawl_levels"] = f"""{CRAWL}
 SELECT depth, count(*) AS candidates, count(*) FILTER (fetched) AS fetched, count(*) FILTER (fetched AND english) AS kept
 FROM walked GROUP BY depth"""
@@ -419,10 +427,12 @@ UNION ALL SELECT 'dataset_n_sites_distinct', n_sites_distinct FROM dataset"""
 
 ORACLES["l2_normalise"] = f"""WITH {POINTS}, scaled AS (SELECT id, list_transform(v, lambda x: x * 3.0) AS v FROM points),
 normal AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM scaled)
-SELECT id, round(sqrt(list_dot_product(u, u)), 6) AS norm, round(u[1], 6) AS "first", round(u[-1], 6) AS "last" FROM normal"""
-ORACLES["cosine_distance"] = f"""WITH {POINTS}
-SELECT a.id, round(1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 6) AS dist
-FROM points a JOIN points b ON b.id = a.id + 1"""
+SELECT id, round(sqrt(list_dot_product(u, u)), 6) AS norm, {whole('u', 5)} AS unit FROM normal"""
+ORACLES["cosine_distance"] = f"""WITH {POINTS}, d AS (
+  SELECT a.id AS id_a, b.id AS id_b,
+    1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS dist
+  FROM points a JOIN points b ON b.id > a.id)
+SELECT id_a, id_b, round(dist, 6) AS dist FROM d WHERE dist <= 0.66 OR id_b = id_a + 1"""
 
 
 def pairs(eps: float, places: int) -> str:
@@ -440,8 +450,18 @@ ORACLES["dbscan"] = f"{EMBEDDED} SELECT id, cluster_id FROM labels"
 ORACLES["dbscan_sweep"] = f"""WITH RECURSIVE {POINTS}, {labels([0.62, 0.66, 0.7], 5)}
 SELECT eps, id, cluster_id FROM labels"""
 ORACLES["embed_documents"] = f"""WITH {DOC_POINTS}
-SELECT id AS doc_id, round(list_sum(v), 4) AS total, round(list_max(v), 4) AS top FROM doc_vectors"""
+SELECT id AS doc_id, {whole('v', 4)} AS vec FROM doc_vectors"""
 ORACLES["tf_neighbours"] = f"WITH {DOC_POINTS}, points AS (SELECT 0 AS scope, id, v FROM doc_vectors), {unit()} {pairs(0.01, 4)}"
+ORACLES["term_neighbours"] = r"""
+WITH counts AS (
+  SELECT doc_id AS id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents)
+  WHERE term <> '' GROUP BY ALL),
+norms AS (SELECT id, sum(n * n) AS norm2 FROM counts GROUP BY id),
+dots AS (SELECT a.id AS a, b.id AS b, sum(a.n * b.n) AS dot FROM counts a JOIN counts b ON a.term = b.term AND a.id <> b.id GROUP BY ALL),
+near AS (
+  SELECT a, 1 - dot / (sqrt(x.norm2) * sqrt(y.norm2)) AS dist FROM dots JOIN norms x ON x.id = a JOIN norms y ON y.id = b
+  WHERE 1 - dot / (sqrt(x.norm2) * sqrt(y.norm2)) <= 0.1)
+SELECT a AS id, count(*) AS n_near, round(greatest(min(dist), 0), 6) AS nearest FROM near GROUP BY a"""
 ORACLES["cluster_chunks"] = f"""WITH RECURSIVE {DOC_POINTS},
 points AS (
   SELECT (pos // ceil((SELECT count(*) FROM documents) / 4)::BIGINT)::INT AS scope, pos AS id, v
@@ -536,7 +556,7 @@ SELECT seed, link, depth, replace(replace(link, 'https://', ''), '/', '_')[:255]
 FROM walked JOIN pages ON page_id = regexp_extract(link, '/(\d+)$', 1)::BIGINT WHERE fetched AND english"""
 ORACLES["cluster_files"] = f"{CLUSTERS} SELECT {KEYS}, id, paragraph FROM members"
 ORACLES["labelled_files"] = f"{BOUNDED} SELECT {KEYS}, paragraphs FROM bounded WHERE cluster_id % 4 = 0"
-ORACLES["embedding_cache"] = f"WITH {DOC_POINTS} SELECT id AS doc_id, round(list_max(v), 4) AS top FROM doc_vectors"
+ORACLES["embedding_cache"] = f"WITH {DOC_POINTS} SELECT id AS doc_id, {whole('v', 4)} AS vec FROM doc_vectors"
 ORACLES["classify_with"] = f"""WITH {TERMS}
 SELECT doc_id, pos, contains(term, 'thble')::INT AS classification, 0.5::DOUBLE AS confidence FROM terms"""
 ORACLES["html_content_only"] = """

@@ -17,6 +17,7 @@ from clausework.operators import pages as G
 from clausework.operators import paragraphs as P
 from clausework.operators import positions as O
 from clausework.operators import sites as S
+from clausework.operators import sparse
 from clausework.operators import tags as A
 from clausework.operators.embedding import embed, hashing_encoder, missing_embeddings
 from clausework.operators.lineage import materialise, scratch_root
@@ -35,6 +36,7 @@ QUERIES = {}
 EPS = 0.66
 SWEEP = [0.62, 0.66, 0.7]
 DOC_EPS = [0.01, 0.05]
+TERM_EPS = 0.1
 SITES_PER_SPLIT = 7
 SITES_DDL = "url STRING, language STRING, is_shopping INT, html STRING"
 
@@ -418,6 +420,13 @@ def policy_crawl(spark, sf):
     return CR.policy_crawl(*D.link_graph(spark, sf))
 
 
+@query
+def html_crawl(spark, sf):
+    """The same walk over markup: pages are parsed when a level first asks for them."""
+    home, captured = D.crawl_pages(spark, sf)
+    return CR.policy_crawl(CR.site_seeds(home), CR.facts_on_demand(materialise(captured, "captured")))
+
+
 @query
 def crawl_levels(spark, sf):
     walked = CR.crawl_levels(*D.link_graph(spark, sf))
@@ -519,24 +528,27 @@ def stage_report(spark, sf):
 # ---- vectors and clusters -------------------------------------------------------------------
 
 
+def whole_vector(vec, places):
+    """All components as whole numbers of a unit."""
+    return F.array_join(F.transform(vec, lambda x: F.round(x.cast("double") * 10**places).cast("long").cast("string")), ",")
+
+
 @query
 def l2_normalise(spark, sf):
     scaled = F.transform("vec", lambda x: x * F.lit(3.0))
     unit = vectors.l2_normalise(scaled)
-    return D.points(spark, sf).select(
-        "id",
-        F.round(vectors.l2_norm(unit), 6).alias("norm"),
-        F.round(unit[0], 6).alias("first"),
-        F.round(F.element_at(unit, -1), 6).alias("last"),
-    )
+    return D.points(spark, sf).select("id", F.round(vectors.l2_norm(unit), 6).alias("norm"), whole_vector(unit, 5).alias("unit"))
 
 
 @query
 def cosine_distance(spark, sf):
-    """Distance of each vector to the one with the next number."""
-    a = D.points(spark, sf)
-    b = a.select((F.col("id") - 1).alias("id"), F.col("vec").alias("other"))
-    return a.join(b, "id").select("id", F.round(vectors.cosine_distance(F.col("vec"), F.col("other")), 6).alias("dist"))
+    """The distance of both vectors of every near pair, and of every vector to the one with the next number."""
+    points = materialise(D.points(spark, sf), "points")
+    near = N.eps_neighbours(points, EPS).select("id_a", "id_b")
+    pairs = near.unionByName(points.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"))).distinct()
+    sides = [points.select(F.col("id").alias(f"id_{s}"), F.col("vec").alias(f"vec_{s}")) for s in "ab"]
+    both = pairs.join(sides[0], "id_a").join(sides[1], "id_b")
+    return both.select("id_a", "id_b", F.round(vectors.cosine_distance(F.col("vec_a"), F.col("vec_b")), 6).alias("dist"))
 
 
 @query
@@ -547,7 +559,10 @@ def eps_neighbours(spark, sf):
 def near_points(points, eps, places):
     """Per point the number of other points within eps and the distance of the nearest, from the collapsed pairs."""
     c = N.collapse_copies(points, [])
-    pairs = materialise(N.near_pairs(c, eps), "pairs")
+    return per_point(materialise(N.near_pairs(c, eps), "pairs"), N.members_of(c), places)
+
+
+def per_point(pairs, members, places):
     two = pairs.where("id_a <> id_b")
     ends = two.select(F.col("id_a").alias("rid"), F.col("copies_b").alias("n"), "dist").unionByName(
         two.select(F.col("id_b").alias("rid"), F.col("copies_a").alias("n"), "dist")
@@ -555,7 +570,14 @@ def near_points(points, eps, places):
     ends = ends.unionByName(pairs.where("id_a = id_b").select(F.col("id_a").alias("rid"), (F.col("copies_a") - 1).alias("n"), "dist"))
     nearest = F.round(F.greatest(F.min("dist"), F.lit(0.0)), places).alias("nearest")
     per_vector = ends.groupBy("rid").agg(F.sum("n").alias("n_near"), nearest)
-    return N.members_of(c).join(per_vector, "rid").select("id", "n_near", "nearest")
+    return members.join(per_vector, "rid").select("id", "n_near", "nearest")
+
+
+@query
+def term_neighbours(spark, sf):
+    """Near copies among whole documents by all their terms, none folded together."""
+    vectors = sparse.collapse_vectors(sparse.term_counts(docs(spark, sf), "doc_id", "text"))
+    return per_point(materialise(sparse.near_terms(vectors, TERM_EPS), "pairs"), vectors.members, 6)
 
 
 @query
@@ -576,10 +598,9 @@ def dbscan_sweep(spark, sf):
 
 @query
 def embed_documents(spark, sf):
-    """Mean and largest place of the term-frequency vector of every document."""
+    """The term-frequency vector of every document."""
     vec = embed(docs(spark, sf).select("doc_id", F.col("text").alias("paragraph")), hashing_encoder())
-    total = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return vec.select("doc_id", F.round(total, 4).alias("total"), F.round(F.array_max("vec").cast("double"), 4).alias("top"))
+    return vec.select("doc_id", whole_vector("vec", 4).alias("vec"))
 
 
 def doc_points(spark, sf):
@@ -908,7 +929,7 @@ def embedding_cache(spark, sf):
     known = named.join(D.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     W.embedding_cache(known, hashing_encoder(), path)
     vec = W.embedding_cache(named, hashing_encoder(), path)
-    return vec.select("doc_id", F.round(F.array_max("vec").cast("double"), 4).alias("top"))
+    return vec.select("doc_id", whole_vector("vec", 4).alias("vec"))
 
 
 @query
