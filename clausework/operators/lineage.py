@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The folder for stage tables: the session's checkpoint folder, else one in the warehouse.
 
-    Executors share both; no folder of a single machine is ever chosen.
+    Executors share both. A warehouse on the driver's own disk is refused unless the session runs there alone.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{warehouse}/stages"
 
 

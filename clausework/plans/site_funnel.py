@@ -16,10 +16,10 @@ def site_inputs(domains: DataFrame, pages: DataFrame, responses: DataFrame, chun
     """One row per input domain with every gate's outcome.
 
     ``domains``: ``rank, domain``; ``pages``: unique ``url, html``; ``responses``: unique ``url, response``.
-    Only accessible pages are parsed. The page text is not carried: records join it back at the end.
+    Only accessible pages of listed domains are parsed. The page text is not carried: records join it back at the end.
     """
     ranked = chunk_of(domains.select("rank", F.col("domain").alias("url")), ["rank"], chunk_size)
-    captured = S.accessible(pages.select("url", "html"))
+    captured = S.accessible(pages.select("url", "html")).join(domains.select(F.col("domain").alias("url")), "url", "left_semi")
     parsed = parse_pages(captured, ["url"], ("declared_language", "undeclared_text"))
     tagged = parsed.select("url", language_of().alias("language"), F.lit(True).alias("accessible"))
     gated = (

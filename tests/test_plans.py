@@ -49,3 +49,27 @@ def test_tags_need_no_join_or_shuffle(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     text = plan(A.taxonomy_tag(docs, text="text"))
     assert "Exchange" not in text and "Join" not in text
+
+
+def test_only_wanted_pages_are_parsed(spark):
+    """The join with the wanted links stands below the parser, and pages of a level are parsed once."""
+    from clausework.plans import policy_crawl as CR
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").withColumn("content_type", F.lit("text/html"))
+    wanted = spark.createDataFrame([("x",)], "link string")
+    source = CR.html_content_only(pages).select(F.col("url").alias("link"), "html")
+    text = plan(parse_pages(source.join(wanted, "link", "left_semi"), ["link"]))
+    assert 0 <= text.index("MapInArrow") < text.index("LeftSemi")
+    parsed = []
+    original = CR.parse_pages
+
+    def counted(df, keys, *rest):
+        parsed.append(df.count())
+        return original(df, keys, *rest)
+
+    CR.parse_pages = counted
+    try:
+        some = pages.limit(3).select(F.col("url").alias("link"))
+        assert CR.page_facts(pages, wanted=some).count() == 3 and parsed == [3]
+    finally:
+        CR.parse_pages = original
