@@ -62,33 +62,39 @@ class Counter:
         self.by_word = vocabulary.by_word
         # a character that no piece holds is always a path's only way on, so it parts what is around it
         self.lines_part = self.bytes and not any("\n" in p for p in vocabulary.pieces)
+        # a path's last piece begins at most so far back
+        self.window = max(map(len, vocabulary.pieces), default=1) + 1
         self.known: dict[str, int] = {}
         self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def pieces(self, text: str) -> int:
         """Pieces of the best path over ``text``, whose spaces are marks already."""
-        n = len(text)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        unknown = [False] * (n + 1)  # whether the path's last piece is an unknown character
+        n, window = len(text), self.window
+        # of the path to every place: its score, its pieces, and whether its last piece is an unknown character; place i
+        # stands at i modulo the window, so a text of any length takes as much memory as its longest piece
+        best, count, unknown = [0.0] * window, [0] * window, [False] * window
         found = self.automaton.iter(text)
         end, match = next(found, (n, None))
+        here = 0
         for i in range(n):
-            top, single = None, False
+            to = here + 1 if here + 1 < window else 0
+            top, single, pieces, strange = None, False, 0, False
             while end == i:  # longest first
                 size, score = match
-                value = best[i + 1 - size] + score
+                back = to - size  # a negative place counts from the window's end
+                value = best[back] + score
                 if top is None or value > top:
-                    top, count[i + 1] = value, count[i + 1 - size] + 1
+                    top, pieces = value, count[back] + 1
                 single |= size == 1
                 end, match = next(found, (n, None))
             if not single:
-                value = best[i] + self.unknown
+                value = best[here] + self.unknown
                 if top is None or value > top:
-                    top, unknown[i + 1] = value, True
-                    more = len(text[i].encode()) if self.bytes else int(not unknown[i])
-                    count[i + 1] = count[i] + more
-            best[i + 1] = top
-        return count[n]
+                    top, strange = value, True
+                    pieces = count[here] + (len(text[i].encode()) if self.bytes else int(not unknown[here]))
+            best[to], count[to], unknown[to] = top, pieces, strange
+            here = to
+        return count[here]
 
     def word(self, word: str) -> int:
         value = self.known.get(word)
@@ -120,7 +126,11 @@ class Counter:
 
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``doc_id, n_tokens`` of every row, over the whole text with a space in front; null and empty texts have none."""
+    """``doc_id, n_tokens`` of every row, over the whole text with a space in front; null and empty texts have none.
+
+    Null ids and repeated rows are rows like any other. A text is read whole, in memory of its longest piece beside the
+    text itself, even where it holds no space.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)

@@ -1,5 +1,7 @@
 """Token counts against the tokenizer itself."""
 
+import tracemalloc
+
 import sentencepiece
 from tokenizers import Tokenizer, models, normalizers
 
@@ -41,3 +43,13 @@ def test_odd_rows(spark):
     got = [(r.doc_id, r.n_tokens) for r in token_counts(docs, read_vocabulary(VOCABULARY)).collect()]
     assert sorted(got, key=repr) == sorted([(None, 0), (1, 0), (2, 50_001), (2, 50_001)], key=repr)
     assert token_counts(docs.limit(0), read_vocabulary(VOCABULARY)).collect() == []
+
+
+def test_a_long_text_without_spaces_takes_little_memory():
+    counter = Counter(read_vocabulary(VOCABULARY))
+    text = "abcdefghij" * 30_000
+    tracemalloc.start()
+    n = counter.pieces(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 30_000 and peak < 8 * len(text)  # a copy of the text, no numbers per character
