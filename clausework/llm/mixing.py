@@ -7,11 +7,14 @@ map-side partials and joined back; Spark copies them to the tasks only while the
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausework.operators.lineage import materialise
+from clausework.operators.skew import skew_join
 
 DIMENSIONS = ("source", "lang", "topic")
 # target share of a category: its token share to this power, normalised; below 1 lifts small categories
@@ -70,7 +73,8 @@ def rake(
     """``cells`` (dimensions and ``tokens``) with ``fitted``: iterative proportional fitting to the targets.
 
     ``targets`` holds a table ``dim, target`` per dimension; a category without one is fitted to nothing. A round scales
-    the cells to each dimension in turn; rounds end when one has moved no cell by more than ``tolerance`` of itself.
+    the cells to each dimension in turn; rounds end when one has moved no cell by more than ``tolerance`` of itself. If
+    the last round still moves one, a warning says by how much: targets that contradict each other never settle.
     """
     state = materialise(cells.withColumn("fitted", F.col("tokens").cast("double")), "cells")
     together = state.count() <= ONE_TASK_CELLS
@@ -82,8 +86,11 @@ def rake(
     for _ in range(0, rounds, STRIDE if together else 1):
         state = _rounds(state, list(fixed), STRIDE) if together else _round(state, fixed)
         state = materialise(state, "cells")
-        if (state.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+        moved = state.agg(F.max("moved")).first()[0] or 0.0
+        if moved <= tolerance:
             break
+    else:
+        warnings.warn(f"raking has not settled: the last round moved a cell by {moved:.2g} of itself", stacklevel=2)
     return state.select(*cells.columns, "fitted")
 
 
@@ -119,6 +126,13 @@ def chance(seed: str, key: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def _weighted(marked: DataFrame, weights: DataFrame) -> DataFrame:
+    """Documents with their cell's weight. Few weights are copied to the tasks; with many, a hot cell is split."""
+    if weights.count() <= ONE_TASK_CELLS:
+        return marked.join(F.broadcast(weights), list(DIMENSIONS))
+    return skew_join(marked.withColumn("id", F.col("row.doc_id")), weights, list(DIMENSIONS), salt_by=["id", "tokens"]).drop("id")
+
+
 def mix(
     docs: DataFrame,
     tempers: dict[str, float] | None = None,
@@ -133,6 +147,7 @@ def mix(
     the whole part of that is sure and the rest its chance of one more, by a hash of its id. So the expected tokens
     of every source, language and topic stand in the target shares. ``copies`` is how often the document counts;
     documents with none go. Null categories form the empty category; documents without words weigh as their cell does.
+    Repeated rows share their id's chance; rows without an id share that of an empty one.
     """
     tempers = TEMPERS if tempers is None else tempers
     marked = _cells_of(docs, topic)
@@ -142,7 +157,7 @@ def mix(
     weight = F.when(F.col("tokens") > 0, F.round(F.col("fitted") / F.col("tokens"), 6)).otherwise(1.0)
     weights = rake(cells, targets).select(*DIMENSIONS, weight.alias("weight"))
     copies = F.floor(F.col("weight") * rate + chance(seed, F.col("row.doc_id"))).cast("int")
-    sampled = marked.join(weights, list(DIMENSIONS)).withColumn("copies", copies).where(F.col("copies") > 0)
+    sampled = _weighted(marked, materialise(weights, "weights")).withColumn("copies", copies).where(F.col("copies") > 0)
     added = {"topic": "topic", "n_tokens": "tokens", "weight": "weight", "copies": "copies"}
     return sampled.select(
         *[F.col(f"row.{c}").alias(c) for c in docs.columns if c not in added],

@@ -48,3 +48,21 @@ def test_odd_rows(spark):
 def test_native_plan(spark):
     plan = mix(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Cartesian"))
+
+
+@pytest.mark.parametrize("one_task", [50_000, 0])
+def test_documents_get_their_cells_weight_either_way(spark, monkeypatch, one_task):
+    monkeypatch.setattr(mixing, "ONE_TASK_CELLS", one_task)
+    monkeypatch.setattr("clausework.operators.skew.ROWS_PER_TASK", 10)
+    rows = [(i, "hot" if i % 3 else f"s{i % 4}", "en", "word " * (i % 5 + 1)) for i in range(120)] + [(None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    got = sorted(((r.doc_id, r.weight, r.copies) for r in mix(docs).collect()), key=repr)
+    monkeypatch.setattr(mixing, "ONE_TASK_CELLS", 50_000)
+    assert got == sorted(((r.doc_id, r.weight, r.copies) for r in mix(docs).collect()), key=repr) and len(got) > 60
+
+
+def test_raking_that_cannot_settle_says_so(spark):
+    cells = spark.createDataFrame([("a", "x", 1), ("b", "y", 1)], "source string, lang string, tokens long")
+    tables = {d: spark.createDataFrame(t, f"{d} string, target double") for d, t in (("source", [("a", 9.0), ("b", 1.0)]), ("lang", [("x", 1.0), ("y", 9.0)]))}
+    with pytest.warns(UserWarning, match="not settled"):
+        rake(cells, tables, rounds=4)
