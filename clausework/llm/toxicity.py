@@ -250,7 +250,8 @@ def _scored(docs: DataFrame, model: OrdinalModel | None, carried: list) -> DataF
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, reject: float = REJECT) -> DataFrame:
     """``doc_id, severity, p_toxic, rejected`` of every row: the expected grade and the chance of any grade above 0.
 
-    Null and empty texts have severity 0; so has every text if the labels hold no model.
+    Null and empty texts have severity 0; so has every text if the labels hold no model. Null ids and repeated rows are
+    scored like any other; a null id has no label. Texts are read whole. Other columns, whatever their names, play no part.
     """
     scored = _scored(docs, fit(docs, labels, sample_rows), [F.col("doc_id").cast("long").alias("doc_id")])
     return scored.withColumn("rejected", F.col("p_toxic") >= reject)
