@@ -56,7 +56,15 @@ def cache_key(df: DataFrame, text: str = "paragraph") -> DataFrame:
     return df.withColumn("text_key", F.md5(F.col(text)))
 
 
-def missing_embeddings(df: DataFrame, cache: DataFrame, text: str = "paragraph") -> DataFrame:
-    """``text_key, text`` of the distinct texts that the cache does not hold."""
+def missing_embeddings(df: DataFrame, cache: DataFrame, text: str = "paragraph", buckets: int | None = None) -> DataFrame:
+    """``text_key, text`` of the distinct texts that the cache does not hold.
+
+    Of a cache in ``buckets`` by key nothing is moved: the texts are dealt like it.
+    """
     wanted = cache_key(df, text).where(F.col(text).isNotNull()).groupBy("text_key").agg(F.first(text).alias(text))
+    if buckets:
+        # an outer join, as the planner would move an anti-join in front of the texts' exchange
+        held = cache.select("text_key", F.lit(True).alias("held"))
+        dealt = wanted.repartition(buckets, "text_key").join(held, "text_key", "left")
+        return dealt.where("held IS NULL").drop("held")
     return wanted.join(cache.select("text_key"), "text_key", "left_anti")

@@ -8,7 +8,7 @@ from clausework.operators import lineage
 from clausework.operators import paragraphs as P
 from clausework.operators import positions as O
 from clausework.operators import sites as S
-from clausework.operators.embedding import embed, hashing_encoder
+from clausework.operators.embedding import embed, hashing_encoder, missing_embeddings
 from clausework.sources import readers as R
 from clausework.sources import writers as W
 from clausework.sources.chunk_files import read_zip
@@ -210,6 +210,29 @@ def test_embedding_cache(spark, tmp_path):
         W.embedding_cache(df, lambda: None, path)
 
 
+def test_the_cache_is_read_by_bucket_and_holds_a_key_once(spark, tmp_path):
+    df = spark.createDataFrame([(f"text {i % 40}",) for i in range(100)], "paragraph string")
+    encoder, path = hashing_encoder(8), str(tmp_path / "cache")
+    first = W.embedding_cache(df, encoder, path, buckets=4).count()
+    table = W.cached_vectors(spark, path, encoder.name, 4)
+    assert first == 100 and spark.table(table).count() == 40
+    twice = spark.table(table).collect()  # as if another run had added the same texts
+    spark.createDataFrame(twice, spark.table(table).schema).repartition(4, "text_key").write.insertInto(table)
+    assert spark.table(table).count() == 80
+    again = W.embedding_cache(df, encoder, path, buckets=4)
+    assert again.count() == 100 and again.where("vec IS NULL").count() == 0 and spark.table(table).count() == 80
+    keys = df.select(F.md5("paragraph").alias("text_key")).distinct()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined in (W.lookup(keys, table, 4), missing_embeddings(df, spark.table(table), buckets=4)):
+            cache_side = joined._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1].rsplit("REPARTITION_BY_NUM", 1)[1]
+            cache_side = cache_side[cache_side.index("Scan ExistingRDD") :]
+            assert "Exchange" not in cache_side and "Bucketed: true" in cache_side
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def rows_of(spark, out):
     schema = "url string, page_key string, pos int, paragraph string"
     return sorted(map(tuple, T.read_batches(spark, out, spark.createDataFrame([], schema).schema).collect()))
