@@ -53,16 +53,14 @@ _SCOPES = {"page": ("url", "page_key"), "site": ("url",), "global": ()}
 def dedupe(df: DataFrame, scope: str = "page") -> DataFrame:
     """One row per paragraph text within ``scope``: ``page``, ``site`` or ``global``.
 
-    Expects ``url, page_key, pos, paragraph``. A grouped minimum, so copies meet inside the map tasks first
-    and a text that fills a third of the table leaves each task as one row.
+    Expects ``url, page_key, pos, paragraph``. A grouped minimum by two 64-bit hashes of the text, so texts are carried
+    but never compared, copies meet inside the map tasks first, and a text that fills a third of the table leaves each
+    task as one row.
     """
-    keys = _SCOPES[scope]
-    first = F.min(F.struct("page_key", "pos", "url")).alias("_first")
-    return (
-        df.groupBy(*keys, "paragraph")
-        .agg(first)
-        .select("_first.url", "_first.page_key", "_first.pos", "paragraph")
-    )
+    digest = [F.xxhash64("paragraph").alias("_h1"), F.xxhash64(F.lit(1), "paragraph").alias("_h2")]
+    row = F.struct("url", "page_key", "pos", "paragraph")
+    first = F.min_by(row, F.struct("page_key", "pos", "url")).alias("_first")
+    return df.groupBy(*_SCOPES[scope], *digest).agg(first).select("_first.*")
 
 
 def tidy(df: DataFrame) -> DataFrame:
