@@ -69,6 +69,10 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return (_mixed(out) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+# texts of a batch that are held as bytes at a time
+_AT_ONCE = 256
+
+
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n, s1, s2, sketch``: the set's size, a 128-bit hash of it and its sketch; empty sets have no sketch."""
 
@@ -76,15 +80,22 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
         words = WordHashes()
         salt = np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
-            rows = [shingle_set(words.of(ascii_words(t)), size) for t in payloads(batch.column("text"))]
-            with np.errstate(over="ignore"):
-                marks = [(int(_mixed(s).sum()), int(_mixed(s ^ salt).sum())) if len(s) else (0, 0) for s in rows]
+            # one set at a time: a batch's sets together take more than its texts
+            n, marks, sketches = [], [[], []], []
+            for lo in range(0, batch.num_rows, _AT_ONCE):
+                for text in payloads(batch.column("text").slice(lo, _AT_ONCE)):
+                    s = shingle_set(words.of(ascii_words(text)), size)
+                    n.append(len(s))
+                    with np.errstate(over="ignore"):
+                        for mark, seed in zip(marks, (np.uint64(0), salt)):
+                            mark.append(int(_mixed(s ^ seed).sum()) if len(s) else 0)
+                    sketches.append(sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(list(map(len, rows)), pa.int64()),
-                    *(pa.array(np.array([m[i] for m in marks], np.uint64).view(np.int64)) for i in (0, 1)),
-                    pa.array([sketch(s).tobytes() if len(s) else None for s in rows], pa.binary()),
+                    pa.array(n, pa.int64()),
+                    *(pa.array(np.array(m, np.uint64).view(np.int64)) for m in marks),
+                    pa.array(sketches, pa.binary()),
                 ],
                 names=["doc_id", "n", "s1", "s2", "sketch"],
             )
