@@ -72,6 +72,42 @@ def test_sweep_equals_brute_force(spark, monkeypatch, seed):
     assert len(kinds) > 1
 
 
+@pytest.mark.parametrize("min_samples", [1, 2])
+def test_two_points_need_one_pass(spark, monkeypatch, min_samples):
+    """With up to two points to a core no vector's nearest are asked for: the links alone say who is a core."""
+
+    def never(*_):
+        raise AssertionError("a pass too many")
+
+    monkeypatch.setattr(C, "core_distances", never)
+    monkeypatch.setattr(N, "MIN_BLOCK_ROWS", 20)
+    monkeypatch.setattr(N, "MAX_BLOCK_ROWS", 40)
+    v = blobs(7)
+    eps_list = [0.02, 0.15]
+    got = C.dbscan_sweep(frame(spark, v), eps_list, min_samples, ["g"]).collect()
+    for eps in eps_list:
+        labels = {r["id"]: r["cluster_id"] for r in got if r["eps"] == eps}
+        assert [labels[i] for i in range(len(v))] == list(brute(v, eps, min_samples))
+
+
+def test_many_radii_are_cuts_of_one_forest(spark, monkeypatch):
+    v = blobs(8, n=120)
+    few = C.dbscan_sweep(frame(spark, v), [0.02, 0.06, 0.15], 5, ["g"]).collect()
+    monkeypatch.setattr(C, "FEW_RADII", 2)
+    assert sorted(few) == sorted(C.dbscan_sweep(frame(spark, v), [0.02, 0.06, 0.15], 5, ["g"]).collect())
+
+
+def test_links_of_a_dense_region_are_a_forest_per_radius(spark):
+    rng = np.random.default_rng(0)
+    v = np.ones((1500, 4)) + rng.normal(size=(1500, 4)) * 1e-3
+    c = N.collapse_copies(frame(spark, v), [])
+    blocks = N.place_blocks(c)
+    links = N.radius_links(c, blocks, None, [0.05, 0.1]).groupBy("e").count().collect()
+    pairs = N.block_pairs(blocks, 0.1).count()
+    assert {r["e"] for r in links} == {0, 1}
+    assert all(1499 <= r["count"] <= 2 * 1500 * pairs / blocks.bounds.count() for r in links)
+
+
 def test_scopes_do_not_mix_and_order_does_not_matter(spark):
     v = blobs(3)
     g = np.arange(len(v)) % 2
