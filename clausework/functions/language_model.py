@@ -1,13 +1,16 @@
-"""A language detector fitted to labelled texts: naive Bayes over character trigrams, scored by column functions.
+"""A language detector fitted to labelled texts: naive Bayes over character trigrams.
 
 Trigrams are hashed to a fixed number of places, so a model is a list of whole numbers per language and scoring is a sum
-of array elements: no lookup table to join, no Python, and the same result in any engine.
+of array elements: no lookup table to join, and the same result in any engine. Column functions find a text's letters and
+fit the model; texts are scored in NumPy, batch by batch, as a lambda per trigram and language takes three times as long.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,9 +24,14 @@ FIT_ROWS = 400
 SCALE = 1000
 
 
+def letters_of(text: Column) -> Column:
+    """The text's letters in lower case, words parted by one space, a space at both ends."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
+
+
 def trigram_places(text: Column) -> Column:
     """The places of all runs of three characters of the text's letters, words parted by one space. The text is read whole."""
-    letters = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
+    letters = letters_of(text)
     codes = F.transform(F.regexp_extract_all(letters, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("long"))
 
     def places(c: Column) -> Column:
@@ -46,18 +54,20 @@ class LanguageModel:
         if not languages:
             return F.when(F.lit(False), "")
 
-        def total(places: Column, scores: list[int]) -> Column:
-            table = F.split(F.lit(",".join(map(str, scores))), ",").cast("array<int>")  # folded to a constant
-            return F.aggregate(places, F.lit(0).cast("long"), lambda acc, p: acc + table[p])
+        table = np.array([self.scores[x] for x in languages]).T
+
+        @F.pandas_udf("string")
+        def best(letters: pd.Series) -> pd.Series:
+            def likeliest(text: str | None) -> str | None:
+                c = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+                places = (c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % PLACES
+                if not (places != _BLANK).any():
+                    return None
+                return languages[int(table[places].sum(axis=0).argmax())]
 
-        def best(places: Column) -> Column:
-            totals = [
-                F.struct(total(places, self.scores[x]).alias("total"), F.lit(-rank).alias("rank"), F.lit(x).alias("language"))
-                for rank, x in enumerate(languages)
-            ]
-            return F.when(F.exists(places, lambda p: p != _BLANK), F.array_max(F.array(*totals))["language"])
+            return pd.Series([likeliest(x) for x in letters], dtype=object)
 
-        return once(trigram_places(text), best)
+        return best(letters_of(text))
 
 
 # where three spaces fall: a text without letters is spaces only
