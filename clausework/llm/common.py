@@ -14,8 +14,8 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-# distinct words a task remembers the hashes of
-WORD_CACHE = 500_000
+# distinct words a task remembers the hashes of, some 150 bytes each; idle workers keep that memory while other stages run
+WORD_CACHE = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)

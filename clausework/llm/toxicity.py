@@ -35,6 +35,9 @@ PENALTY = 1e-5
 STEPS = 80
 REJECT = 0.5
 
+# texts of a batch that are held as bytes at a time
+_AT_ONCE = 256
+
 _TOKEN = re.compile(r"[^\W_]+")
 # lengths of the word beginnings that count as features beside the whole word: insults are inflected
 _BEGINNINGS = (3, 4, 5, 6, 7)
@@ -44,7 +47,7 @@ class _Places(dict):
     """The hashed features of a word: itself and its beginnings."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= WORD_CACHE // 4:
+        if len(self) >= WORD_CACHE // 2:
             self.clear()
         parts = [word, *("^" + word[:n] for n in _BEGINNINGS if n <= len(word))]
         value = self[word] = tuple(xxhash.xxh3_64_intdigest(p) % DIMENSIONS for p in parts)
@@ -234,9 +237,13 @@ def _scored(docs: DataFrame, model: OrdinalModel | None, carried: list) -> DataF
         for batch in batches:
             severity, p_toxic = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             if model is not None:
-                found = [features(t, places) for t in payloads(batch.column("text"))]
-                above = model.above(np.array([model.weights[p] @ v for p, v in found], np.float64))
-                worded = np.array([len(p) > 0 for p, _ in found], bool)
+                # one text's features at a time: a batch's together take many times its texts
+                sums, worded = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
+                for lo in range(0, batch.num_rows, _AT_ONCE):
+                    for i, text in enumerate(payloads(batch.column("text").slice(lo, _AT_ONCE)), lo):
+                        p, v = features(text, places)
+                        sums[i], worded[i] = model.weights[p] @ v, len(p) > 0
+                above = model.above(sums)
                 severity, p_toxic = np.where(worded, above.sum(axis=1), 0), np.where(worded, above[:, 0], 0)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(severity, pa.float64()), pa.array(p_toxic, pa.float64())],
