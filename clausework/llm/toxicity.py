@@ -227,6 +227,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> O
     return train(labels_of, places, values, weights)
 
 
+def score(texts: pa.Array, model: OrdinalModel | None, places: _Places) -> tuple[np.ndarray, np.ndarray]:
+    """Severity and chance of any grade above 0 of every text; one text's features are held at a time, a batch's would take
+    many times its texts."""
+    if model is None:
+        return np.zeros(len(texts)), np.zeros(len(texts))
+    sums, worded = np.zeros(len(texts)), np.zeros(len(texts), bool)
+    for lo in range(0, len(texts), _AT_ONCE):
+        for i, text in enumerate(payloads(texts.slice(lo, _AT_ONCE)), lo):
+            p, v = features(text, places)
+            sums[i], worded[i] = model.weights[p] @ v, len(p) > 0
+    above = model.above(sums)
+    return np.where(worded, above.sum(axis=1), 0), np.where(worded, above[:, 0], 0)
+
+
 def _scored(docs: DataFrame, model: OrdinalModel | None, carried: list) -> DataFrame:
     """The carried columns with ``severity, p_toxic``; both 0 without a model and for texts without words."""
     rows = docs.select(*carried, "text")
@@ -235,16 +249,7 @@ def _scored(docs: DataFrame, model: OrdinalModel | None, carried: list) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Places()
         for batch in batches:
-            severity, p_toxic = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            if model is not None:
-                # one text's features at a time: a batch's together take many times its texts
-                sums, worded = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
-                for lo in range(0, batch.num_rows, _AT_ONCE):
-                    for i, text in enumerate(payloads(batch.column("text").slice(lo, _AT_ONCE)), lo):
-                        p, v = features(text, places)
-                        sums[i], worded[i] = model.weights[p] @ v, len(p) > 0
-                above = model.above(sums)
-                severity, p_toxic = np.where(worded, above.sum(axis=1), 0), np.where(worded, above[:, 0], 0)
+            severity, p_toxic = score(batch.column("text"), model, places)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(severity, pa.float64()), pa.array(p_toxic, pa.float64())],
                 names=[*names, "severity", "p_toxic"],

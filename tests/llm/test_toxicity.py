@@ -45,3 +45,21 @@ def test_odd_rows_and_no_model(spark):
     assert {tuple(r) for r in tox.toxicity(docs, none).collect()} == {(1, 0.0, 0.0, False), (2, 0.0, 0.0, False), (None, 0.0, 0.0, False)}
     assert tox.clean(docs, none).count() == 4 and tox.clean(docs, none).columns == docs.columns
     assert tox.toxicity(docs.limit(0), none).collect() == []
+
+
+def test_a_batch_is_scored_text_by_text():
+    """The features of 1,500 texts would take some 40 MB together."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = " ".join(f"w{i}ordinary" for i in range(300))
+    model = tox.OrdinalModel(np.zeros(tox.DIMENSIONS, np.float32), np.array([1.0]))
+    texts, places = pa.array([words] * 1500 + [None, ""]), tox._Places()
+    tox.score(texts.slice(0, 1), model, places)
+    tracemalloc.start()
+    severity, p_toxic = tox.score(texts, model, places)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    assert len(set(severity[:1500])) == 1 and severity[0] > 0 and list(severity[1500:]) == [0, 0] == list(p_toxic[1500:])
