@@ -298,3 +298,27 @@ def test_copies_only_nulls_and_lengths(spark):
     assert {r["id"]: r["n_neighbours"] for r in N.core_flags(odd, 0.1).collect()}[20] == 0
     with pytest.raises(ValueError, match="different lengths"):
         N.eps_neighbours(copies.unionByName(spark.createDataFrame([(30, [1.0])], schema)), 0.1)
+
+
+def test_pivots_that_tell_little_apart_are_not_used(spark, monkeypatch):
+    """Vectors spread over a cone are cut by a hash, as blocks along pivots would all meet; tight groups by pivots."""
+    monkeypatch.setattr(N, "MAX_BLOCK_ROWS", 40)
+    rng = np.random.default_rng(5)
+    spread = rng.random((400, 8)) + 0.2
+    groups = np.eye(8)[rng.integers(0, 8, 400)] + rng.random((400, 8)) * 0.01
+    for vectors, eps, used in ((spread, 0.25, False), (groups, 0.05, True)):
+        points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vec array<float>")
+        blocks = N.place_blocks(N.collapse_copies(points, []), eps)
+        assert blocks.bounds.where("lo IS NOT NULL").isEmpty() != used and blocks.bounds.count() >= 10
+        unit = vectors.astype(np.float32).astype(np.float64)
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        near = np.argwhere(np.triu(1 - unit @ unit.T <= eps, 1))
+        assert {(r["id_a"], r["id_b"]) for r in N.eps_neighbours(points, eps).collect()} == set(map(tuple, near.tolist()))
+
+
+def test_hits_are_those_of_nonzero():
+    rng = np.random.default_rng(6)
+    for shape in ((1, 1), (3, 5), (16, 128), (7, 2047), (2, 0)):
+        for share in (0.0, 0.01, 0.7):
+            flags = rng.random(shape) < share
+            assert all((a == b).all() for a, b in zip(N._hits(flags), np.nonzero(flags)))
