@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clausework.functions import vectors
 from clausework.operators import clustering as C
 from clausework.operators import neighbours as N
 from clausework.operators import skew
@@ -322,3 +323,24 @@ def test_hits_are_those_of_nonzero():
         for share in (0.0, 0.01, 0.7):
             flags = rng.random(shape) < share
             assert all((a == b).all() for a, b in zip(N._hits(flags), np.nonzero(flags)))
+
+
+def test_distances_of_near_pairs_are_not_joined(spark):
+    """Pairs with their distances as they are found; an id that names several vectors has a distance for each."""
+    from workload.registry import near_distances
+
+    rng = np.random.default_rng(8)
+    one = [(i, v.tolist()) for i, v in enumerate(rng.random((60, 6)) + 0.1)]
+    several = [*one, *one[:5], (7, one[30][1]), (None, one[3][1]), (70, [0.0] * 6), (71, None)]
+    for rows in (one, several):
+        points = spark.createDataFrame(rows, "id long, vec array<float>")
+        got = near_distances(points, 0.05)
+        pairs = N.eps_neighbours(points, 0.05).select("id_a", "id_b")
+        pairs = pairs.unionByName(points.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"))).distinct()
+        sides = [points.select(F.col("id").alias(f"id_{s}"), F.col("vec").alias(f"vec_{s}")) for s in "ab"]
+        dist = F.round(vectors.cosine_distance(F.col("vec_a"), F.col("vec_b")), 6).alias("dist")
+        want = pairs.join(sides[0], "id_a").join(sides[1], "id_b").select("id_a", "id_b", dist)
+        key = lambda r: (r[0], r[1], r[2] is None, r[2])
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key) and got.count() > 100
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") - N.eps_neighbours(points, 0.05)._jdf.queryExecution().optimizedPlan().toString().count("Join") == (1 if rows is one else 3)
