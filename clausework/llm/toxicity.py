@@ -199,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> O
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Places()
-        for batch in batches:
+        # features take many times the text: a slice of a batch at a time
+        for batch in (b.slice(lo, _AT_ONCE) for b in batches for lo in range(0, b.num_rows, _AT_ONCE)):
             rows = [features(t, places) for t in payloads(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -270,6 +271,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
 
 def clean(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, reject: float = REJECT) -> DataFrame:
-    """``docs`` without the rows that ``toxicity`` rejects."""
-    scored = _scored(docs, fit(docs, labels, sample_rows), [F.struct("*").alias("row")])
-    return scored.where(F.col("p_toxic") < reject).select("row.*")
+    """``docs`` without the rows that ``toxicity`` rejects. Only texts go to the Python workers, only chances come back."""
+    model = fit(docs, labels, sample_rows)
+
+    @F.arrow_udf("double")
+    def chance(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        places = _Places()
+        for texts in batches:
+            yield pa.array(score(texts, model, places)[1], pa.float64())
+
+    return docs.where(chance("text") < reject)

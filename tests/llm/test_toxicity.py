@@ -63,3 +63,13 @@ def test_a_batch_is_scored_text_by_text():
     tracemalloc.stop()
     assert peak < 8 << 20
     assert len(set(severity[:1500])) == 1 and severity[0] > 0 and list(severity[1500:]) == [0, 0] == list(p_toxic[1500:])
+
+
+def test_rows_stay_out_of_the_workers(spark):
+    """Cleaning sends texts to the Python workers, not whole rows there and back."""
+    docs = spark.createDataFrame([(i, "rude word" if i % 2 else "fine day", "x") for i in range(40)], "doc_id long, text string, more string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    kept = tox.clean(docs, labels)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in docs.where("doc_id % 2 = 0").collect())
