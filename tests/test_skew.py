@@ -121,3 +121,21 @@ def test_components(spark, monkeypatch, vertices):
     assert got == expected
     assert connected_components(edges.limit(0), ["g"]).count() == 0
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """However many partitions the edges come in: tasks are as many as the edges fill."""
+
+    def refused(*_):
+        raise AssertionError("a round")
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        monkeypatch.setattr(components, "_large_star", refused)
+        edges = spark.createDataFrame([(i + 1, i) for i in range(500)], "a long, b long").repartition(40)
+        assert {tuple(r) for r in connected_components(edges, []).collect()} == {(i, 0) for i in range(1, 501)}
+        monkeypatch.undo()
+        monkeypatch.setattr(components, "EDGES_PER_TASK", 100)
+        assert {tuple(r) for r in connected_components(edges, []).collect()} == {(i, 0) for i in range(1, 501)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
