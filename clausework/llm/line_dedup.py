@@ -9,7 +9,6 @@ Texts take no part in the sort: what comes back is a compressed bitmap per docum
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausework.llm.common import LOWER, UPPER, WHITE, hash128, payloads, row_key
+from clausework.llm.common import LOWER, UPPER, WHITE, hash128, row_key
 from clausework.operators.lineage import materialise
 
 MIN_CHARS = 20
@@ -167,46 +166,47 @@ def _kept(text: bytes, packed: bytes) -> bytes:
     return b"\n".join(line for i, line in enumerate(text.split(b"\n")) if i >= len(keep) or keep[i])
 
 
-def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int, *carried) -> DataFrame:
-    """``text, n_dropped, keep`` of every row, and what is carried along."""
+# texts of a batch that are held as bytes at a time
+_AT_ONCE = 256
+
+
+@F.arrow_udf(T.BinaryType())
+def _cut(texts: pa.Array, keep: pa.Array) -> pa.Array:
+    """The lines that stay of every text with a bitmap; null where either is null."""
+    parts = [pa.array([], pa.binary())]
+    for lo in range(0, len(texts), _AT_ONCE):
+        some = zip(texts.slice(lo, _AT_ONCE).cast(pa.binary()).to_pylist(), keep.slice(lo, _AT_ONCE).to_pylist())
+        parts.append(pa.array([None if t is None or p is None else _kept(t, p) for t, p in some], pa.binary()))
+    return pa.concat_arrays(parts)
+
+
+def _with_kept(docs: DataFrame, min_chars: int, min_docs: int, *carried) -> DataFrame:
+    """``text, n_dropped, kept`` of every row, and what is carried along; ``kept`` is the bytes of what stays.
+
+    Only texts that lose lines go to the Python workers.
+    """
     keyed = docs.select(*carried, "text", *row_key("doc_id", "text"))
     joined = keyed.join(line_keep(docs, min_chars, min_docs), ["k1", "k2"], "left")
-    return joined.withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0))).drop("k1", "k2")
+    whole = F.col("keep").isNull()
+    kept = F.when(whole, F.col("text").cast("binary")).otherwise(_cut(F.when(~whole, F.col("text")), "keep"))
+    return joined.withColumns({"n_dropped": F.coalesce("n_dropped", F.lit(0)), "kept": kept}).drop("k1", "k2", "keep")
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the lines that ``line_keep`` gives up taken out of ``text``; other columns as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text")
-            new = [
-                t if p is None else _kept(t, p)
-                for t, p in zip(texts.cast(pa.binary()).to_pylist(), batch.column("keep").to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.binary()).cast(texts.type)], names=["row", "text"])
-
-    rows = _with_bitmaps(docs, min_chars, min_docs, F.struct("*").alias("row")).select("row", "text", "keep")
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType())])
-    new = rows.mapInArrow(run, schema)
-    return new.select(*[F.col("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"], F.lit(0).alias("_")).alias("row")
+    rows = _with_kept(docs, min_chars, min_docs, others)
+    return rows.select(*[F.col("kept").cast("string").alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 def line_digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256`` of every row: the counts and the hash of what stays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = payloads(batch.column("text"))
-            kept = [
-                hashlib.sha256(t if p is None else _kept(t, p)).hexdigest()
-                for t, p in zip(texts, batch.column("keep").to_pylist())
-            ]
-            lines = pa.array([t.count(b"\n") + 1 for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), lines, batch.column("n_dropped"), pa.array(kept, pa.string())],
-                names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
-            )
-
-    rows = _with_bitmaps(docs, min_chars, min_docs, F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    rows = _with_kept(docs, min_chars, min_docs, F.col("doc_id").cast("long").alias("doc_id"))
+    text = F.coalesce("text", F.lit(""))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return rows.select(
+        "doc_id",
+        (breaks + 1).cast("long").alias("n_lines"),
+        "n_dropped",
+        F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"),
+    )

@@ -75,3 +75,11 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert line_digest(docs).collect() == []
     assert drop_lines(docs).collect() == []
+
+
+def test_only_texts_that_lose_lines_go_to_python(spark):
+    docs = spark.range(4).selectExpr("id AS doc_id", "concat('the same long line of text\\nown ', id) AS text")
+    for rows in (drop_lines(docs), line_digest(docs)):
+        nodes = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [n for n in nodes if "MapInArrow" in n and "text" in n]
+        assert ["CASE WHEN" in n for n in nodes if "ArrowEvalPython" in n] == [True]
