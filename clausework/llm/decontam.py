@@ -166,8 +166,9 @@ def leaks(
     """
     items = materialise(_items(benchmark, size), "items")
     widths = [r[0] for r in items.select("width").distinct().collect()]  # at most ``size`` numbers
-    schema = "doc_id long, item_id long, start int, n_words int, similarity double, k1 long, k2 long"
-    found = docs.sparkSession.createDataFrame([], schema)
+    schema = {"doc_id": "long", "item_id": "long", "start": "int", "n_words": "int", "similarity": "double", "k1": "long", "k2": "long"}
+    # from columns: an empty list of rows would be read by Python workers, which then stay idle beside the others
+    found = docs.sparkSession.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in schema.items()])
     for width in sorted(widths):
         own = items.where(F.col("width") == width).drop("width")
         pairs = _similar(_windows(docs, own, width, similarity), own, similarity, radius)

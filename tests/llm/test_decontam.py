@@ -130,3 +130,13 @@ def test_native_plan(spark):
     plan = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     text = plan._jdf.queryExecution().toString()
     assert not any(word in text for word in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+def test_no_python_workers(spark):
+    """Workers that read an empty list would keep their memory beside those of the pipeline's other stages."""
+    docs = spark.range(3).selectExpr("id AS doc_id", "'one two three four five six seven' AS text")
+    items = spark.range(1).selectExpr("id AS item_id", "'one two three four five six seven' AS text")
+    found = leaks(docs, items)
+    assert found.count() == 3
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "LogicalRDD" not in found._jdf.queryExecution().optimizedPlan().toString()
