@@ -251,6 +251,20 @@ def test_stream_equals_batch_and_skips_seen_files(spark, tmp_path):
     assert rows_of(spark, out) == sorted(map(tuple, batch.collect()))
 
 
+def test_columns_of_a_stream_are_laid_out_once(spark, tmp_path, monkeypatch):
+    """Not once per micro-batch: a stream may have thousands."""
+    pages, out, checkpoint = tmp_path / "pages", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    (pages / "a.com").mkdir(parents=True)
+    for i in range(5):
+        (pages / "a.com" / f"t{i}").write_text(f"<p>{LONG} {i}</p>")
+    calls, sanitise = [], T.sanitise_pages
+    monkeypatch.setattr(T, "sanitise_pages", lambda *a, **k: (calls.append(1), sanitise(*a, **k))[1])
+    T.sanitise_stream(spark, str(pages), out, checkpoint, max_files=2).awaitTermination()
+    assert len(T.committed(spark, out)) == 3 and len(calls) == 1
+    batch = P.sanitise_pages(R.read_pages(spark, str(pages)), page_key="page_key")
+    assert rows_of(spark, out) == sorted(map(tuple, batch.collect())) and len(rows_of(spark, out)) == 5
+
+
 @pytest.mark.parametrize("stop", ["before the marker", "after the marker"])
 def test_a_stopped_stream_loses_and_doubles_nothing(spark, tmp_path, monkeypatch, stop):
     """The job ends between writing a batch and checking it off; the next run writes that batch again."""
