@@ -109,6 +109,19 @@ def test_links_of_a_dense_region_are_a_forest_per_radius(spark):
     assert all(1499 <= r["count"] <= 2 * 1500 * pairs / blocks.bounds.count() for r in links)
 
 
+def test_pairs_of_blocks_do_not_send_what_a_block_has_connected(spark, monkeypatch):
+    """A dense region in many blocks: an edge per row from the blocks, and one per pair of them."""
+    monkeypatch.setattr(N, "MIN_BLOCK_ROWS", 20)
+    monkeypatch.setattr(N, "MAX_BLOCK_ROWS", 100)
+    rng = np.random.default_rng(0)
+    v = np.ones((1500, 4)) + rng.normal(size=(1500, 4)) * 1e-3
+    c = N.collapse_copies(frame(spark, v), [])
+    blocks = N.place_blocks(c)
+    links = N.radius_links(c, blocks, None, [0.05, 0.1]).groupBy("e").count().collect()
+    n_blocks, pairs = blocks.bounds.count(), N.block_pairs(blocks, 0.1).count()
+    assert n_blocks >= 15 and {r["count"] for r in links} == {1500 - n_blocks + pairs - n_blocks} and len(links) == 2
+
+
 def test_scopes_do_not_mix_and_order_does_not_matter(spark):
     v = blobs(3)
     g = np.arange(len(v)) % 2
