@@ -357,3 +357,22 @@ def test_distances_of_near_pairs_are_not_joined(spark):
         assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key) and got.count() > 100
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") - N.eps_neighbours(points, 0.05)._jdf.queryExecution().optimizedPlan().toString().count("Join") == (1 if rows is one else 3)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_every_copy_of_a_vector_has_its_pairs(spark, tmp_path, twice):
+    """Near pairs of ids against the SQL, where many ids share a vector; a row that comes twice has each of its pairs twice."""
+    from tests.oracle import connect, spark_result, sql_result
+    from workload.oracles import ORACLES
+    from workload.registry import QUERIES
+
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(12, 8))[rng.integers(0, 12, 60)].astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v) if i % 7]
+    rows += rows[:3] * twice
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "t"))
+    next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    columns, got = spark_result(QUERIES["cosine_distance"](spark, str(tmp_path)))
+    own = [r for r in got if r[columns.index("id_a")] == r[columns.index("id_b")]]
+    assert len(own) == (12 if twice else 0)  # both rows of an id are near each other, which the SQL leaves out
+    assert [r for r in got if r not in own] == sql_result(connect(str(tmp_path)), ORACLES["cosine_distance"])[1]
