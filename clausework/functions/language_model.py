@@ -1,16 +1,18 @@
 """A language detector fitted to labelled texts: naive Bayes over character trigrams.
 
 Trigrams are hashed to a fixed number of places, so a model is a list of whole numbers per language and scoring is a sum
-of array elements: no lookup table to join, and the same result in any engine. Column functions find a text's letters and
-fit the model; texts are scored in NumPy, batch by batch, as a lambda per trigram and language takes three times as long.
+of array elements: no lookup table to join, and the same result in any engine. Column functions find a text's letters;
+trigrams are counted and scored in NumPy, batch by batch, as a lambda per trigram and language takes three times as long.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,8 +20,8 @@ from pyspark.sql import Window as W
 from clausework.functions.expr import once
 
 PLACES = 4096
-# texts per language that a model is fitted to, those whose keys hash first
-FIT_ROWS = 400
+# languages whose counts a task holds before it sends them
+HELD_LANGUAGES = 1000
 # log-probabilities are whole numbers of this fraction, so that sums are exact
 SCALE = 1000
 
@@ -59,8 +61,7 @@ class LanguageModel:
         @F.pandas_udf("string")
         def best(letters: pd.Series) -> pd.Series:
             def likeliest(text: str | None) -> str | None:
-                c = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.int64)
-                places = (c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % PLACES
+                places = places_of(text)
                 if not (places != _BLANK).any():
                     return None
                 return languages[int(table[places].sum(axis=0).argmax())]
@@ -74,17 +75,47 @@ class LanguageModel:
 _BLANK = (32 * 961 + 32 * 31 + 32) % PLACES
 
 
-def fit_languages(texts: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", rows: int = FIT_ROWS) -> LanguageModel:
-    """Fit a model to ``rows`` texts of every language, those whose keys' hashes come first.
+def places_of(letters: str | None) -> np.ndarray:
+    """``trigram_places`` of a text whose letters are given."""
+    c = np.frombuffer((letters or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+    return (c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % PLACES
 
-    Counts are one grouped aggregate; at most ``PLACES`` numbers per language come to the driver. Rows without a language
+
+def trigram_counts(texts: DataFrame) -> DataFrame:
+    """``lang, place, count`` of the trigrams in all texts; ``texts`` has ``lang, letters``.
+
+    A task sends sums, at most ``PLACES`` rows a language for each time that it has held ``HELD_LANGUAGES``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for lang, n in held.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "place", "count"])
+
+        for batch in batches:
+            for lang, letters in zip(batch.column("lang").to_pylist(), batch.column("letters").to_pylist()):
+                if lang not in held and len(held) >= HELD_LANGUAGES:
+                    yield from sums()
+                    held.clear()
+                n = held.setdefault(lang, np.zeros(PLACES, np.int64))
+                n += np.bincount(places_of(letters), minlength=PLACES)
+        yield from sums()
+
+    partial = texts.select("lang", "letters").mapInArrow(run, "lang string, place long, count long")
+    return partial.groupBy("lang", "place").agg(F.sum("count").alias("count"))
+
+
+def fit_languages(texts: DataFrame, lang: str = "lang", text: str = "text") -> LanguageModel:
+    """Fit a model to all texts of every language.
+
+    Counts are summed in the tasks; at most ``PLACES`` numbers per language come to the driver. Rows without a language
     or a text are left out. Places that no text of a language has count as seen once.
     """
     known = texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = W.partitionBy("lang").orderBy(F.md5(F.col("key").cast("string")), "key")
-    keyed = known.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"))
-    sample = keyed.withColumn("at", F.row_number().over(order)).where(F.col("at") <= rows)
-    counts = sample.select("lang", F.explode(trigram_places(F.col("text"))).alias("place")).groupBy("lang", "place").count()
+    counts = trigram_counts(known.select(F.col(lang).alias("lang"), letters_of(F.col(text)).alias("letters")))
     total = F.sum("count").over(W.partitionBy("lang"))
     chance = F.round(SCALE * F.log((F.col("count") + 1) / (total + PLACES))).cast("int")
     none = F.round(SCALE * F.log(F.lit(1) / (total + PLACES))).cast("int")
