@@ -376,3 +376,61 @@ def test_every_copy_of_a_vector_has_its_pairs(spark, tmp_path, twice):
     own = [r for r in got if r[columns.index("id_a")] == r[columns.index("id_b")]]
     assert len(own) == (12 if twice else 0)  # both rows of an id are near each other, which the SQL leaves out
     assert [r for r in got if r not in own] == sql_result(connect(str(tmp_path)), ORACLES["cosine_distance"])[1]
+
+
+def test_pairs_of_many_blocks_meet_in_waves(spark, monkeypatch):
+    """Copies of blocks are made for some of the pairs at a time; the results are those of all pairs at once."""
+    monkeypatch.setattr(N, "MIN_BLOCK_ROWS", 20)
+    monkeypatch.setattr(N, "MAX_BLOCK_ROWS", 30)
+    monkeypatch.setattr(N, "WAVE_BYTES", 1)
+    written, whole = [], N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, label, *rest: (written.append(label), whole(df, label, *rest))[1])
+    v = blobs(11)
+    df = frame(spark, v)
+    got = {r["id"]: r["cluster_id"] for r in C.dbscan_sweep(df, [0.06], 2).collect()}
+    assert [got[i] for i in range(len(v))] == list(brute(v, 0.06, 2)) and written.count("wave") > 1
+    c = N.collapse_copies(df, [])
+    blocks = N.place_blocks(c, 0.06)
+    rid = {r["id"]: r["rid"] for r in N.members_of(c).collect()}
+    unit = v.astype(np.float32).astype(np.float64)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1), 1e-30)[:, None]
+    dist = 1 - unit @ unit.T
+    np.fill_diagonal(dist, 9)
+    near = {r["rid"]: (r["n"], r["nearest"]) for r in N.near_counts(c, blocks, 0.06).collect()}
+    for i in range(len(v)):
+        n, nearest = near.get(rid[i], (0, None))
+        assert n == (dist[i] <= 0.06).sum() and (n == 0 or abs(nearest - max(0, dist[i].min())) < 1e-9)
+
+
+def test_runs_of_a_block_are_joined(spark, monkeypatch):
+    """A block of several runs: each row's part is that of all its rows, named by the smallest id."""
+    monkeypatch.setattr(N, "RUN_ROWS", 37)
+    monkeypatch.setattr(N, "MIN_BLOCK_ROWS", 1000)
+    v = blobs(12)
+    got = C.dbscan_sweep(frame(spark, v), [0.02, 0.15], 2).collect()
+    for eps in (0.02, 0.15):
+        labels = {r["id"]: r["cluster_id"] for r in got if r["eps"] == eps}
+        assert [labels[i] for i in range(len(v))] == list(brute(v, eps, 2))
+
+
+def test_only_the_last_tables_of_the_splits_stay(spark):
+    """Tables on the way to the labels are deleted with the shuffles behind them, and one table holds the texts."""
+    import os
+    from clausework.operators.lineage import _job_folder
+
+    folder = _job_folder(spark)
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    rows = [(f"s{i % 9}", i, j, f"word{i % 5} and {j % 3} more") for i in range(60) for j in range(5)]
+    rows += rows[:7]  # rows that come twice
+    paragraphs = spark.createDataFrame(rows, "url string, page_key long, pos int, paragraph string")
+    placed, labels = CL.cluster_splits(paragraphs, hashing_encoder(), [0.25], 3, 2, 2)
+    left = sorted(x[:-33] for x in set(os.listdir(folder)) - before)
+    assert left == ["labels", "paragraphs", "placed"]
+    assert labels.count() == placed.count() == len(rows)
+    assert sorted(placed.columns) == sorted(["split", "chunk", "id", "url", "page_key", "line", "paragraph"])
+    per_split = [r for r in placed.orderBy("split", "id").collect()]
+    for split in {r["split"] for r in per_split}:
+        own = [r for r in per_split if r["split"] == split]
+        assert [r["id"] for r in own] == list(range(len(own)))
+        assert [(r["url"], r["page_key"], r["line"]) for r in own] == sorted((r["url"], r["page_key"], r["line"]) for r in own)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
