@@ -1,3 +1,4 @@
+import fnmatch
 import json
 import zipfile
 
@@ -265,6 +266,32 @@ def test_columns_of_a_stream_are_laid_out_once(spark, tmp_path, monkeypatch):
     assert rows_of(spark, out) == sorted(map(tuple, batch.collect())) and len(rows_of(spark, out)) == 5
 
 
+@pytest.mark.parametrize("lanes", [1, 3, 4, 62])
+def test_every_name_is_in_one_lane(lanes):
+    names = [f"{a}{b}" for a in ("p1", "", "a-") for b in "0189azAZ_-é]!^.*\U0001d504"]
+    for name in names:
+        assert sum(fnmatch.fnmatchcase(name, glob) for glob in T.lane_globs(lanes)) == 1
+
+
+def test_lanes_read_every_file_once(spark, tmp_path):
+    """Files of all kinds of names, batches no larger than asked for, a second run that adds what is new only."""
+    pages, out, checkpoint = tmp_path / "pages", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    names = [*(f"p{i}" for i in range(12)), "terms", "refundS", "x-", "é", "a]", "b!", "c^", "d e"]
+    (pages / "a.com").mkdir(parents=True)
+    for i, name in enumerate(names):
+        (pages / "a.com" / name).write_text(f"<p>{LONG} {i}</p>")
+    before = spark.conf.get(T.THRESHOLD)
+    T.sanitise_lanes(spark, str(pages), out, checkpoint, max_files=2, lanes=4)
+    batch = P.sanitise_pages(R.read_pages(spark, str(pages)), page_key="page_key")
+    assert rows_of(spark, out) == sorted(map(tuple, batch.collect())) and len(rows_of(spark, out)) == len(names)
+    batches = T.committed(spark, out)
+    assert len(batches) >= len(names) / 2 and {b[:4] for b in batches} == {f"4-{k}-" for k in range(4)}
+    (pages / "a.com" / "new").write_text(f"<p>{LONG} new</p>")
+    T.sanitise_lanes(spark, str(pages), out, checkpoint, max_files=2, lanes=4)
+    assert len(rows_of(spark, out)) == len(names) + 1 == len(set(rows_of(spark, out))) and len(T.committed(spark, out)) == len(batches) + 1
+    assert spark.conf.get(T.THRESHOLD) == before
+
+
 @pytest.mark.parametrize("stop", ["before the marker", "after the marker"])
 def test_a_stopped_stream_loses_and_doubles_nothing(spark, tmp_path, monkeypatch, stop):
     """The job ends between writing a batch and checking it off; the next run writes that batch again."""
